@@ -33,13 +33,16 @@ def write_export(records: DataFrame, path: str) -> None:
 
 
 def write_orders(orders: DataFrame, items: DataFrame, path: str) -> None:
-    """Write a batch; the batch is a partition, so writing it again replaces it."""
-    for name, df, parts in (
-        ("orders", orders.withColumn("created_day", F.to_date("created_at")), ["created_day", "batch_id"]),
-        ("order_items", items, ["batch_id"]),
-    ):
+    """Write batches; a batch is a partition, so writing it again replaces it.
+
+    All rows of a batch have the batch's created_at. Rows are spread by batch before the write,
+    small batches together and a large batch over several files.
+    """
+    days = orders.withColumn("created_day", F.to_date("created_at"))
+    for name, df, parts in (("orders", days, ["created_day", "batch_id"]), ("order_items", items, ["batch_id"])):
         (
-            df.write.mode("overwrite")
+            df.hint("rebalance", *parts)
+            .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*parts)
             .parquet(f"{path}/{name}")
