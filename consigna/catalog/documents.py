@@ -345,6 +345,7 @@ def parse_multi_sheet(t: Tables) -> DataFrame:
     return _fields(parse(t.rows(), None, rule).records)
 
 
+SINGLE = "concat(file_id, '/', CAST(sheet_idx AS VARCHAR)) AS file_id, CAST(0 AS INT) AS sheet_idx"
 MATRIX_RULE = {
     "source": {"type": "matrix", "sheetConfig": {"sheetIndex": 0}}, "dataRegion": REGION_JSON,
     "matrixTranspose": {"transposeStartCol": 1, "transposeHeaderRow": 1, "headerField": "remark", "valueField": "skuName", "skipEmptyValues": True},
@@ -354,18 +355,18 @@ MATRIX_RULE = {
 }
 
 
-@query("parse_matrix", with_(ROWS, HEADS, ENDS, DATA, PAIRS, f"""cut AS (SELECT *, string_split_regex(skuName, 'th') AS p FROM pairs WHERE sheet_idx = 0),
+@query("parse_matrix", with_(ROWS, HEADS, ENDS, DATA, PAIRS, f"""cut AS (SELECT *, string_split_regex(skuName, 'th') AS p FROM pairs),
 pieces AS (SELECT *, list_filter(list_transform(p, lambda x: {sql_trim('x')}), lambda x: x <> '') AS q FROM cut),
 exploded AS (SELECT file_id, sheet_idx, row_idx, matrix_col, storeName, remark, skuName, CAST(NULL AS VARCHAR) AS piece, 0 AS split FROM pieces WHERE len(p) <= 1
   UNION ALL SELECT file_id, sheet_idx, row_idx, matrix_col, storeName, remark, skuName, unnest(q), unnest(range(0, len(q))) FROM pieces WHERE len(p) > 1)""")
-    + f"""SELECT {AT.replace('row_idx', 'CAST(row_idx AS INT) AS row_idx')}, CAST(matrix_col AS INT) AS matrix_col, CAST(split AS INT) AS split,
+    + f"""SELECT {SINGLE}, CAST(row_idx AS INT) AS row_idx, CAST(matrix_col AS INT) AS matrix_col, CAST(split AS INT) AS split,
   {sql_trim('storeName')} AS storeName, {sql_trim('remark')} AS remark,
   CASE WHEN piece IS NULL THEN '' WHEN regexp_matches(piece, '^([a-z])([a-z]+)$') THEN regexp_extract(piece, '^([a-z])([a-z]+)$', 1) ELSE piece END AS skuCode,
   CASE WHEN piece IS NULL THEN {sql_trim('skuName')} WHEN regexp_matches(piece, '^([a-z])([a-z]+)$') THEN regexp_extract(piece, '^([a-z])([a-z]+)$', 2)
     ELSE {sql_trim('skuName')} END AS skuName, '' AS externalCode, '' AS receiverName, '' AS receiverPhone, '' AS receiverAddress, '' AS skuQuantity, '' AS skuSpec
 FROM exploded""")
 def parse_matrix(t: Tables) -> DataFrame:
-    return _fields(parse(t.rows(), None, MATRIX_RULE).records, "matrix_col", "split")
+    return _fields(parse(t.single_sheets(), None, MATRIX_RULE).records, "matrix_col", "split")
 
 
 CARD_RULE = {
@@ -375,12 +376,12 @@ CARD_RULE = {
 }
 
 
-@query("parse_card", with_(ROWS, CARDS, CARD_META) + """SELECT file_id, CAST(0 AS INT) AS sheet_idx, CAST(min(card_start) + 1 AS INT) AS row_idx,
+@query("parse_card", with_(ROWS, CARDS, CARD_META) + f"""SELECT {SINGLE}, CAST(min(card_start) + 1 AS INT) AS row_idx,
   coalesce(storeName, '') AS storeName, list_reduce(list(coalesce(remark, '') ORDER BY card_start), lambda acc, x: CASE WHEN x = '' OR x = acc THEN acc
       WHEN acc = '' THEN x ELSE concat(acc, ',', x) END, '') AS remark
-FROM card_meta WHERE sheet_idx = 0 GROUP BY file_id, coalesce(storeName, '')""")
+FROM card_meta GROUP BY file_id, sheet_idx, coalesce(storeName, '')""")
 def parse_card(t: Tables) -> DataFrame:
-    got = parse(t.rows(), None, CARD_RULE).records
+    got = parse(t.single_sheets(), None, CARD_RULE).records
     return none_to_empty(got, "storeName", "remark").select(*ROW, "storeName", "remark")
 
 

@@ -93,6 +93,11 @@ class Tables:
             .select("file_id", "sheet_idx", "sheet_name", "row_idx", F.split("line", " ", -1).alias("cells"))
         )
 
+    def single_sheets(self) -> DataFrame:
+        """Document lines as sheet rows, one file for each document."""
+        return self.rows().withColumns({
+            "file_id": F.concat_ws("/", "file_id", F.col("sheet_idx").cast("string")), "sheet_idx": F.lit(0)})
+
     def texts(self) -> DataFrame:
         """Documents as texts."""
         return self.read("documents").select(

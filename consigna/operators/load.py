@@ -25,6 +25,8 @@ def _quantity() -> Column:
 def accept_reject(records: DataFrame) -> DataFrame:
     """Adds `rejected`, the first store rule a record breaks; NULL for records that load."""
     reason = F.when(F.lit(False), F.lit(""))
+    if "part" in records.columns:
+        reason = reason.when(F.col("part") > 0, F.lit("merged text is longer than one row"))
     for f, width in WIDTHS.items():
         reason = reason.when(F.length(text_or_empty(F.col(f))) > width, F.lit(f"{f} is longer than {width}"))
     reason = reason.when(_quantity().isNull(), F.lit("skuQuantity is not a number"))
@@ -33,7 +35,7 @@ def accept_reject(records: DataFrame) -> DataFrame:
 
 def order_id(batch: str, keys: list[str]) -> Column:
     """Id of the order of a record: the same record of the same batch always gets the same id."""
-    return F.sha2(F.concat_ws("/", F.col(batch), *[F.col(k).cast("string") for k in keys]), 256)
+    return F.sha2(F.concat_ws("/", F.col(batch), *[text_or_empty(F.col(k).cast("string")) for k in keys]), 256)
 
 
 def split_orders_items(records: DataFrame, keys: list[str], batch: str = "batch_id", created_at: str = "created_at"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,16 @@ def merge_groups(
     folded = [f for f in fields if f != group_by and f not in shared]
     keep = [f for f in fields if f not in folded]
     rows = records.withColumn("_key", text_or_empty(F.col(group_by)))
-    hot = _splittable(rows, keys, folded, order, min_rows)
     out = [*scope, *order, *fields, "part"]
     ends = trim if trim_ends else (lambda c: c)
 
-    small = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    # The list is bounded and usually empty; knowing it now keeps the pieces out of most plans.
+    found = hot_keys(rows, keys, min_rows).select(*keys).collect()
+    small = rows
+    if found:
+        listed = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(*keys).schema))
+        hot = _splittable(rows.join(listed, keys), keys, folded, order)
+        small = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     picked = F.struct(*order, *keep, *[text_or_empty(F.col(f)).alias(f) for f in folded])
     one = F.col("_rows")[0]
     merged = (
@@ -51,8 +58,11 @@ def merge_groups(
             *[ends(_appended("_rows", f)).alias(f) for f in folded],
             F.lit(0).cast("bigint").alias("part"),
         )
+        .select(*out)
     )
-    return merged.select(*out).unionByName(_pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends).select(*out))
+    if not found:
+        return merged
+    return merged.unionByName(_pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends).select(*out))
 
 
 def _pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends) -> DataFrame:
@@ -96,25 +106,23 @@ def _pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends) -> Da
     return first.unionByName(later)
 
 
-def _splittable(rows: DataFrame, keys: list[str], folded: list[str], order: list[str], min_rows: int) -> DataFrame:
+def _splittable(hot_rows: DataFrame, keys: list[str], folded: list[str], order: list[str]) -> DataFrame:
     """Hot groups with their first record, first values and the row where other values begin.
 
     From that row on every value is appended, unless it equals the text so far. Such a value would
     start with the first value and a comma, so groups that hold one are left to the ordered fold.
     """
-    at = F.struct(*order)
-    hot = hot_keys(rows, keys, min_rows).select(*keys)
-    hot_rows = rows.join(F.broadcast(hot), keys).withColumn("_at", at)
-    fields = [c for c in rows.columns if c not in keys]
+    hot_rows = hot_rows.withColumn("_at", F.struct(*order))
+    fields = [c for c in hot_rows.columns if c not in [*keys, "_at"]]
     firsts = hot_rows.groupBy(*keys).agg(
         F.min_by(F.struct(*fields), "_at").alias("_first"),
         *[F.min_by(f, F.when(~is_empty(F.col(f)), F.col("_at"))).alias(f"_v_{f}") for f in folded],
-    )
-    firsts = firsts.withColumns({f"_v_{f}": text_or_empty(F.col(f"_v_{f}")) for f in folded}).drop(*folded)
+    ).withColumns({f"_v_{f}": text_or_empty(F.col(f"_v_{f}")) for f in folded})
     others = {f: ~is_empty(F.col(f)) & (F.col(f) != F.col(f"_v_{f}")) for f in folded}
-    echo = [F.startswith(F.col(f), F.concat(f"_v_{f}", F.lit(","))) for f in folded]
+    echo = reduce(lambda a, b: a | b, [
+        F.coalesce(F.startswith(F.col(f), F.concat(f"_v_{f}", F.lit(","))), F.lit(False)) for f in folded
+    ], F.lit(False))
     profile = hot_rows.join(F.broadcast(firsts.drop("_first")), keys).groupBy(*keys).agg(
-        *[F.min(F.when(others[f], F.col("_at"))).alias(f"_p_{f}") for f in folded],
-        F.max(F.coalesce(F.greatest(*echo) if len(echo) > 1 else (echo or [F.lit(False)])[0], F.lit(False))).alias("_echo"),
+        *[F.min(F.when(others[f], F.col("_at"))).alias(f"_p_{f}") for f in folded], F.max(echo).alias("_echo"),
     )
     return firsts.join(profile.filter(~F.col("_echo")).drop("_echo"), keys)
