@@ -73,7 +73,7 @@ def check_phone(t: Tables) -> DataFrame:
 @query("error_list", with_(VALIDATED) + " UNION ALL ".join(
     f"SELECT {KEYS}, '{f}' AS field, e_{f} AS message FROM checked WHERE e_{f} IS NOT NULL" for f in CHECKED))
 def error_list(t: Tables) -> DataFrame:
-    return validate.error_list(validate.validate_records(t.records()), LINE)
+    return validate.error_list(t.records(), LINE)
 
 
 @query("error_count", with_(VALIDATED) + f"SELECT batch_id, CAST(sum({COUNT_SQL}) AS BIGINT) AS errors FROM checked GROUP BY batch_id")

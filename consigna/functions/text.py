@@ -13,6 +13,9 @@ WS = (
 )
 
 
+_NOT_WS = "[^" + "".join(f"\\x{{{ord(c):X}}}" for c in WS) + "]"
+
+
 def trim(c: Column) -> Column:
     return F.btrim(c, F.lit(WS))
 
@@ -26,7 +29,7 @@ def is_empty(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return text_or_empty(trim(c)) == ""
+    return ~F.coalesce(c.rlike(_NOT_WS), F.lit(False))
 
 
 def row_text(cells: Column) -> Column:

@@ -22,14 +22,13 @@ def apply_corrections(records: DataFrame, corrections: DataFrame, keys: list[str
             for f in fields
         ])
     )
-    values = {}
-    for f in fields:
-        new = F.col(f"_new_{f}")
-        value = new["value"]
-        if f == "skuQuantity":
-            value = F.when(value == "", value).otherwise(number_text(to_number(value)))
-        values[f] = F.when(new.isNotNull(), value).otherwise(F.col(f))
-    return records.join(last, keys, "left").withColumns(values).drop(*[f"_new_{f}" for f in fields])
+    out = records.join(last, keys, "left")
+    new = {f: F.col(f"_new_{f}")["value"] for f in fields}
+    if "skuQuantity" in fields:
+        out = out.withColumn("_number", to_number(new["skuQuantity"]))
+        new["skuQuantity"] = F.when(new["skuQuantity"] == "", "").otherwise(number_text(F.col("_number")))
+    values = {f: F.when(F.col(f"_new_{f}").isNotNull(), v).otherwise(F.col(f)) for f, v in new.items()}
+    return out.withColumns(values).select(*records.columns)
 
 
 def delete_rows(

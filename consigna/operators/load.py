@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consigna.functions.text import text_or_empty
-from consigna.operators.validate import submit_gate, validate_records
+from consigna.operators.validate import validate_records
 from consigna.session import shared_folder
 from consigna.sources.store import write_orders
 
@@ -75,13 +75,14 @@ def import_job(records: DataFrame, keys: list[str], path: str, batch: str = "bat
     """Validate, load the batches without errors, and return one summary row per loaded batch.
 
     Ids and timestamps come from the batch, so running the job again replaces what it wrote. The
-    checked records are written once; orders, items and counts read that table.
+    records are checked and written once; the gate, the store tables and the counts read that table.
     """
     spark = records.sparkSession
     staged = shared_folder(spark, "checked-records")
-    ready = submit_gate(validate_records(records), batch).drop("errors")
-    accept_reject(ready).write.parquet(staged)
+    validated = validate_records(records)
+    accept_reject(validated.withColumn("errors", F.size("errors"))).write.parquet(staged)
     checked = spark.read.parquet(staged)
-    accepted = checked.filter(F.col("rejected").isNull())
-    write_orders(*split_orders_items(accepted, keys, batch, created_at), path)
-    return batch_summary(checked, batch)
+    clean = checked.groupBy(batch).agg(F.sum("errors").alias("_errors")).filter(F.col("_errors") == 0).select(batch)
+    ready = checked.join(clean, batch, "left_semi").drop("errors")
+    write_orders(*split_orders_items(ready.filter(F.col("rejected").isNull()), keys, batch, created_at), path)
+    return batch_summary(ready, batch)

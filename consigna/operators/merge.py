@@ -52,7 +52,7 @@ def merge_groups(
     picked = F.struct(*order, *keep, *[text_or_empty(F.col(f)).alias(f) for f in folded])
     one = F.col("_rows")[0]
     merged = (
-        small.groupBy(*keys).agg(F.array_sort(F.collect_list(picked)).alias("_rows"))
+        small.groupBy(*keys).agg(F.sort_array(F.collect_list(picked)).alias("_rows"))
         .select(
             *scope, *[one[c].alias(c) for c in [*order, *keep]],
             *[ends(_appended("_rows", f)).alias(f) for f in folded],
@@ -74,7 +74,7 @@ def _pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends) -> Da
         .withColumn("_at", F.struct(*order))
         .groupBy(*keys, *names)
         .agg(F.min_by("_first", "_at").alias("_first"), F.min("_at").alias("_at"), *[
-            F.array_sort(F.collect_list(
+            F.sort_array(F.collect_list(
                 F.when((F.col("_at") >= F.col(f"_p_{f}")) & ~is_empty(F.col(f)), F.struct("_at", F.col(f).alias("v")))
             )).alias(f)
             for f in folded

@@ -131,7 +131,7 @@ def items_nested(items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
         items.join(hot, "order_id", "left")
         .withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))))
         .groupBy("order_id", "part")
-        .agg(F.array_sort(F.collect_list(item)).alias("_items"))
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
         .select("order_id", "part", F.transform("_items", lambda i: i.dropFields("id")).alias("items"))
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from consigna.functions.regex import translate
 from consigna.functions.text import text_or_empty, trim
 
 PREVIEW_ROWS = 20
@@ -26,7 +27,7 @@ def preview_rows(rows: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
 def preview_sample(rows: DataFrame) -> DataFrame:
     """Per file: first rows as tab-separated lines and as cells, row count, sheet names."""
     first = preview_rows(rows).groupBy("file_id").agg(
-        F.array_sort(F.collect_list(F.struct(
+        F.sort_array(F.collect_list(F.struct(
             "row_idx", F.transform("cells", lambda c: text_or_empty(c)).alias("cells")))).alias("_rows")
     )
     size = rows.groupBy("file_id").agg(
@@ -34,7 +35,7 @@ def preview_sample(rows: DataFrame) -> DataFrame:
     )
     sheets = (
         rows.select("file_id", "sheet_idx", "sheet_name").distinct()
-        .groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("sheet_idx", "sheet_name"))).alias("_sheets"))
+        .groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("sheet_idx", "sheet_name"))).alias("_sheets"))
     )
     return (
         size.join(first, "file_id", "left").join(sheets, "file_id", "left")
@@ -83,6 +84,13 @@ def prompt_table(previews: DataFrame) -> DataFrame:
     return previews.select("file_id", F.concat_ws("", *parts).alias("prompt"))
 
 
+def _is_json(c: Column) -> Column:
+    """Whether a text is one JSON value. Parsing alone would not see text after the value."""
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    return listed.isNotNull() & named.isNotNull()
+
+
 def recover_json(answers: DataFrame, text: str = "text") -> DataFrame:
     """JSON of an answer: the whole text, else its first fenced block, else first { to last }.
 
@@ -91,14 +99,12 @@ def recover_json(answers: DataFrame, text: str = "text") -> DataFrame:
     t = F.col(text)
     tries = {
         "whole": t,
-        "fence": trim(F.nullif(F.regexp_extract(t, r"```(?:json)?[\s\x{A0}\x{FEFF}]*((?s:.*?))```", 1), F.lit(""))),
-        "braces": F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit("")),
+        "fence": trim(F.regexp_extract(t, translate(r"```(?:json)?\s*([\s\S]*?)```").java, 1)),
+        "braces": F.regexp_extract(t, r"(?s)\{.*\}", 0),
     }
-    parsed = {k: F.try_parse_json(c).isNotNull() for k, c in tries.items()}
-    return answers.withColumns({
-        "json": F.coalesce(*[F.when(parsed[k], c) for k, c in tries.items()]),
-        "found_by": F.coalesce(*[F.when(parsed[k], F.lit(k)) for k in tries]),
-    })
+    found = F.coalesce(*[F.when(_is_json(c), F.lit(k)) for k, c in tries.items()])
+    out = answers.withColumn("found_by", found)
+    return out.withColumn("json", F.coalesce(*[F.when(F.col("found_by") == k, c) for k, c in tries.items()]))
 
 
 def _get(v: Column, field: str, kind: str = "variant") -> Column:

@@ -26,16 +26,16 @@ PHONE = r"^(?:1[0-9]{10}|[0-9]{3,4}-?[0-9]{7,8})\z"
 CHECKED = ["storeName", "receiverName", "receiverPhone", "receiverAddress", "skuCode", "skuName", "skuQuantity"]
 
 
-def check_recipient() -> dict[str, Column]:
+def check_recipient(blank: dict[str, Column] | None = None) -> dict[str, Column]:
     """A store name, or receiver name, phone and address; else an error on each blank one."""
     names = CHECKED[:4]
-    blank = {f: is_blank(F.col(f)) for f in names}
+    blank = blank or {f: is_blank(F.col(f)) for f in names}
     unknown = blank["storeName"] & (blank["receiverName"] | blank["receiverPhone"] | blank["receiverAddress"])
-    return {f: F.when(unknown & blank[f], F.lit(MESSAGES[f])) for f in names}
+    return {f: F.when(blank[f] & unknown, F.lit(MESSAGES[f])) for f in names}
 
 
-def check_sku() -> dict[str, Column]:
-    return {f: F.when(is_blank(F.col(f)), F.lit(MESSAGES[f])) for f in ("skuCode", "skuName")}
+def check_sku(blank: dict[str, Column] | None = None) -> dict[str, Column]:
+    return {f: F.when(blank[f] if blank else is_blank(F.col(f)), F.lit(MESSAGES[f])) for f in ("skuCode", "skuName")}
 
 
 def check_quantity() -> Column:
@@ -43,7 +43,7 @@ def check_quantity() -> Column:
     n = to_number(q)
     return (
         F.when(is_empty(q), F.lit(MESSAGES["quantity_missing"]))
-        .when(F.isnan(n) | (n <= 0), F.lit(MESSAGES["quantity_invalid"]))
+        .when(~q.rlike(r"^[1-9][0-9]*\z") & (F.isnan(n) | (n <= 0)), F.lit(MESSAGES["quantity_invalid"]))
     )
 
 
@@ -52,22 +52,26 @@ def check_phone() -> Column:
     return F.when((phone != "") & ~phone.rlike(PHONE), F.lit(MESSAGES["phone_format"]))
 
 
-def field_errors() -> dict[str, Column]:
-    """Message per checked field, NULL when the field is right."""
-    errors = check_recipient() | check_sku() | {"skuQuantity": check_quantity()}
+def _entries(records: DataFrame) -> tuple[DataFrame, Column]:
+    """Records with blank flags, worked out once, and the (field, message) pairs built on them."""
+    blank = {f: F.col(f"_blank_{f}") for f in CHECKED[:6]}
+    flagged = records.withColumns({f"_blank_{f}": is_blank(F.col(f)) for f in blank})
+    errors = check_recipient(blank) | check_sku(blank) | {"skuQuantity": check_quantity()}
     errors["receiverPhone"] = F.coalesce(errors["receiverPhone"], check_phone())
-    return {f: errors[f] for f in CHECKED}
+    return flagged, F.array(*[F.struct(F.lit(f).alias("field"), errors[f].alias("message")) for f in CHECKED])
 
 
 def validate_records(records: DataFrame) -> DataFrame:
     """Adds `errors`, a map from field to message."""
-    entries = F.array(*[F.struct(F.lit(f).alias("k"), e.alias("v")) for f, e in field_errors().items()])
-    return records.withColumn("errors", F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull())))
+    flagged, entries = _entries(records)
+    errors = F.map_from_entries(F.filter(entries, lambda e: e["message"].isNotNull()))
+    return flagged.select(*records.columns, errors.alias("errors"))
 
 
-def error_list(validated: DataFrame, keys: list[str]) -> DataFrame:
+def error_list(records: DataFrame, keys: list[str]) -> DataFrame:
     """One row per record and field in error."""
-    return validated.select(*keys, F.explode("errors").alias("field", "message"))
+    flagged, entries = _entries(records)
+    return flagged.select(*keys, F.inline(entries)).filter(F.col("message").isNotNull())
 
 
 def error_count(validated: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def text_from_pages(pages: DataFrame, max_chars: int = MAX_TEXT) -> DataFrame:
     joined = (
         pages.join(fits, "file_id", "left_semi")
         .groupBy("file_id")
-        .agg(F.array_sort(F.collect_list(F.struct("page_idx", "text"))).alias("_pages"))
+        .agg(F.sort_array(F.collect_list(F.struct("page_idx", "text"))).alias("_pages"))
         .select("file_id", F.array_join(F.transform("_pages", lambda p: p["text"]), "\n", "").alias("text"))
     )
     return (

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import fixtures as X
 from consigna.operators import summary
-from consigna.operators.validate import error_list, validate_records
+from consigna.operators.validate import error_list
 from consigna.plans.parse import NO_RULE, NO_SOURCE, parse, parse_files
 from consigna.plans.presets import BY_ID, PRESETS
 from consigna.schema import ORDER_KEYS
@@ -101,7 +101,7 @@ def test_aggregation(grid, min_rows):
     if min_rows > 1:
         assert rows_of(got, "row_idx", "externalCode", "skuCode", "skuQuantity", "remark", "part") == [
             (3, "H1", "A,B,A", "5,7,5", "急", 0), (6, "H2", "C", "4", "", 0)]
-        errors = error_list(validate_records(got.records), ["row_idx"]).collect()
+        errors = error_list(got.records, ["row_idx"]).collect()
         assert [(r.row_idx, r.field) for r in errors] == [(3, "skuQuantity")]
     pieces = {}
     for code, part, *values in sorted(rows_of(got, "externalCode", "part", "skuCode", "skuQuantity", "remark", "storeName")):
