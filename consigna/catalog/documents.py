@@ -10,7 +10,7 @@ from consigna.functions.regex import translate
 from consigna.operators import cards, extract, matrix, metadata, sheets, splitting, summary
 from consigna.operators.extract import compile_mapping
 from consigna.operators.sheets import Region, SheetChoice
-from consigna.plans.parse import parse
+from consigna.plans.parse import parse, parse_files
 from consigna.schema import FIELDS
 from consigna.sources import grid
 
@@ -385,6 +385,33 @@ def parse_card(t: Tables) -> DataFrame:
     return none_to_empty(got, "storeName", "remark").select(*ROW, "storeName", "remark")
 
 
+SUITE = [
+    {**TABLE_RULE, "id": "french", "fileType": "excel", "keywords": ["fr"], "source": {"type": "table"}},
+    {**MATRIX_RULE, "id": "german", "fileType": "excel", "keywords": ["de"]},
+    {**CARD_RULE, "id": "english", "fileType": "excel", "keywords": ["en"]},
+    {"id": "spanish", "fileType": "word", "keywords": ["es"], "source": {"type": "text"},
+     "textParsing": {"recordSeparator": r"\. ", "fieldPatterns": {"remark": "([a-z]+)"}}},
+]
+
+
+@query("parse_files", with_(ROWS, HEADS, ENDS, DATA, MAPPED, PAIRS, CARDS, CARD_META, f"""cut AS (SELECT file_id, sheet_idx, string_split_regex(skuName, 'th') AS p FROM pairs),
+counts AS (SELECT 'fr' AS lang, file_id, sheet_idx, count(*) AS n FROM mapped GROUP BY 2, 3
+  UNION ALL SELECT 'de', file_id, sheet_idx, sum(CASE WHEN len(p) <= 1 THEN 1 ELSE len(list_filter(p, lambda x: NOT {sql_blank('x')})) END) FROM cut GROUP BY 2, 3
+  UNION ALL SELECT 'en', file_id, sheet_idx, count(DISTINCT coalesce(storeName, '')) FROM card_meta GROUP BY 2, 3
+  UNION ALL SELECT 'es', file_id, sheet_idx, len(list_filter(string_split_regex(text, '\\. '), lambda x: NOT {sql_blank('x')})) FROM sheets)""")
+    + """SELECT concat(s.file_id, '/', CAST(s.sheet_idx AS VARCHAR)) AS file_id, 'yes' AS success, CAST(coalesce(n, 0) AS BIGINT) AS total_rows
+FROM sheets s LEFT JOIN counts c ON c.file_id = s.file_id AND c.sheet_idx = s.sheet_idx AND c.lang = string_split(sheet_name, '-')[1]""")
+def parse_files_query(t: Tables) -> DataFrame:
+    """Each language has its own rule; Spanish documents are texts."""
+    sheets_ = t.sheets().withColumn("file_id", F.concat_ws("/", "file_id", F.col("sheet_idx").cast("string")))
+    spanish = F.startswith("sheet_name", F.lit("es-"))
+    files = sheets_.select("file_id", F.concat("sheet_name", F.when(spanish, ".docx").otherwise(".xlsx")).alias("file_name"))
+    texts = sheets_.filter(spanish).select("file_id", F.lit("word").alias("file_type"), F.lit(0).alias("page_idx"), "text")
+    got = parse_files(files, t.single_sheets(), texts, SUITE)
+    out = summary.parse_summary(files, got.records, got.errors)
+    return out.select("file_id", F.when(F.col("success"), "yes").otherwise("no").alias("success"), "total_rows")
+
+
 @query("parse_summary", with_(ROWS, HEADS, ENDS, DATA, MAPPED) + f"""SELECT a.file_id, CASE WHEN f IS NULL THEN 'no' ELSE 'yes' END AS success,
   coalesce(n, 0) AS total_rows, coalesce(n, 0) AS parsed_rows
 FROM (SELECT DISTINCT file_id FROM sheets) a LEFT JOIN {FIRST_FR} ON f = a.file_id

@@ -46,13 +46,22 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """The same rows on all cores, when the files have fewer splits than there are cores.
+
+        A file with one row group is one task otherwise. Large tables have many splits and stay as
+        they are.
+        """
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
     def lines(self) -> DataFrame:
         return self.read("lineitem").withColumn("l_cents", F.round(F.col("l_extendedprice") * 100).cast("bigint"))
 
     def records(self) -> DataFrame:
         """Order lines as imported records."""
         lines = (
-            self.lines()
+            self.spread(self.lines())
             .join(self.read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.read("customer"), F.col("o_custkey") == F.col("c_custkey"))
             .join(self.read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -78,7 +87,7 @@ class Tables:
 
     def sheets(self) -> DataFrame:
         """Documents as sheets, eight to a file."""
-        return self.read("documents").select(
+        return self.spread(self.read("documents")).select(
             F.concat(F.lit("book-"), F.floor(F.col("doc_id") / 8).cast("string")).alias("file_id"),
             (F.col("doc_id") % 8).cast("int").alias("sheet_idx"),
             F.concat_ws("-", "lang", F.col("doc_id").cast("string")).alias("sheet_name"),
@@ -100,7 +109,7 @@ class Tables:
 
     def texts(self) -> DataFrame:
         """Documents as texts."""
-        return self.read("documents").select(
+        return self.spread(self.read("documents")).select(
             F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_id"), "text")
 
     def orders(self) -> DataFrame:
@@ -121,7 +130,7 @@ class Tables:
 
     def items(self) -> DataFrame:
         """Order lines as the stored item table."""
-        return self.lines().select(
+        return self.spread(self.lines()).select(
             F.concat_ws("-", F.lit("I"), *[F.col(c).cast("string") for c in LINE]).alias("id"),
             F.concat(F.lit("O-"), F.col("l_orderkey").cast("string")).alias("order_id"),
             sku_code(F.col("l_partkey")).alias("sku_code"),

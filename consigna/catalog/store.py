@@ -98,7 +98,7 @@ def order_detail(t: Tables) -> DataFrame:
 def _pairs(t: Tables) -> DataFrame:
     """Lines as (code, sku) questions: some blank, some unknown orders, some wrong skus."""
     n = F.col("l_linenumber")
-    return t.read("lineitem").select(
+    return t.spread(t.read("lineitem")).select(
         F.when(n == 1, " ").otherwise(order_code(F.col("l_orderkey") + F.when(n == 2, 10**9).otherwise(0))).alias("externalCode"),
         F.concat(sku_code(F.col("l_partkey") + F.when(n == 3, 1).otherwise(0)), F.lit(" ")).alias("skuCode"),
     )

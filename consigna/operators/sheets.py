@@ -45,9 +45,9 @@ class Region:
         config = config or {}
         header = config["headerRow"] - 1 if config.get("headerRow") is not None else 0
         start = config["dataStartRow"] - 1 if config.get("dataStartRow") is not None else header + 1
-        end = config.get("dataEndRow")
+        end = config.get("dataEndRow", "auto")
         return cls(
-            header, start, None if end in (None, "auto") else end,
+            header, start, None if end == "auto" else end or 0,
             tuple(config.get("skipRows") or ()), tuple(config.get("skipPatterns") or ()),
         )
 

@@ -20,6 +20,7 @@ from consigna.operators.rules_table import match_rule_by_filename
 from consigna.operators.sheets import Region, SheetChoice, region_rows, select_sheet, select_sheets_union
 from consigna.operators.skew import HOT_ROWS
 from consigna.schema import BLOCK_ROWS, FIELDS, ORDER_KEYS, SEQ
+from consigna.session import shared_folder
 from consigna.sources.texts import text_from_pages
 
 # Messages of rules that cannot run.
@@ -41,7 +42,7 @@ class Parsed:
 
 def source_type(rule: dict) -> str | None:
     """Mode of a rule, from its source or from the first block that implies one."""
-    if rule.get("source"):
+    if rule.get("source") is not None:
         return str(rule["source"].get("type"))
     for block, kind in (("matrixTranspose", "matrix"), ("cardParsing", "card"), ("textParsing", "text"),
                         ("fieldMapping", "table"), ("dataRegion", "table")):
@@ -92,9 +93,11 @@ def _matrix(sheet: DataFrame, errors: DataFrame, rule: dict) -> Parsed:
     if not config:
         return _with_errors(sheet, errors, "matrixTranspose config is required for matrix mode")
     rows = region_rows(sheet, Region.of(rule.get("dataRegion")))
+    start, header = config.get("transposeStartCol"), config.get("transposeHeaderRow")
+    if start is None or header is None:
+        rows, start, header = rows.filter(F.lit(False)), 0, 1
     records = matrix.matrix_unpivot(
-        rows, sheet, compile_mapping(rule.get("fieldMapping") or {}, has_headers=False),
-        config["transposeStartCol"], config["transposeHeaderRow"] - 1,
+        rows, sheet, compile_mapping(rule.get("fieldMapping") or {}, has_headers=False), start, header - 1,
         config["headerField"], config["valueField"], bool(config.get("skipEmptyValues")),
     )
     return Parsed(records, errors)
@@ -237,7 +240,7 @@ def parse(
     block_rows: int = BLOCK_ROWS, min_rows: int = HOT_ROWS,
 ) -> Parsed:
     """Apply one rule to all given files: extract, split cells, aggregate, clean up."""
-    if not rule:
+    if rule is None:
         failed = _failed(rows, NO_RULE)
         return Parsed(_canonical(_positioned(failed.records)), failed.errors)
     got = _extract(rows, pages, rule, block_rows)
@@ -258,16 +261,26 @@ def parse(
     return Parsed(_canonical(_post_process(records, post, folded)), got.errors)
 
 
+def _by_rule(df: DataFrame, routed: DataFrame, name: str) -> DataFrame:
+    """Rows or pages with the rule of their file, written once with the rule as partition."""
+    folder = shared_folder(df.sparkSession, name)
+    owned = df.join(routed.filter(F.col("rule_id").isNotNull()).select("file_id", "rule_id"), "file_id")
+    owned.hint("rebalance", "rule_id").write.partitionBy("rule_id").parquet(folder)
+    return df.sparkSession.read.schema(owned.schema).parquet(folder)
+
+
 def parse_files(files: DataFrame, rows: DataFrame, pages: DataFrame, rules: list[dict]) -> Parsed:
     """Route each file to its first matching rule by name and parse it; others get no records.
 
-    `files` has file_id and file_name. Each rule reads the files routed to it.
+    `files` has file_id and file_name. Rows and pages are read and written once; each rule then
+    reads the partition of its own files and nothing else.
     """
     routed = match_rule_by_filename(files, rules)
+    rows, pages = _by_rule(rows, routed, "rows-by-rule"), _by_rule(pages, routed, "pages-by-rule")
     done = []
     for rule in rules:
-        own = routed.filter(F.col("rule_id") == rule["id"]).select("file_id")
-        done.append(parse(rows.join(own, "file_id", "left_semi"), pages.join(own, "file_id", "left_semi"), rule))
+        mine = F.col("rule_id") == rule["id"]
+        done.append(parse(rows.filter(mine).drop("rule_id"), pages.filter(mine).drop("rule_id"), rule))
     unmatched = _errors(routed.filter(F.col("rule_id").isNull()), "未找到匹配的预设规则")
     return Parsed(
         reduce(DataFrame.unionByName, [p.records for p in done]),
