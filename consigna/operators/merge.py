@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from consigna.functions.text import WS, is_empty, text_or_empty, trim
 from consigna.operators.skew import HOT_ROWS, hot_keys
+from consigna.session import shared_folder
 
 
 def _appended(rows: str, field: str) -> Column:
@@ -46,8 +47,13 @@ def merge_groups(
     found = hot_keys(rows, keys, min_rows).select(*keys).collect()
     small = rows
     if found:
-        listed = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(*keys).schema))
-        hot = _splittable(rows.join(listed, keys), keys, folded, order)
+        spark = rows.sparkSession
+        listed = F.broadcast(spark.createDataFrame(found, rows.select(*keys).schema))
+        # Three passes read the rows of hot groups, so they are written once.
+        folder = shared_folder(spark, "hot-groups")
+        rows.join(listed, keys).select(*keys, *order, *fields, *_block_columns(block)).write.parquet(folder)
+        large = spark.read.parquet(folder)
+        hot = _splittable(large, keys, folded, order, fields)
         small = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     picked = F.struct(*order, *keep, *[text_or_empty(F.col(f)).alias(f) for f in folded])
     one = F.col("_rows")[0]
@@ -62,18 +68,22 @@ def merge_groups(
     )
     if not found:
         return merged
-    return merged.unionByName(_pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends).select(*out))
+    return merged.unionByName(_pieces(large, hot, keys, scope, folded, keep, order, len(block), trim_ends).select(*out))
 
 
-def _pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends) -> DataFrame:
+def _block_columns(block: list[Column]) -> list[Column]:
+    return [b.alias(f"_b{i}") for i, b in enumerate(block)]
+
+
+def _pieces(large, hot, keys, scope, folded, keep, order, blocks, trim_ends) -> DataFrame:
     """Hot groups as pieces; see merge_groups."""
-    names = [f"_b{i}" for i in range(len(block))]
+    names = [f"_b{i}" for i in range(blocks)]
+    starts = hot.select(*keys, *[f"_p_{f}" for f in folded])
     blocks = (
-        rows.join(F.broadcast(hot), keys)
-        .withColumns(dict(zip(names, block)))
+        large.join(F.broadcast(starts), keys)
         .withColumn("_at", F.struct(*order))
         .groupBy(*keys, *names)
-        .agg(F.min_by("_first", "_at").alias("_first"), F.min("_at").alias("_at"), *[
+        .agg(F.min("_at").alias("_at"), *[
             F.sort_array(F.collect_list(
                 F.when((F.col("_at") >= F.col(f"_p_{f}")) & ~is_empty(F.col(f)), F.struct("_at", F.col(f).alias("v")))
             )).alias(f)
@@ -99,23 +109,23 @@ def _pieces(rows, hot, keys, scope, folded, keep, order, block, trim_ends) -> Da
         *scope, *[F.col("_first")[c].alias(c) for c in [*order, *keep]],
         *[c.alias(f) for f, c in head.items()], F.lit(1).cast("bigint").alias("part"),
     )
-    later = blocks.join(numbers.select(*keys, *names, "part"), [*keys, *names]).join(last, keys).select(
+    later = blocks.join(numbers.select(*keys, *names, "part"), [*keys, *names]).join(last, keys).join(
+        F.broadcast(hot.select(*keys, "_first")), keys).select(
         *scope, *[F.col("_at")[c].alias(c) for c in order], *[F.col("_first")[c].alias(c) for c in keep],
         *[c.alias(f) for f, c in tail.items()], "part",
     )
     return first.unionByName(later)
 
 
-def _splittable(hot_rows: DataFrame, keys: list[str], folded: list[str], order: list[str]) -> DataFrame:
+def _splittable(hot_rows: DataFrame, keys: list[str], folded: list[str], order: list[str], fields: list[str]) -> DataFrame:
     """Hot groups with their first record, first values and the row where other values begin.
 
     From that row on every value is appended, unless it equals the text so far. Such a value would
     start with the first value and a comma, so groups that hold one are left to the ordered fold.
     """
     hot_rows = hot_rows.withColumn("_at", F.struct(*order))
-    fields = [c for c in hot_rows.columns if c not in [*keys, "_at"]]
     firsts = hot_rows.groupBy(*keys).agg(
-        F.min_by(F.struct(*fields), "_at").alias("_first"),
+        F.min_by(F.struct(*order, *fields), "_at").alias("_first"),
         *[F.min_by(f, F.when(~is_empty(F.col(f)), F.col("_at"))).alias(f"_v_{f}") for f in folded],
     ).withColumns({f"_v_{f}": text_or_empty(F.col(f"_v_{f}")) for f in folded})
     others = {f: ~is_empty(F.col(f)) & (F.col(f) != F.col(f"_v_{f}")) for f in folded}
