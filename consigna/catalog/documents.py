@@ -175,8 +175,13 @@ MAPPED_FIELDS = "skuCode, skuName, skuSpec, remark, storeName, receiverName, rec
 
 @query("project_record", with_(ROWS, HEADS, ENDS, DATA, MAPPED) + f"SELECT {AT}, {MAPPED_FIELDS} FROM mapped")
 def project_record(t: Tables) -> DataFrame:
-    rows = t.rows()
-    return extract.project_record(sheets.region_rows(rows, REGION), rows, REGION.header, compile_mapping(MAPPING))
+    return _project(t.rows())
+
+
+def _project(rows: DataFrame) -> DataFrame:
+    mapping = compile_mapping(MAPPING)
+    values = extract.sheet_values(rows, REGION.header, mapping)
+    return extract.project_record(sheets.region_rows(rows, REGION, [values]), mapping)
 
 
 # --- metadata ------------------------------------------------------------------------------------
@@ -218,7 +223,7 @@ FROM mapped m LEFT JOIN meta t ON t.file_id = m.file_id AND t.sheet_idx = m.shee
 @query("metadata_fill", with_(ROWS, HEADS, ENDS, DATA, MAPPED, LOOKUP, FILLED) + f"SELECT {AT}, {MAPPED_FIELDS}, externalCode FROM filled")
 def metadata_fill(t: Tables) -> DataFrame:
     rows = t.rows()
-    records = extract.project_record(sheets.region_rows(rows, REGION), rows, REGION.header, compile_mapping(MAPPING))
+    records = _project(rows)
     merged = metadata.metadata_merge(metadata.metadata_lookup(rows, METAS, REGION), METAS)
     return none_to_empty(metadata.metadata_fill(records, merged), "externalCode", "receiverName", "remark")
 
@@ -235,7 +240,8 @@ FROM data d JOIN (SELECT file_id, sheet_idx, h, unnest(range(2, len(h) + 1)) AS
 def matrix_unpivot(t: Tables) -> DataFrame:
     rows = t.rows()
     mapping = compile_mapping({"storeName": {"type": "column", "column": 0}}, has_headers=False)
-    return matrix.matrix_unpivot(sheets.region_rows(rows, REGION), rows, mapping, 1, 0, "remark", "skuName", skip_empty=True)
+    data = sheets.region_rows(rows, REGION, [matrix.matrix_heads(rows, 1, 0)])
+    return matrix.matrix_unpivot(data, mapping, 1, "remark", "skuName", skip_empty=True)
 
 
 START, END = "^(The|Of|Le|Der|El|In)", "(en|er|on)[.]$"

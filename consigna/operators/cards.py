@@ -86,14 +86,16 @@ def card_inner_table(
     wanted |= {s: (r, F.get("cells", F.lit(c))) for s, (r, c) in mapping.cells.items()}
     if data_off <= 0:
         wanted["_blank_start"] = (0, blank)
-    data = cards.filter((F.col("card_off") >= max(data_off, 1)) & ~blank).join(meta, CARD, "left")
+    data = cards.filter((F.col("card_off") >= max(data_off, 1)) & ~blank)
+    per_card = meta
     if wanted:
         offsets = sorted({o for o, _ in wanted.values()})
         values = (
             cards.filter(F.col("card_off").isin(offsets)).groupBy(*CARD)
             .agg(*[F.max(F.when(F.col("card_off") == o, e)).alias(n) for n, (o, e) in wanted.items()])
         )
-        data = data.join(values, CARD, "left")
+        per_card = meta.join(values, CARD, "left")
+    data = data.join(per_card, CARD, "left")
     if data_off <= 0:
         data = data.filter(F.col("_blank_start"))
     fields = [c for c in meta.columns if c not in CARD and c not in mapping.fields]

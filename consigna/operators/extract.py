@@ -99,15 +99,12 @@ def sheet_values(sheet: DataFrame, header: int, mapping: Mapping) -> DataFrame |
     return row_scalars(sheet, wanted)
 
 
-def project_record(rows: DataFrame, sheet: DataFrame, header: int, mapping: Mapping) -> DataFrame:
+def project_record(rows: DataFrame, mapping: Mapping, keep: list[str] = ()) -> DataFrame:
     """Records of data rows: all mapped fields in one projection, row_idx 1-based.
 
-    `sheet` holds all rows of the same sheets, for headers and fixed cells.
+    The rows carry the sheet_values of the mapping; `keep` names further columns to pass on.
     """
-    values = sheet_values(sheet, header, mapping)
-    if values is not None:
-        rows = rows.join(values, SHEET, "left")
     return rows.select(
         "file_id", "sheet_idx", (F.col("row_idx") + 1).alias("row_idx"),
-        *[e.alias(f) for f, e in mapping.fields.items()],
+        *[e.alias(f) for f, e in mapping.fields.items()], *keep,
     )

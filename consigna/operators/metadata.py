@@ -62,10 +62,13 @@ def metadata_merge(found: DataFrame, metas: list[dict]) -> DataFrame:
     return found.select(*SHEET, *[F.coalesce(*c).alias(f"_found_{t}") for t, c in targets.items()])
 
 
-def metadata_fill(records: DataFrame, merged: DataFrame) -> DataFrame:
-    """Fill the empty fields of each record with what its sheet says."""
-    fields = [c.removeprefix("_found_") for c in merged.columns if c.startswith("_found_")]
-    out = records.join(merged, SHEET, "left")
+def metadata_fill(records: DataFrame, merged: DataFrame | None = None) -> DataFrame:
+    """Fill the empty fields of each record with what its sheet says.
+
+    Without `merged` the records already carry its columns.
+    """
+    out = records if merged is None else records.join(merged, SHEET, "left")
+    fields = [c.removeprefix("_found_") for c in out.columns if c.startswith("_found_")]
     filled = {}
     for f in fields:
         meta = F.col(f"_found_{f}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,8 +137,25 @@ def row_text_match(pattern: str) -> Column:
     return found(row_text(F.col("cells")), translate(pattern))
 
 
-def region_rows(rows: DataFrame, region: Region) -> DataFrame:
-    """Data rows of each sheet without the rows the rule skips."""
+def one_per_sheet(tables: list[DataFrame]) -> DataFrame:
+    """Tables with one row per sheet as one such table.
+
+    They are put under each other and grouped, which keeps the size estimate of the result small:
+    a small result can then be broadcast, which a full join of the tables would rule out.
+    """
+    if len(tables) == 1:
+        return tables[0]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    values = [c for c in stacked.columns if c not in SHEET]
+    return stacked.groupBy(*SHEET).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
+
+
+def region_rows(rows: DataFrame, region: Region, per_sheet: list[DataFrame | None] = ()) -> DataFrame:
+    """Data rows of each sheet without the rows the rule skips.
+
+    Adds the columns of the per_sheet tables. They are put together with the data ends first, so
+    the rows take part in one join only; a join on its own can be split when a sheet is very large.
+    """
     keep = F.col("row_idx") >= region.start
     if region.end is not None:
         keep &= F.col("row_idx") < region.end
@@ -146,8 +164,13 @@ def region_rows(rows: DataFrame, region: Region) -> DataFrame:
     for p in region.skip_patterns:
         keep &= ~row_text_match(p)
     kept = rows.filter(keep)
+    tables = [t for t in per_sheet if t is not None]
+    if region.end is None:
+        tables.append(auto_data_end(rows))
+    if tables:
+        kept = kept.join(one_per_sheet(tables), SHEET, "left")
     if region.end is None:
-        kept = kept.join(auto_data_end(rows), SHEET).filter(F.col("row_idx") < F.col("data_end")).drop("data_end")
+        kept = kept.filter(F.col("row_idx") < F.col("data_end")).drop("data_end")
     return kept
 
 

@@ -19,13 +19,12 @@ def cell_split(
     """
     if separator is None or target not in records.columns:
         return records.withColumn("split", F.lit(0))
-    value = F.col(target)
-    parts = split(value, separator)
-    untouched = is_empty(value) | (F.size(parts) <= 1)
+    cut = records.withColumn("_parts", split(F.col(target), separator))
+    untouched = is_empty(F.col(target)) | (F.size("_parts") <= 1)
     pieces = F.when(untouched, F.array(F.lit(None).cast("string"))).otherwise(
-        F.filter(F.transform(parts, trim), lambda p: p != "")
+        F.filter(F.transform("_parts", trim), lambda p: p != "")
     )
-    out = records.select("*", F.posexplode(pieces).alias("split", "_piece"))
+    out = cut.select(*records.columns, F.posexplode(pieces).alias("split", "_piece"))
     piece, values = F.col("_piece"), {}
     for i, f in enumerate(fields):
         own = F.col(f) if f in records.columns else F.lit(None).cast("string")

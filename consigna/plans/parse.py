@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from consigna.functions.regex import translate
 from consigna.functions.text import is_empty, trim
 from consigna.operators import cards, cleanup, matrix, merge, metadata, splitting, textmode
-from consigna.operators.extract import compile_mapping, project_record
+from consigna.operators.extract import compile_mapping, project_record, sheet_values
 from consigna.operators.rules_table import match_rule_by_filename
 from consigna.operators.sheets import Region, SheetChoice, region_rows, select_sheet, select_sheets_union
 from consigna.operators.skew import HOT_ROWS
@@ -81,25 +81,25 @@ def _table(sheet: DataFrame, errors: DataFrame, rule: dict) -> Parsed:
     if fault:
         return _with_fault(sheet, errors, fault)
     mapping = compile_mapping(rule.get("fieldMapping") or {})
-    records = project_record(region_rows(sheet, region), sheet, region.header, mapping)
-    if metas:
-        found = metadata.metadata_lookup(sheet, metas, region)
-        records = metadata.metadata_fill(records, metadata.metadata_merge(found, metas))
-    return Parsed(records, errors)
+    found = metadata.metadata_merge(metadata.metadata_lookup(sheet, metas, region), metas) if metas else None
+    rows = region_rows(sheet, region, [sheet_values(sheet, region.header, mapping), found])
+    records = project_record(rows, mapping, [c for c in rows.columns if c.startswith("_found_")])
+    return Parsed(metadata.metadata_fill(records), errors)
 
 
 def _matrix(sheet: DataFrame, errors: DataFrame, rule: dict) -> Parsed:
     config = rule.get("matrixTranspose")
     if not config:
         return _with_errors(sheet, errors, "matrixTranspose config is required for matrix mode")
-    rows = region_rows(sheet, Region.of(rule.get("dataRegion")))
+    mapping = compile_mapping(rule.get("fieldMapping") or {}, has_headers=False)
+    region = Region.of(rule.get("dataRegion"))
     start, header = config.get("transposeStartCol"), config.get("transposeHeaderRow")
     if start is None or header is None:
-        rows, start, header = rows.filter(F.lit(False)), 0, 1
+        sheet, start, header = sheet.filter(F.lit(False)), 0, 1
+    heads = matrix.matrix_heads(sheet, start, header - 1)
+    rows = region_rows(sheet, region, [heads, sheet_values(sheet, region.header, mapping)])
     records = matrix.matrix_unpivot(
-        rows, sheet, compile_mapping(rule.get("fieldMapping") or {}, has_headers=False), start, header - 1,
-        config["headerField"], config["valueField"], bool(config.get("skipEmptyValues")),
-    )
+        rows, mapping, start, config["headerField"], config["valueField"], bool(config.get("skipEmptyValues")))
     return Parsed(records, errors)
 
 
