@@ -162,6 +162,13 @@ def orders_scan(t: Tables) -> DataFrame:
     return S.orders_scan(t.spark, path, "1996-03-01", "1996-06-30").select("id", F.col("batch_id").cast("string").alias("batch_id"))
 
 
+@query("items_scan", "SELECT concat('O-', CAST(l_orderkey AS VARCHAR)) AS order_id, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+def items_scan(t: Tables) -> DataFrame:
+    path = shared_folder(t.spark, "store")
+    S.write_orders(*_monthly(t), path)
+    return S.items_scan(t.spark, path).groupBy("order_id").agg(F.sum("sku_quantity").cast("double").alias("quantity"))
+
+
 EXT = ["xlsx", "XLS", "docx", "pdf", "csv"]
 NAMES = "names AS (SELECT page_id, concat(url, CASE page_id % 5 " + " ".join(
     f"WHEN {i} THEN '.{e}'" for i, e in enumerate(EXT)) + " END) AS file_name, CASE WHEN page_id % 7 = 0 THEN 0 ELSE length(html) END AS size FROM pages)"

@@ -11,8 +11,9 @@ from consigna.operators import suggest
 SAMPLE = """first_rows AS (SELECT file_id, string_agg(array_to_string(cells, chr(9)), chr(10) ORDER BY row_idx) AS content,
     list(cells ORDER BY row_idx) AS sample FROM raw WHERE sheet_idx = 0 AND row_idx < 20 GROUP BY 1),
 names AS (SELECT file_id, string_agg(sheet_name, ', ' ORDER BY sheet_idx) AS sheet_names FROM sheets GROUP BY 1),
-preview AS (SELECT n.file_id, sheet_names, content, sample, (SELECT count(*) FROM raw r WHERE r.file_id = n.file_id AND r.sheet_idx = 0) AS total_rows
-  FROM names n JOIN first_rows f ON f.file_id = n.file_id)"""
+sizes AS (SELECT file_id, count(*) AS total_rows FROM raw WHERE sheet_idx = 0 GROUP BY 1),
+preview AS (SELECT n.file_id, sheet_names, coalesce(content, '') AS content, sample, coalesce(total_rows, 0) AS total_rows
+  FROM names n LEFT JOIN first_rows f ON f.file_id = n.file_id LEFT JOIN sizes s ON s.file_id = n.file_id)"""
 
 
 @query("preview_rows", with_(ROWS) + "SELECT file_id, sheet_idx, row_idx, line FROM raw WHERE sheet_idx = 0 AND row_idx < 20")
@@ -34,10 +35,11 @@ def preview_text(t: Tables) -> DataFrame:
 
 
 @query("prompt_table", with_(ROWS, SAMPLE) + """SELECT file_id, concat('文件类型: excel', chr(10), 'Sheet名称: ', sheet_names, chr(10), '总行数: ', CAST(total_rows AS VARCHAR),
-  chr(10), chr(10), '文件内容前20行:', chr(10), content, chr(10), chr(10), '原始数据样本(JSON格式):', chr(10), '[', chr(10),
-  array_to_string(list_transform(sample, lambda r: concat('  [', chr(10),
-    array_to_string(list_transform(r, lambda c: concat('    ', CAST(to_json(c) AS VARCHAR))), concat(',', chr(10))), chr(10), '  ]')), concat(',', chr(10))),
-  chr(10), ']', chr(10), chr(10), '请分析此文件的结构并生成解析规则。') AS prompt FROM preview""")
+  chr(10), chr(10), '文件内容前20行:', chr(10), content,
+  CASE WHEN sample IS NOT NULL THEN concat(chr(10), chr(10), '原始数据样本(JSON格式):', chr(10), '[', chr(10),
+    array_to_string(list_transform(sample, lambda r: concat('  [', chr(10),
+      array_to_string(list_transform(r, lambda c: concat('    ', CAST(to_json(c) AS VARCHAR))), concat(',', chr(10))), chr(10), '  ]')), concat(',', chr(10))),
+    chr(10), ']') ELSE '' END, chr(10), chr(10), '请分析此文件的结构并生成解析规则。') AS prompt FROM preview""")
 def prompt_table(t: Tables) -> DataFrame:
     return suggest.prompt_table(suggest.preview_sample(t.rows()).withColumn("file_type", F.lit("excel")))
 

@@ -10,7 +10,7 @@ from consigna.functions.regex import translate
 from consigna.operators import textmode
 from consigna.plans.parse import parse
 from consigna.schema import FIELDS
-from consigna.sources import texts
+from consigna.sources import grid, texts
 
 PAGES = "pages_in AS (SELECT concat('conv-', CAST(conv_id AS VARCHAR)) AS file_id, turn, text FROM conversations)"
 
@@ -27,6 +27,18 @@ def text_from_pages(t: Tables) -> DataFrame:
     return texts.text_from_pages(_pages(t)).withColumn("error", F.coalesce("error", F.lit("")))
 
 
+@query("texts_from_json", """SELECT concat('doc-', CAST(doc_id AS VARCHAR)) AS file_id, 'word' AS file_type, CAST(i - 1 AS INT) AS page_idx, line AS text
+FROM (SELECT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN [text] ELSE string_split(text, chr(10)) END) AS line,
+  generate_subscripts(CASE WHEN doc_id % 2 = 0 THEN [text] ELSE string_split(text, chr(10)) END, 1) AS i FROM documents)""")
+def texts_from_json(t: Tables) -> DataFrame:
+    """Every other document has a full text, the rest have their lines as pages."""
+    whole = F.col("doc_id") % 2 == 0
+    body = F.struct(F.lit("word").alias("type"), F.when(whole, F.col("text")).alias("text"), F.split("text", "\n", -1).alias("pages"))
+    docs = t.spread(t.read("documents")).select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_id"), F.to_json(body).alias("body"))
+    return grid.texts_from_json(docs)
+
+
 SEPARATOR = r"\. "
 PARTS = TEXTS + f""", pieces AS (SELECT file_id, list_filter(string_split_regex(text, '\\. '), lambda x: NOT {sql_blank('x')}) AS p FROM texts),
 parts AS (SELECT file_id, unnest(p) AS text, CAST(unnest(range(0, len(p))) AS INT) AS text_part FROM pieces)"""

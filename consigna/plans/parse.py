@@ -141,8 +141,9 @@ def _text(pages: DataFrame, rule: dict) -> Parsed:
         return Parsed(_failed(texts, message).records, errors.unionByName(_errors(texts, message)))
     fields = {f: translate(p) for f, p in (config.get("fieldPatterns") or {}).items()}
     parts = textmode.text_fields(textmode.text_split_records(texts, separator), fields)
-    item, names = translate(config.get("itemPattern") or "x{2}"), config.get("itemFields") or []
-    if config.get("itemPattern") and names and item is not None:
+    item = translate(config["itemPattern"]) if config.get("itemPattern") else None
+    names = config.get("itemFields") or []
+    if names and item is not None:
         if item.matches_empty:
             return Parsed(_failed(texts, ENDLESS_ITEMS).records, errors.unionByName(_errors(texts, ENDLESS_ITEMS)))
         parts = textmode.text_items(parts, item, names)

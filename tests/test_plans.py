@@ -12,7 +12,7 @@ FOLDER = "/root/testdata/sf0.001"
 GLOBAL = {
     "field_coverage", "orders_count", "orders_count_distinct", "orders_search", "orders_sync", "suite_summary",
 }
-WRITERS = {"write_orders", "orders_scan", "import_job", "import_stream", "parse_files"}
+WRITERS = {"write_orders", "orders_scan", "items_scan", "import_job", "import_stream", "parse_files"}
 
 
 @pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITERS))
