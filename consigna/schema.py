@@ -41,6 +41,6 @@ SHEET = ["file_id", "sheet_idx"]
 # Rows of one sheet (or parts of one text) handled by one task when an operator needs order.
 BLOCK_ROWS = 65536
 
-# Longest string the reference's runtime can hold; longer joined texts are an error there.
+# Longest string of a single process running the same rules; a longer joined text is an error there.
 MAX_TEXT = 2**29 - 24
 TEXT_TOO_LONG = "Engine error: Invalid string length"
