@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,12 +24,8 @@ def build(app: str = "consigna", master: str | None = None, **conf: str) -> Spar
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only in local mode without it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder that all executors can reach: under spark.checkpoint.dir, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.gettempdir()
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.staged"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
