@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consigna.llm import chat, lengths, mixing, quality
+from consigna.llm import chat, decontaminate, lengths, mixing, pii, quality, toxicity
 from consigna.llm.common import QUERIES as LLM_QUERIES
 from consigna.llm.common import query, table
 
@@ -38,3 +38,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_lengths")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return lengths.length_histogram(lengths.token_lengths(table(spark, folder, "documents"), [], lengths.vocabulary()))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_pii")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.annotate(table(spark, folder, "documents"))
