@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +19,28 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once for each application, as --py-files would."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp()) / "consigna-code.zip"  # the driver's own; Spark sends it on
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((home / "consigna").rglob("*.py")):
+            z.write(f, f.relative_to(home))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(spark.sparkContext.applicationId)
+
+
 def query(name: str):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return fn(spark, folder)
+        QUERIES[name] = run
         return fn
     return add
 

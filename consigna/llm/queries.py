@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from consigna.llm import chat, decontaminate, lengths, mixing, pii, quality, toxicity
+from consigna.llm import arc, chat, decontaminate, jaccard, lengths, mixing, pii, quality, site_tree, toxicity
 from consigna.llm.common import QUERIES as LLM_QUERIES
 from consigna.llm.common import query, table
 
@@ -54,3 +54,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_pii")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return pii.annotate(table(spark, folder, "documents"))
+
+
+@query("op4_html")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return site_tree.extract(table(spark, folder, "pages"))
+
+
+@query("op7_jaccard")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op8_warc")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return arc.archive_round_trip(table(spark, folder, "pages"))
