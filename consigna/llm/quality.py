@@ -44,7 +44,7 @@ inline(transform(array(filter(split(__t, '[\\x20\\x09-\\x0D]+'), x -> x != '')),
     'n_upper', CAST(length(__t) - length(translate(__t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS BIGINT),
     'n_digits', CAST(length(__t) - length(translate(__t, '0123456789', '')) AS BIGINT),
     'n_marks', CAST(length(__t) - length(translate(__t, '!?', '')) AS BIGINT)))[0])[0]))""".format(
-    white=r"' \t\n\u000b\f\r'", symbols=f"'{SYMBOLS}'")
+    white=r"' \t\n\u000b\u000c\r'", symbols=f"'{SYMBOLS}'")
 
 
 def text_stats(docs: DataFrame, keep: list[str | Column]) -> DataFrame:
