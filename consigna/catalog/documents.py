@@ -9,6 +9,7 @@ from consigna.catalog.registry import ROWS, SHEETS, Tables, query, sql_blank, sq
 from consigna.functions.regex import translate
 from consigna.operators import cards, extract, matrix, metadata, sheets, splitting, summary
 from consigna.operators.extract import compile_mapping
+from consigna.operators.rules_table import match_rule_by_filename
 from consigna.operators.sheets import Region, SheetChoice
 from consigna.plans.parse import parse, parse_files
 from consigna.schema import FIELDS
@@ -428,11 +429,26 @@ def parse_summary(t: Tables) -> DataFrame:
     return out.withColumn("success", F.when(F.col("success"), "yes").otherwise("no"))
 
 
-@query("suite_summary", with_(ROWS, HEADS, ENDS, DATA, MAPPED) + f"""SELECT count(*) AS files, count(*) AS matched, count(f) AS passed, count(*) - count(f) AS failed,
-  count(*) FILTER (coalesce(n, 0) = 0) AS without_rows
-FROM (SELECT DISTINCT file_id FROM sheets) a LEFT JOIN {FIRST_FR} ON f = a.file_id
-LEFT JOIN (SELECT file_id, sheet_idx, count(*) AS n FROM mapped GROUP BY 1, 2) c ON c.file_id = f AND c.sheet_idx = s""")
+@query("suite_summary", f"""WITH files AS (SELECT doc_id, lang, text, doc_id % 5 AS kind FROM documents)
+SELECT count(*) AS files, count(*) FILTER (lang IN ('fr', 'es')) AS matched, count(*) FILTER (lang = 'es' AND kind <> 0 AND NOT {sql_blank('text')}
+    OR lang = 'fr' AND kind <> 1) AS passed,
+  count(*) - count(*) FILTER (lang = 'es' AND kind <> 0 AND NOT {sql_blank('text')} OR lang = 'fr' AND kind <> 1) AS failed,
+  count(*) FILTER (NOT (lang = 'es' AND kind <> 0 AND NOT {sql_blank('text')} OR lang = 'fr' AND kind <> 1)) AS without_rows FROM files""")
 def suite_summary(t: Tables) -> DataFrame:
-    got = parse(t.rows(), None, TABLE_RULE)
-    routed = t.sheets().select("file_id").distinct().withColumn("rule_id", F.lit("fr"))
-    return summary.suite_summary(routed, summary.parse_summary(t.sheets(), got.records, got.errors))
+    """French files are sheets, Spanish ones texts, others have no rule; some have only the other kind, or nothing."""
+    docs = t.spread(t.read("documents"))
+    kind, name = F.col("doc_id") % 5, F.col("doc_id").cast("string").alias("file_id")
+    suffix = F.when(F.col("lang") == "es", ".docx").otherwise(".xlsx")
+    files = docs.select(name, F.concat(F.col("lang"), F.lit("-"), F.col("doc_id").cast("string"), suffix).alias("file_name"))
+    rows = docs.filter(((F.col("lang") == "fr") & (kind != 1)) | ((F.col("lang") == "es") & (kind == 0))).select(
+        name, F.lit(0).alias("sheet_idx"), F.lit("s").alias("sheet_name"), F.lit(0).alias("row_idx"), F.array(F.lit("cell")).alias("cells"))
+    texts = docs.filter((F.col("lang") == "es") & (kind != 0)).select(name, F.lit("word").alias("file_type"), F.lit(0).alias("page_idx"), "text")
+    rules = [
+        {"id": "french", "fileType": "excel", "keywords": ["fr-"], "source": {"type": "table"}, "dataRegion": {"headerRow": 1, "dataStartRow": 1},
+         "fieldMapping": {"remark": {"type": "column", "column": 0}}},
+        {"id": "spanish", "fileType": "word", "keywords": ["es-"], "source": {"type": "text"},
+         "textParsing": {"recordSeparator": "\x00", "fieldPatterns": {"remark": "(.)"}}},
+    ]
+    got = parse_files(files, rows, texts, rules)
+    routed = match_rule_by_filename(files, rules)
+    return summary.suite_summary(routed, summary.parse_summary(files, got.records, got.errors))

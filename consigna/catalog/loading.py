@@ -9,6 +9,7 @@ from consigna.catalog.records import KEYS
 from consigna.catalog.registry import LINE, RECORDS, Tables, query, with_
 from consigna.operators import load
 from consigna.session import shared_folder
+from consigna.sources import store
 
 IMPORTED = "2024-01-01 00:00:00"
 ORDER_ID = "sha256(concat_ws('/', batch_id, CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_cents AS VARCHAR)))"
@@ -25,7 +26,7 @@ def split_orders(t: Tables) -> DataFrame:
 
 
 @query("split_items", with_(RECORDS) + f"""SELECT sha256(concat({ORDER_ID}, '/item')) AS id, {ORDER_ID} AS order_id, skuCode AS sku_code,
-  skuName AS sku_name, TRY_CAST(skuQuantity AS DOUBLE) AS sku_quantity, skuSpec AS sku_spec, batch_id FROM rec WHERE skuQuantity <> 'n/a'""")
+  skuName AS sku_name, TRY_CAST(skuQuantity AS DOUBLE) AS sku_quantity, skuQuantity AS sku_quantity_text, skuSpec AS sku_spec, batch_id FROM rec WHERE skuQuantity <> 'n/a'""")
 def split_items(t: Tables) -> DataFrame:
     accepted = load.accept_reject(_imported(t)).filter(F.col("rejected").isNull())
     items = load.split_orders_items(accepted, LINE)[1].drop("created_at")
@@ -39,7 +40,7 @@ def _long_names(t: Tables) -> DataFrame:
 
 
 REJECTED = """CASE WHEN l_linenumber = 6 AND length(repeat(storeName, 15)) > 255 THEN 'storeName is longer than 255'
-  WHEN TRY_CAST(skuQuantity AS DECIMAL(38, 18)) IS NULL THEN 'skuQuantity is not a number' END"""
+  WHEN TRY_CAST(skuQuantity AS DOUBLE) IS NULL THEN 'skuQuantity is not a number' END"""
 
 
 @query("accept_reject", with_(RECORDS) + f"SELECT {KEYS}, coalesce({REJECTED}, '') AS rejected FROM rec")
@@ -48,7 +49,7 @@ def accept_reject(t: Tables) -> DataFrame:
 
 
 @query("batch_summary", with_(RECORDS) + f"""SELECT batch_id, count(*) AS total_count, count(*) FILTER (rejected IS NULL) AS success_count,
-  count(rejected) AS fail_count, CASE WHEN count(rejected) > 0 THEN 'partial' ELSE 'completed' END AS status
+  count(rejected) AS fail_count, CAST(0 AS BIGINT) AS error_count, CASE WHEN count(rejected) > 0 THEN 'partial' ELSE 'completed' END AS status
 FROM (SELECT batch_id, {REJECTED} AS rejected FROM rec) GROUP BY batch_id""")
 def batch_summary(t: Tables) -> DataFrame:
     return load.batch_summary(load.accept_reject(_long_names(t)))
@@ -63,8 +64,42 @@ def _corrected(t: Tables) -> DataFrame:
     })
 
 
-@query("import_job", with_(RECORDS) + """SELECT batch_id, count(*) AS total_count, count(*) AS success_count, CAST(0 AS BIGINT) AS fail_count,
-  'completed' AS status FROM rec GROUP BY batch_id
-HAVING min(l_orderkey // 1000) % 5 <> 3 OR count(*) FILTER (skuQuantity = 'n/a' OR skuQuantity = '0') = 0""")
+IMPORTED_SQL = """done AS (SELECT *, l_orderkey // 1000 % 5 = 3 AND (skuQuantity = 'n/a' OR skuQuantity = '0') AS bad,
+  CASE WHEN l_linenumber = 5 THEN 'skuSpec is longer than 255' END AS rejected FROM rec),
+batches AS (SELECT batch_id, count(*) AS total_count, CAST(count(*) FILTER (bad) AS BIGINT) AS error_count, count(rejected) AS rejects FROM done GROUP BY 1)"""
+
+
+def _import(t: Tables) -> tuple[DataFrame, str]:
+    """Every fifth batch has bad quantities; fifth lines have too long a specification."""
+    long = F.when(F.col("l_linenumber") == 5, F.repeat(F.lit("x"), F.lit(300))).otherwise(F.col("skuSpec"))
+    path = shared_folder(t.spark, "store")
+    return load.import_job(_corrected(t).withColumn("skuSpec", long), LINE, path), path
+
+
+@query("import_job", with_(RECORDS, IMPORTED_SQL) + """SELECT batch_id, total_count, CASE WHEN error_count > 0 THEN 0 ELSE total_count - rejects END AS success_count,
+  CASE WHEN error_count > 0 THEN total_count ELSE rejects END AS fail_count, error_count,
+  CASE WHEN error_count > 0 THEN 'refused' WHEN rejects > 0 THEN 'partial' ELSE 'completed' END AS status FROM batches""")
 def import_job(t: Tables) -> DataFrame:
-    return load.import_job(_corrected(t), LINE, shared_folder(t.spark, "store"))
+    return _import(t)[0]
+
+
+@query("import_batches", with_(RECORDS, IMPORTED_SQL) + """SELECT batch_id, total_count, error_count,
+  CASE WHEN error_count > 0 THEN 'refused' WHEN rejects > 0 THEN 'partial' ELSE 'completed' END AS status FROM batches""")
+def import_batches(t: Tables) -> DataFrame:
+    """Loaded twice: each batch is there once."""
+    path = _import(t)[1]
+    load.import_job(_corrected(t).withColumn("skuSpec", F.when(F.col("l_linenumber") == 5, F.repeat(F.lit("x"), F.lit(300))).otherwise(F.col("skuSpec"))), LINE, path)
+    return store.import_batches(t.spark, path).select("batch_id", "total_count", "error_count", "status")
+
+
+@query("rejected_records", with_(RECORDS, IMPORTED_SQL) + f"""SELECT batch_id, concat_ws('/', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+  CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_cents AS VARCHAR)) AS position, rejected AS reason
+FROM done WHERE rejected IS NOT NULL AND batch_id IN (SELECT batch_id FROM batches WHERE error_count = 0)""")
+def rejected_records(t: Tables) -> DataFrame:
+    return store.rejected_records(t.spark, _import(t)[1]).select("batch_id", "position", "reason")
+
+
+@query("import_errors", with_(RECORDS, IMPORTED_SQL) + """SELECT batch_id, 'skuQuantity' AS field, 'SKU数量必须为正数' AS message, count(*) AS n
+FROM done WHERE bad GROUP BY 1""")
+def import_errors(t: Tables) -> DataFrame:
+    return store.import_errors(t.spark, _import(t)[1]).groupBy("batch_id", "field", "message").agg(F.count(F.lit(1)).alias("n"))

@@ -158,13 +158,13 @@ _SHARED = ["storeName", "receiverName", "receiverPhone", "receiverAddress"]
 _FOLDED = [f for f in FIELDS if f not in _SHARED and f != "externalCode"]
 
 
-@query("merge_groups", with_(RECORDS) + """SELECT externalCode, min(l_linenumber) AS l_linenumber, CAST(0 AS BIGINT) AS part, """ + ", ".join(
+@query("merge_groups", with_(RECORDS) + """SELECT externalCode, min(l_linenumber) AS l_linenumber, """ + ", ".join(
     [f"list({f} ORDER BY l_linenumber, l_partkey, l_suppkey, l_cents)[1] AS {f}" for f in [*_SHARED, "l_partkey", "l_suppkey", "l_cents"]]
     + [f"""list_reduce(list({f} ORDER BY l_linenumber, l_partkey, l_suppkey, l_cents), lambda acc, x: CASE WHEN x = '' OR x = acc THEN acc
       WHEN acc = '' THEN x ELSE concat(acc, ',', x) END, '') AS {f}""" for f in _FOLDED]) + " FROM rec GROUP BY externalCode")
 def merge_groups(t: Tables) -> DataFrame:
-    block = [F.col("l_linenumber"), F.floor(F.col("l_partkey") / 4096)]
-    return merge.merge_groups(t.records(), "externalCode", _SHARED, FIELDS, LINE[1:], block)
+    block = [F.floor(F.col("l_linenumber") / 4096)]
+    return merge.merge_groups(t.records(), "externalCode", _SHARED, FIELDS, LINE[1:], block).drop("too_long")
 
 
 def _corrections(t: Tables) -> DataFrame:
@@ -204,7 +204,7 @@ FROM rec r WHERE NOT EXISTS (SELECT 1 FROM events WHERE event_id = l_orderkey AN
 def delete_rows(t: Tables) -> DataFrame:
     deleted = t.read("events").select(
         F.col("event_id").alias("l_orderkey"), (F.col("event_id") % 7 + 1).cast("int").alias("l_linenumber"))
-    block = [F.col("l_orderkey"), F.col("l_linenumber"), F.floor(F.col("l_partkey") / 4096)]
+    block = [F.floor(F.col("l_orderkey") / 64)]
     return edits.delete_rows(
         t.records(), deleted, ["l_orderkey", "l_linenumber"], ["batch_id"], [F.col(c) for c in LINE], block
     ).select(*LINE, "batch_id", F.col("row_idx").cast("bigint").alias("row_idx"))

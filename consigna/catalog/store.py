@@ -69,16 +69,17 @@ def orders_count_distinct(t: Tables) -> DataFrame:
 
 
 @query("orders_sync", with_(ORDERS, ITEMS, ITEM_LIST) + f"""SELECT id AS orderId, {ORDER_SQL}, {ISO.format('created_at')} AS createdAt,
-  CAST(0 AS BIGINT) AS part, coalesce(items, '') AS items
+  coalesce(items, '') AS items
 FROM (SELECT * FROM store_orders WHERE created_at >= TIMESTAMP '1998-01-01' ORDER BY created_at DESC, id LIMIT 50 OFFSET 50) o
 LEFT JOIN nested ON id = order_id""")
 def orders_sync(t: Tables) -> DataFrame:
     return _item_text(Q.orders_sync(t.orders(), t.items(), "1998-01-01", page=2)).drop("amount")
 
 
-@query("items_nested", with_(ITEMS, ITEM_LIST) + "SELECT order_id, CAST(0 AS BIGINT) AS part, items FROM nested")
+@query("items_nested", with_(ITEMS) + """SELECT order_id, row_number() OVER (PARTITION BY order_id ORDER BY id) AS position,
+  sku_code AS skuCode, sku_name AS skuName, CAST(sku_quantity AS DOUBLE) AS skuQuantity, sku_spec AS skuSpec FROM store_items""")
 def items_nested(t: Tables) -> DataFrame:
-    return _item_text(Q.items_nested(t.items()))
+    return Q.items_nested(t.items(), [F.substring_index("id", "-", 3)]).withColumn("skuQuantity", F.col("skuQuantity").cast("double"))
 
 
 # Asked codes lie 5000 keys further than the orders, so some of them are unknown.

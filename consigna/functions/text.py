@@ -41,17 +41,29 @@ def has_content(cells: Column) -> Column:
     return F.exists(cells, lambda c: ~is_blank(c))
 
 
+def _based(t: Column, bits: int, digits: int) -> Column:
+    """Value of a literal of any length in base 2**bits, rounded once to DOUBLE.
+
+    The first significant digits fill at least 54 bits of a BIGINT; one more bit says whether any digit
+    after them is not zero, so the cast rounds as the whole number would. The rest is a power of two.
+    """
+    all_ = F.regexp_replace(F.substr(t, F.lit(3)), "^0+", "")
+    rest = F.greatest(F.length(all_) - digits, F.lit(0))
+    head = F.coalesce(F.conv(F.concat(F.lit("0"), F.substring(all_, 1, digits)), 2 ** bits, 10).cast("bigint"), F.lit(0))
+    sticky = F.substr(all_, F.lit(digits + 1)).rlike("[1-9a-fA-F]").cast("bigint")
+    return (head * 2 + sticky).cast("double") * F.pow(F.lit(2.0), (rest * bits).cast("double") - 1)
+
+
 def to_number(c: Column) -> Column:
     """Text to DOUBLE: blank is 0, hex/octal/binary literals count, anything else is NaN."""
     t = trim(c)
-    based = F.when(t.rlike("^0[xX][0-9a-fA-F]+$"), F.conv(F.substring(t, 3, 64), 16, 10)) \
-        .when(t.rlike("^0[oO][0-7]+$"), F.conv(F.substring(t, 3, 64), 8, 10)) \
-        .when(t.rlike("^0[bB][01]+$"), F.conv(F.substring(t, 3, 64), 2, 10))
     plain = t.rlike(r"^[+-]?(?:(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|Infinity)$")
     return (
         F.when(t == "", F.lit(0.0))
         .when(plain, t.try_cast("double"))
-        .when(based.isNotNull(), based.try_cast("double"))
+        .when(t.rlike("^0[xX][0-9a-fA-F]+$"), _based(t, 4, 15))
+        .when(t.rlike("^0[oO][0-7]+$"), _based(t, 3, 19))
+        .when(t.rlike("^0[bB][01]+$"), _based(t, 1, 60))
         .otherwise(F.lit(float("nan")))
     )
 

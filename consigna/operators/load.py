@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from consigna.functions.text import text_or_empty
-from consigna.operators.validate import validate_records
+from consigna.functions.text import text_or_empty, trim
+from consigna.operators.validate import error_list, validate_records
 from consigna.session import shared_folder
-from consigna.sources.store import write_orders
+from consigna.sources.store import QUANTITY, append, new_attempt, write_orders
 
 # Column widths of the store, in characters.
 WIDTHS = {
     "externalCode": 255, "storeName": 255, "receiverName": 100, "receiverPhone": 50,
     "skuCode": 255, "skuName": 255, "skuSpec": 255,
 }
-QUANTITY = "decimal(38,18)"
+
+# A decimal number of any length, or NaN; the store keeps its text next to the decimal.
+NUMBER = r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|[nN][aA][nN])\z"
 
 
 def _quantity() -> Column:
-    return F.coalesce(F.col("skuQuantity"), F.lit("0")).try_cast(QUANTITY)
+    """The quantity as text, absent ones 0."""
+    return trim(F.coalesce(F.col("skuQuantity"), F.lit("0")))
 
 
 def accept_reject(records: DataFrame) -> DataFrame:
     """Adds `rejected`, the first store rule a record breaks; NULL for records that load."""
     reason = F.when(F.lit(False), F.lit(""))
-    if "part" in records.columns:
-        reason = reason.when(F.col("part") > 0, F.lit("merged text is longer than one row"))
     for f, width in WIDTHS.items():
         reason = reason.when(F.length(text_or_empty(F.col(f))) > width, F.lit(f"{f} is longer than {width}"))
-    reason = reason.when(_quantity().isNull(), F.lit("skuQuantity is not a number"))
+    reason = reason.when(~_quantity().rlike(NUMBER), F.lit("skuQuantity is not a number"))
     return records.withColumn("rejected", reason)
 
 
@@ -39,7 +40,11 @@ def order_id(batch: str, keys: list[str]) -> Column:
 
 
 def split_orders_items(records: DataFrame, keys: list[str], batch: str = "batch_id", created_at: str = "created_at"):
-    """One order and one item per record; returns both tables. Absent text is '', absent quantity 0."""
+    """One order and one item per record; returns both tables. Absent text is '', absent quantity 0.
+
+    sku_quantity_text is the exact quantity; sku_quantity is NULL for one beyond 20 digits before the
+    point, and rounded to 18 after it.
+    """
     rows = records.withColumn("_id", order_id(batch, keys))
     orders = rows.select(
         F.col("_id").alias("id"),
@@ -52,37 +57,67 @@ def split_orders_items(records: DataFrame, keys: list[str], batch: str = "batch_
     items = rows.select(
         F.sha2(F.concat("_id", F.lit("/item")), 256).alias("id"), F.col("_id").alias("order_id"),
         text_or_empty(F.col("skuCode")).alias("sku_code"), text_or_empty(F.col("skuName")).alias("sku_name"),
-        _quantity().alias("sku_quantity"), text_or_empty(F.col("skuSpec")).alias("sku_spec"),
+        _quantity().try_cast(QUANTITY).alias("sku_quantity"), _quantity().alias("sku_quantity_text"), text_or_empty(F.col("skuSpec")).alias("sku_spec"),
         F.col(batch).alias("batch_id"), F.col(created_at).alias("created_at"),
     )
     return orders, items
 
 
 def batch_summary(checked: DataFrame, batch: str = "batch_id") -> DataFrame:
-    """Counts and status of each batch."""
-    return (
-        checked.groupBy(batch)
-        .agg(
-            F.count(F.lit(1)).alias("total_count"),
-            F.count_if(F.col("rejected").isNull()).alias("success_count"),
-            F.count_if(F.col("rejected").isNotNull()).alias("fail_count"),
-        )
-        .withColumn("status", F.when(F.col("fail_count") > 0, F.lit("partial")).otherwise(F.lit("completed")))
+    """Counts and status of each batch. With a column `errors`, a batch that has any is refused whole."""
+    errors = F.sum("errors") if "errors" in checked.columns else F.lit(0)
+    counts = checked.groupBy(batch).agg(
+        F.count(F.lit(1)).alias("total_count"), F.count_if(F.col("rejected").isNull()).alias("success_count"),
+        errors.cast("bigint").alias("error_count"),
+    )
+    refused = F.col("error_count") > 0
+    success = F.when(refused, F.lit(0).cast("bigint")).otherwise(F.col("success_count"))
+    return counts.select(
+        batch, "total_count", success.alias("success_count"), (F.col("total_count") - success).alias("fail_count"), "error_count",
+        F.when(refused, "refused").when(F.col("total_count") > F.col("success_count"), "partial").otherwise("completed").alias("status"),
     )
 
 
-def import_job(records: DataFrame, keys: list[str], path: str, batch: str = "batch_id", created_at: str = "created_at") -> DataFrame:
-    """Validate, load the batches without errors, and return one summary row per loaded batch.
+def import_job(
+    records: DataFrame, keys: list[str], path: str, batch: str = "batch_id", created_at: str = "created_at",
+    faults: DataFrame | None = None,
+) -> DataFrame:
+    """Validate, load the batches without errors, and return one summary row for every batch.
 
-    Ids and timestamps come from the batch, so running the job again replaces what it wrote. The
-    records are checked and written once; the gate, the store tables and the counts read that table.
+    `faults` are errors found before, as (batch, position, message); a batch that has one is refused
+    too, also when it has no records. Orders and items of accepted records, rejected records, the errors
+    of refused batches and the summary are written to the store; the summary last, which publishes them.
+    The records are checked and written once; all tables are made from that copy.
     """
     spark = records.sparkSession
-    staged = shared_folder(spark, "checked-records")
+    staged, attempt = shared_folder(spark, "checked-records"), new_attempt()
     validated = validate_records(records)
     accept_reject(validated.withColumn("errors", F.size("errors"))).write.parquet(staged)
     checked = spark.read.parquet(staged)
-    clean = checked.groupBy(batch).agg(F.sum("errors").alias("_errors")).filter(F.col("_errors") == 0).select(batch)
+    place = F.concat_ws("/", *[text_or_empty(F.col(k).cast("string")) for k in keys])
+    found = error_list(checked.drop("errors", "rejected").withColumn("position", place), [batch, "position"])
+    summary = batch_summary(checked, batch)
+    if faults is not None:
+        before = faults.select(F.col(batch), F.col("position").cast("string").alias("position"), F.lit(None).cast("string").alias("field"), "message")
+        found = found.unionByName(before)
+        extra = before.groupBy(batch).agg(F.count(F.lit(1)).alias("_faults"))
+        total = F.coalesce("total_count", F.lit(0)).cast("bigint")
+        hit = F.col("_faults").isNotNull()
+        summary = summary.join(extra, batch, "full").select(
+            batch, total.alias("total_count"), F.when(hit, F.lit(0).cast("bigint")).otherwise(F.col("success_count")).alias("success_count"),
+            F.when(hit, total).otherwise(F.col("fail_count")).alias("fail_count"),
+            (F.coalesce("error_count", F.lit(0)) + F.coalesce("_faults", F.lit(0))).cast("bigint").alias("error_count"),
+            F.when(hit, "refused").otherwise(F.col("status")).alias("status"))
+    folder = shared_folder(spark, "batch-summary")
+    summary.write.parquet(folder)
+    summary = spark.read.schema(summary.schema).parquet(folder)
+    clean = summary.filter("status <> 'refused'").select(batch)
     ready = checked.join(clean, batch, "left_semi").drop("errors")
-    write_orders(*split_orders_items(ready.filter(F.col("rejected").isNull()), keys, batch, created_at), path)
-    return batch_summary(ready, batch)
+    fields = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
+    rejects = ready.filter(F.col("rejected").isNotNull()).select(F.col(batch).alias("batch_id"), place.alias("position"), F.col("rejected").alias("reason"), fields.alias("record"))
+    append(rejects, path, "rejected_records", attempt)
+    append(found.withColumnRenamed(batch, "batch_id"), path, "import_errors", attempt)
+    when = checked.groupBy(batch).agg(F.min(created_at).alias("created_at"))
+    orders, items = split_orders_items(ready.filter(F.col("rejected").isNull()), keys, batch, created_at)
+    write_orders(orders, items, path, summary.join(when, batch, "left").withColumnRenamed(batch, "batch_id"), attempt)
+    return summary

@@ -2,137 +2,116 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from consigna.functions.text import WS, is_empty, text_or_empty, trim
-from consigna.operators.skew import HOT_ROWS, hot_keys
-from consigna.session import shared_folder
+from consigna.functions.text import is_empty, text_or_empty, trim
+from consigna.schema import MAX_TEXT
+
+
+def _chars(values: str) -> Column:
+    """Characters that values add to a text, a comma before each."""
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda n, x: n + F.length(x) + 1)
+
+
+def _differs(values: str, first: str) -> Column:
+    return F.exists(values, lambda x: x != F.col(first))
+
 
+def _from_second(values: str, first: str) -> Column:
+    """Values from the one on that differs from the first value of the group."""
+    at = F.array_position(F.transform(values, lambda x: x != F.col(first)), True).cast("int")
+    return F.when(at > 0, F.slice(values, at, F.size(values))).otherwise(F.slice(values, 1, 0))
 
-def _appended(rows: str, field: str) -> Column:
-    """Fold: an empty value and a value equal to the text so far are skipped, others are appended."""
+
+def _may_echo(values: str, first: str, start: str) -> Column:
+    """Whether a value could equal the text so far: as long as it, and beginning with the first value."""
+    head = F.concat(F.col(first), F.lit(","))
     return F.aggregate(
-        F.transform(rows, lambda r: r[field]), F.lit(""),
-        lambda acc, x: F.when((x == "") | (x == acc), acc).when(acc == "", x).otherwise(F.concat(acc, F.lit(","), x)),
+        values, F.struct(F.col(start).alias("n"), F.lit(False).alias("hit")),
+        lambda a, x: F.struct(
+            (a["n"] + F.length(x) + 1).alias("n"), (a["hit"] | ((F.length(x) == a["n"]) & F.startswith(x, head))).alias("hit")),
+        lambda a: a["hit"],
     )
 
 
+def _folded(values: Column, first: str, longest: str) -> Column:
+    """Ordered fold: a value equal to the text so far is skipped.
+
+    A text longer than the longest value can equal none; from there on values are joined at once.
+    """
+    return F.transform(F.array(values), lambda vs: F.aggregate(
+        vs, F.struct(F.col(first).alias("t"), F.lit(0).alias("k")),
+        lambda a, x: F.when(F.length(a["t"]) > F.col(longest), a).otherwise(F.struct(
+            F.when(x == a["t"], a["t"]).otherwise(F.concat(a["t"], F.lit(","), x)).alias("t"), (a["k"] + 1).alias("k"))),
+        lambda a: F.when(a["k"] >= F.size(vs), a["t"]).otherwise(
+            F.concat(a["t"], F.lit(","), F.array_join(F.slice(vs, a["k"] + 1, F.size(vs)), ","))),
+    ))[0]
+
+
 def merge_groups(
     records: DataFrame, group_by: str, shared: list[str], fields: list[str], order: list[str],
-    block: list[Column], scope: list[str] | None = None, trim_ends: bool = False, min_rows: int = HOT_ROWS,
+    block: list[Column], scope: list[str] | None = None, trim_ends: bool = False, max_chars: int = MAX_TEXT,
 ) -> DataFrame:
-    """One record per value of `group_by`; blanks form one group.
+    """One record per value of `group_by`, however many rows it has; blanks form one group.
 
     Shared fields, the key and the order columns come from the first record. The other `fields`
-    are folded in record order. `scope` (the file) limits a group, `order` is unique in it.
+    are folded in record order: an empty value and a value equal to the text so far are skipped,
+    others are appended after a comma. `scope` (the file) limits a group, `order` is unique in it.
     `trim_ends` strips white space from both ends of the folded text.
 
-    `part` is 0 for a whole record. A group of more than min_rows rows is not gathered: it comes in
-    pieces, part 1 with the first values and each later part with what one block of rows appends.
-    The folded fields of the parts of a group, put together in order, are its whole text. `block`
-    cuts a group into runs along `order`.
+    `block` cuts a group into runs along `order`. Rows are folded inside their block; a group then
+    has one row per block, and its text is the first value and the texts of the blocks. Only a
+    group in which a value may equal the text so far, told by lengths, is folded value by value.
+    A text longer than max_chars cannot be one value: it is NULL and `too_long` is true.
     """
     scope = scope or []
     keys = [*scope, "_key"]
     folded = [f for f in fields if f != group_by and f not in shared]
     keep = [f for f in fields if f not in folded]
-    rows = records.withColumn("_key", text_or_empty(F.col(group_by)))
-    out = [*scope, *order, *fields, "part"]
-    ends = trim if trim_ends else (lambda c: c)
-
-    # The list is bounded and usually empty; knowing it now keeps the pieces out of most plans.
-    found = hot_keys(rows, keys, min_rows).select(*keys).collect()
-    small = rows
-    if found:
-        spark = rows.sparkSession
-        listed = F.broadcast(spark.createDataFrame(found, rows.select(*keys).schema))
-        # Three passes read the rows of hot groups, so they are written once.
-        folder = shared_folder(spark, "hot-groups")
-        rows.join(listed, keys).select(*keys, *order, *fields, *_block_columns(block)).write.parquet(folder)
-        large = spark.read.parquet(folder)
-        hot = _splittable(large, keys, folded, order, fields)
-        small = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    picked = F.struct(*order, *keep, *[text_or_empty(F.col(f)).alias(f) for f in folded])
-    one = F.col("_rows")[0]
-    merged = (
-        small.groupBy(*keys).agg(F.sort_array(F.collect_list(picked)).alias("_rows"))
-        .select(
-            *scope, *[one[c].alias(c) for c in [*order, *keep]],
-            *[ends(_appended("_rows", f)).alias(f) for f in folded],
-            F.lit(0).cast("bigint").alias("part"),
-        )
-        .select(*out)
-    )
-    if not found:
-        return merged
-    return merged.unionByName(_pieces(large, hot, keys, scope, folded, keep, order, len(block), trim_ends).select(*out))
-
-
-def _block_columns(block: list[Column]) -> list[Column]:
-    return [b.alias(f"_b{i}") for i, b in enumerate(block)]
-
-
-def _pieces(large, hot, keys, scope, folded, keep, order, blocks, trim_ends) -> DataFrame:
-    """Hot groups as pieces; see merge_groups."""
-    names = [f"_b{i}" for i in range(blocks)]
-    starts = hot.select(*keys, *[f"_p_{f}" for f in folded])
-    blocks = (
-        large.join(F.broadcast(starts), keys)
-        .withColumn("_at", F.struct(*order))
-        .groupBy(*keys, *names)
-        .agg(F.min("_at").alias("_at"), *[
-            F.sort_array(F.collect_list(
-                F.when((F.col("_at") >= F.col(f"_p_{f}")) & ~is_empty(F.col(f)), F.struct("_at", F.col(f).alias("v")))
-            )).alias(f)
-            for f in folded
-        ])
-        .withColumns({f: F.array_join(F.transform(f, lambda r: F.concat(F.lit(","), r["v"])), "") for f in folded})
-        .filter(F.concat(F.lit(""), *folded) != "")
-    )
-    # Only keys and flags go through the window; there is one row per block.
-    numbers = (
-        blocks.select(*keys, *names, *[(F.col(f) != "").alias(f"_has_{f}") for f in folded])
-        .withColumn("part", F.row_number().over(Window.partitionBy(*keys).orderBy(*names)).cast("bigint") + 1)
-    )
-    last = numbers.groupBy(*keys).agg(
-        F.max("part").alias("_parts"), *[F.max(F.when(F.col(f"_has_{f}"), F.col("part"))).alias(f"_last_{f}") for f in folded])
-    head = {f: F.col(f"_v_{f}") for f in folded}
-    tail = {f: F.col(f) for f in folded}
-    if trim_ends:
-        ws = F.lit(WS)
-        head = {f: F.when(F.col(f"_last_{f}").isNull(), trim(c)).otherwise(F.ltrim(c, ws)) for f, c in head.items()}
-        tail = {f: F.when(F.col("part") == F.col(f"_last_{f}"), F.rtrim(c, ws)).otherwise(c) for f, c in tail.items()}
-    first = hot.join(last, keys, "left").select(
-        *scope, *[F.col("_first")[c].alias(c) for c in [*order, *keep]],
-        *[c.alias(f) for f, c in head.items()], F.lit(1).cast("bigint").alias("part"),
+    runs = [f"_b{i}" for i in range(len(block))]
+    rows = records.withColumns({"_key": text_or_empty(F.col(group_by)), **dict(zip(runs, block))})
+    parts = rows.groupBy(*keys, *runs).agg(
+        F.min(F.struct(*order, *keep)).alias("_first"),
+        *[F.transform(F.sort_array(F.collect_list(F.when(~is_empty(F.col(f)), F.struct(*order, F.col(f).alias("_v"))))), lambda r: r["_v"]).alias(f"_x_{f}")
+          for f in folded],
     )
-    later = blocks.join(numbers.select(*keys, *names, "part"), [*keys, *names]).join(last, keys).join(
-        F.broadcast(hot.select(*keys, "_first")), keys).select(
-        *scope, *[F.col("_at")[c].alias(c) for c in order], *[F.col("_first")[c].alias(c) for c in keep],
-        *[c.alias(f) for f, c in tail.items()], "part",
+    group = Window.partitionBy(*keys)
+    along = group.orderBy(*runs)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    every = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.withColumns({
+        **{f"_v_{f}": F.first(F.get(f"_x_{f}", F.lit(0)), ignorenulls=True).over(every) for f in folded},
+        **{f"_m_{f}": F.max(F.array_max(F.transform(f"_x_{f}", F.length))).over(every) for f in folded},
+    })
+    parts = parts.withColumns({f"_d_{f}": _differs(f"_x_{f}", f"_v_{f}") for f in folded})
+    parts = parts.withColumns({f"_s_{f}": F.coalesce(F.max(f"_d_{f}").over(before), F.lit(False)) for f in folded})
+    parts = parts.withColumns({f"_x_{f}": F.when(F.col(f"_s_{f}"), F.col(f"_x_{f}")).otherwise(_from_second(f"_x_{f}", f"_v_{f}")) for f in folded})
+    parts = parts.withColumns({f"_n_{f}": _chars(f"_x_{f}") for f in folded})
+    parts = parts.withColumns({
+        **{f"_l_{f}": F.length(f"_v_{f}") + F.coalesce(F.sum(f"_n_{f}").over(before), F.lit(0)) for f in folded},
+        **{f"_t_{f}": F.length(f"_v_{f}") + F.sum(f"_n_{f}").over(every) for f in folded},
+    })
+    parts = parts.withColumns({f"_e_{f}": F.coalesce((F.col(f"_l_{f}") <= F.col(f"_m_{f}")) & _may_echo(f"_x_{f}", f"_v_{f}", f"_l_{f}"), F.lit(False)) for f in folded})
+    parts = parts.withColumns({f"_e_{f}": F.max(f"_e_{f}").over(every) for f in folded})
+    plain = {f: F.concat(F.when(F.size(f"_x_{f}") > 0, F.lit(",")).otherwise(""), F.array_join(f"_x_{f}", ",")) for f in folded}
+    fits = {f: F.coalesce(F.col(f"_t_{f}"), F.lit(0)) <= max_chars for f in folded}
+    piece = F.struct(*runs, *[
+        F.when(fits[f], F.struct(F.when(~F.col(f"_e_{f}"), plain[f]).alias("text"), F.when(F.col(f"_e_{f}"), F.col(f"_x_{f}")).alias("values"))).alias(f"_p_{f}") for f in folded])
+    merged = parts.groupBy(*keys).agg(
+        F.min("_first").alias("_first"), F.sort_array(F.collect_list(piece)).alias("_pieces"),
+        *[F.first(f"{c}{f}").alias(f"{c}{f}") for f in folded for c in ("_v_", "_m_", "_e_", "_t_")],
     )
-    return first.unionByName(later)
-
-
-def _splittable(hot_rows: DataFrame, keys: list[str], folded: list[str], order: list[str], fields: list[str]) -> DataFrame:
-    """Hot groups with their first record, first values and the row where other values begin.
+    ends = trim if trim_ends else (lambda c: c)
 
-    From that row on every value is appended, unless it equals the text so far. Such a value would
-    start with the first value and a comma, so groups that hold one are left to the ordered fold.
-    """
-    hot_rows = hot_rows.withColumn("_at", F.struct(*order))
-    firsts = hot_rows.groupBy(*keys).agg(
-        F.min_by(F.struct(*order, *fields), "_at").alias("_first"),
-        *[F.min_by(f, F.when(~is_empty(F.col(f)), F.col("_at"))).alias(f"_v_{f}") for f in folded],
-    ).withColumns({f"_v_{f}": text_or_empty(F.col(f"_v_{f}")) for f in folded})
-    others = {f: ~is_empty(F.col(f)) & (F.col(f) != F.col(f"_v_{f}")) for f in folded}
-    echo = reduce(lambda a, b: a | b, [
-        F.coalesce(F.startswith(F.col(f), F.concat(f"_v_{f}", F.lit(","))), F.lit(False)) for f in folded
-    ], F.lit(False))
-    profile = hot_rows.join(F.broadcast(firsts.drop("_first")), keys).groupBy(*keys).agg(
-        *[F.min(F.when(others[f], F.col("_at"))).alias(f"_p_{f}") for f in folded], F.max(echo).alias("_echo"),
-    )
-    return firsts.join(profile.filter(~F.col("_echo")).drop("_echo"), keys)
+    def text(f: str) -> Column:
+        joined = F.concat(F.col(f"_v_{f}"), F.array_join(F.transform("_pieces", lambda p: p[f"_p_{f}"]["text"]), ""))
+        values = F.flatten(F.transform("_pieces", lambda p: p[f"_p_{f}"]["values"]))
+        whole = F.when(F.col(f"_e_{f}"), _folded(values, f"_v_{f}", f"_m_{f}")).otherwise(joined)
+        return F.when(fits[f], ends(text_or_empty(whole))).alias(f)
+
+    too_long = F.lit(False)
+    for f in folded:
+        too_long = too_long | ~fits[f]
+    return merged.select(*scope, *[F.col("_first")[c].alias(c) for c in [*order, *keep]], *[text(f) for f in folded], too_long.alias("too_long")).select(
+        *scope, *order, *fields, "too_long")

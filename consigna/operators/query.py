@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consigna.functions.text import text_or_empty, trim
-from consigna.operators.skew import HOT_ROWS, hot_keys, join_children
+from consigna.operators.skew import join_children, number_rows
 
 ORDER_COLUMNS = {
     "externalCode": "external_code", "storeName": "store_name", "receiverName": "receiver_name",
@@ -19,9 +19,6 @@ ITEM_COLUMNS = {
 # Largest page set (page × page size) that is broadcast; deeper pages shuffle.
 BROADCAST_PAGE = 100_000
 
-# Most items in one nested list; a longer list goes on in the next part.
-PART_ITEMS = 10_000
-
 
 def _iso(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -57,13 +54,15 @@ def filter_orders(
     if receiver_name:
         orders = orders.filter(_like(F.col("receiver_name"), receiver_name))
     if start:
-        orders = orders.filter(F.col("created_at") >= F.lit(start).cast(kind))
+        since = F.lit(start).cast(kind)
+        orders = _day_range(orders, since=since).filter(F.col("created_at") >= since)
     if end:
-        orders = orders.filter(F.col("created_at") <= F.lit(end).cast(kind) + F.expr("INTERVAL 1 DAY"))
+        until = F.lit(end).cast(kind) + F.expr("INTERVAL 1 DAY")
+        orders = _day_range(orders, until=until).filter(F.col("created_at") <= until)
     return orders
 
 
-def orders_with_items(orders: DataFrame, items: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     """One row per item, one row for an order without items."""
     children = items.select(
         F.col("order_id").alias("orderId"), F.col("id").alias("itemId"),
@@ -72,7 +71,7 @@ def orders_with_items(orders: DataFrame, items: DataFrame, min_rows: int = HOT_R
     parents = orders.select(
         F.col("id").alias("orderId"), *[F.col(c).alias(n) for n, c in ORDER_COLUMNS.items()], "created_at"
     )
-    return join_children(parents, children, "orderId", ["itemId"], min_rows)
+    return join_children(parents, children, "orderId")
 
 
 def orders_count(orders: DataFrame) -> DataFrame:
@@ -119,52 +118,65 @@ def orders_search(orders: DataFrame, items: DataFrame, page: int = 1, page_size:
     )
 
 
-def items_nested(items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
-    """Items of each order as lists of structs, sorted by item id inside a list.
+def items_nested(items: DataFrame, block: list[Column] | None = None) -> DataFrame:
+    """Items of each order in id order, as rows: order_id, position (from 1) and the item's fields.
 
-    An order with more than part_items items has its list in several parts, by a hash of the id.
+    Rows put together by position are the order's list. `block` cuts an order's items into runs along
+    the id, by default by the first characters of the hexadecimal ids, so an order of any size is
+    numbered by many tasks.
     """
-    hot = F.broadcast(hot_keys(items, ["order_id"], part_items).select(
-        "order_id", F.ceil(F.col("_n") / part_items).alias("_parts")))
-    item = F.struct("id", *[F.col(c).alias(n) for n, c in ITEM_COLUMNS.items()])
-    return (
-        items.join(hot, "order_id", "left")
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("_parts", F.lit(1))))
-        .groupBy("order_id", "part")
-        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
-        .select("order_id", "part", F.transform("_items", lambda i: i.dropFields("id")).alias("items"))
-    )
+    numbered = number_rows(items, ["order_id"], block or [F.substring("id", 1, 3)], [F.col("id")], "position")
+    return numbered.select("order_id", F.col("position").cast("bigint").alias("position"), *[F.col(c).alias(n) for n, c in ITEM_COLUMNS.items()])
 
 
-def _with_items(orders: DataFrame, items: DataFrame, part_items: int) -> DataFrame:
-    nested = items_nested(items, part_items)
+def _with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """Each order with one list of its items in id order; the answer has the list as one value."""
+    item = F.struct("id", *[F.col(c).alias(n) for n, c in ITEM_COLUMNS.items()])
+    nested = items.groupBy("order_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    nested = nested.select("order_id", F.transform("_items", lambda i: i.dropFields("id")).alias("items"))
     struct = nested.schema["items"].dataType.simpleString()
     return (
         orders.join(nested, orders["id"] == nested["order_id"], "left")
         .select(
             F.col("id").alias("orderId"), *[F.col(c).alias(n) for n, c in ORDER_COLUMNS.items()],
             _iso(F.col("created_at")).alias("createdAt"), F.lit(None).cast("double").alias("amount"),
-            F.coalesce("part", F.lit(0).cast("bigint")).alias("part"),
             F.coalesce("items", F.array().cast(struct)).alias("items"),
         )
     )
 
 
+def _day_range(orders: DataFrame, since: Column | None = None, until: Column | None = None) -> DataFrame:
+    """The same orders; on a stored table the partitions of other days are not read."""
+    if "created_day" in orders.columns:
+        if since is not None:
+            orders = orders.filter(F.col("created_day") >= F.to_date(since))
+        if until is not None:
+            orders = orders.filter(F.col("created_day") <= F.to_date(until))
+    return orders
+
+
 def orders_sync(
     orders: DataFrame, items: DataFrame, updated_after: str | None = None, page: int = 1, page_size: int = 50,
-    part_items: int = PART_ITEMS,
+    after: tuple[str, str] | None = None,
 ) -> DataFrame:
     """One page of orders changed since a time, with nested items.
 
-    The page is taken on orders first; items only meet the page.
+    The page is taken on orders first; items only meet the page. With `after`, the (created_at, id) of
+    the last order seen, the page starts behind it and its number is not used: no deep page is sorted.
     """
     page, page_size = clamp_page(page, page_size)
+    kind = orders.schema["created_at"].dataType
     if updated_after:
-        kind = orders.schema["created_at"].dataType
-        orders = orders.filter(F.col("created_at") >= F.lit(updated_after).cast(kind))
-    chosen = orders.orderBy(*_newest("created_at", "id")).offset((page - 1) * page_size).limit(page_size)
+        since = F.lit(updated_after).cast(kind)
+        orders = _day_range(orders, since=since).filter(F.col("created_at") >= since)
+    skip = (page - 1) * page_size
+    if after:
+        at = F.lit(after[0]).cast(kind)
+        orders = _day_range(orders, until=at).filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > after[1])))
+        skip = 0
+    chosen = orders.orderBy(*_newest("created_at", "id")).offset(skip).limit(page_size)
     own = items.join(F.broadcast(chosen.select(F.col("id").alias("order_id"))), "order_id", "left_semi")
-    return _with_items(chosen, own, part_items)
+    return _with_items(chosen, own)
 
 
 def first_order_of_code(orders: DataFrame) -> DataFrame:
@@ -177,13 +189,13 @@ def first_order_of_code(orders: DataFrame) -> DataFrame:
     )
 
 
-def order_detail(codes: DataFrame, orders: DataFrame, items: DataFrame, code: str = "code", part_items: int = PART_ITEMS) -> DataFrame:
+def order_detail(codes: DataFrame, orders: DataFrame, items: DataFrame, code: str = "code") -> DataFrame:
     """Order and nested items of each asked code, with a status for codes that have none."""
     asked = codes.select(trim(F.col(code)).alias("code")).distinct()
     wanted = orders.join(asked.select(F.col("code").alias("external_code")), "external_code", "left_semi")
     chosen = first_order_of_code(wanted)
     own = items.join(chosen.select(F.col("id").alias("order_id")), "order_id", "left_semi")
-    details = _with_items(chosen, own, part_items)
+    details = _with_items(chosen, own)
     status = (
         F.when(text_or_empty(F.col("code")) == "", "invalid_external_code")
         .when(F.col("orderId").isNull(), "order_not_found").otherwise("found")

@@ -5,49 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key with more rows than this is split; fewer rows always fit one task.
-HOT_ROWS = 200_000
-
-# At most this many keys can be hot, so the list may be broadcast. A key that does not make the
-# list holds less than 1/100,000 of all rows.
-HOT_KEYS = 100_000
-
-
-def hot_keys(df: DataFrame, keys: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
-    """The largest keys with more than min_rows rows, and their row count `_n`."""
-    return (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > min_rows)
-        .orderBy(F.col("_n").desc(), *keys)
-        .limit(HOT_KEYS)
-    )
-
-
-def join_children(
-    parents: DataFrame, children: DataFrame, key: str, child_id: list[str], min_rows: int = HOT_ROWS
-) -> DataFrame:
+def join_children(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
     """Left join of unique parents with children, where one parent may own most children.
 
-    The children of a hot parent are spread over parts by a hash of their id and the parent is
-    repeated once per part. A hot parent has children, so its parts without any are dropped.
+    The inner join can be split by adaptive execution at any key; the parents without children come
+    from an anti join against the distinct keys. No list of large keys is needed.
     """
-    hot = F.broadcast(hot_keys(children, [key], min_rows).select(
-        key, F.ceil(F.col("_n") / min_rows).cast("int").alias("_parts")))
-    left = (
-        parents.join(hot, key, "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-    )
-    right = (
-        children.join(hot, key, "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*child_id), F.coalesce("_parts", F.lit(1))).cast("int"))
-        .drop("_parts")
-        .withColumn("_child", F.lit(True))
-    )
-    return (
-        left.join(right, [key, "_part"], "left")
-        .filter(F.col("_parts").isNull() | F.col("_child"))
-        .drop("_part", "_parts", "_child")
-    )
+    with_ = parents.join(children, key)
+    childless = parents.join(children.select(key).distinct(), key, "left_anti")
+    return with_.unionByName(childless, allowMissingColumns=True)
 
 
 def number_rows(

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from consigna.functions.regex import translate
 from consigna.functions.text import text_or_empty, trim
-from consigna.schema import MAX_TEXT
 
 PREVIEW_ROWS = 20
 PREVIEW_CHARS = 5000
@@ -26,10 +25,7 @@ def preview_rows(rows: DataFrame, n: int = PREVIEW_ROWS) -> DataFrame:
 
 
 def preview_sample(rows: DataFrame) -> DataFrame:
-    """Per file: first rows as tab-separated lines and as cells, row count, sheet names.
-
-    Sheet names that do not fit one text are not gathered; the file then has none.
-    """
+    """Per file: first rows as tab-separated lines and as cells, row count, sheet names."""
     first = preview_rows(rows).groupBy("file_id").agg(
         F.sort_array(F.collect_list(F.struct(
             "row_idx", F.transform("cells", lambda c: text_or_empty(c)).alias("cells")))).alias("_rows")
@@ -38,14 +34,7 @@ def preview_sample(rows: DataFrame) -> DataFrame:
         F.count_if((F.col("sheet_idx") == 0) & F.col("row_idx").isNotNull()).alias("total_rows")
     )
     names = rows.select("file_id", "sheet_idx", "sheet_name").distinct()
-    fits = (
-        names.groupBy("file_id").agg(F.sum(F.length("sheet_name") + 2).alias("_chars"))
-        .filter(F.col("_chars") <= MAX_TEXT).select("file_id")
-    )
-    sheets = (
-        names.join(fits, "file_id", "left_semi")
-        .groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("sheet_idx", "sheet_name"))).alias("_sheets"))
-    )
+    sheets = names.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("sheet_idx", "sheet_name"))).alias("_sheets"))
     return (
         size.join(first, "file_id", "left").join(sheets, "file_id", "left")
         .select(

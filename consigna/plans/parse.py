@@ -9,19 +9,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from consigna.functions.regex import translate
-from consigna.functions.text import is_empty, trim
 from consigna.operators import cards, cleanup, matrix, merge, metadata, splitting, textmode
 from consigna.operators.extract import compile_mapping, project_record, sheet_values
 from consigna.operators.rules_table import match_rule_by_filename
-from consigna.operators.sheets import Region, SheetChoice, region_rows, select_sheet, select_sheets_union
-from consigna.operators.skew import HOT_ROWS
-from consigna.schema import BLOCK_ROWS, FIELDS, ORDER_KEYS, SEQ
+from consigna.operators.sheets import NO_SHEETS, NO_SHEETS_MULTI, Region, SheetChoice, region_rows, select_sheet, select_sheets_union
+from consigna.schema import BLOCK_ROWS, FIELDS, ORDER_KEYS, SEQ, TEXT_TOO_LONG
 from consigna.session import shared_folder
-from consigna.sources.texts import text_from_pages
+from consigna.sources.texts import NO_TEXT, text_from_pages
 
 # Messages of rules that cannot run.
 NO_SOURCE = "规则配置缺少 source 字段，无法确定解析模式。请重新生成或编辑规则。"
@@ -29,7 +27,7 @@ NO_RULE = "规则配置为空，请检查规则是否正确保存。"
 NULL_START = "Engine error: Cannot read properties of null (reading 'test')"
 ENDLESS_ITEMS = "Engine error: itemPattern matches empty text"
 
-POSITION = ["file_id", *ORDER_KEYS, "part"]
+POSITION = ["file_id", *ORDER_KEYS]
 
 
 @dataclass(frozen=True)
@@ -151,15 +149,19 @@ def _text(pages: DataFrame, rule: dict) -> Parsed:
         parts.drop("text").withColumns({"sheet_idx": F.lit(None).cast("int"), "row_idx": F.lit(None).cast("int")}), errors)
 
 
+def _unknown(kind: str | None) -> str:
+    return f"Unknown source type: {'undefined' if kind == 'None' else kind}"
+
+
 def _extract(rows: DataFrame, pages: DataFrame | None, rule: dict, block_rows: int) -> Parsed:
     kind = source_type(rule)
     given = rows if kind != "text" or pages is None else pages
     if kind is None:
         return _failed(given, NO_SOURCE)
     if kind == "text":
-        return _text(pages, rule) if pages is not None else _failed(rows, "No text content available for text mode parsing")
+        return _text(pages, rule) if pages is not None else _failed(rows, NO_TEXT)
     if kind not in ("table", "matrix", "card", "multi-sheet"):
-        return _failed(given, f"Unknown source type: {'undefined' if kind == 'None' else kind}")
+        return _failed(given, _unknown(kind))
     choice = SheetChoice.of((rule.get("source") or {}).get("sheetConfig"))
     if kind == "multi-sheet":
         return _table(*select_sheets_union(rows, choice), rule)
@@ -175,10 +177,10 @@ def _record_fields(records: DataFrame) -> list[str]:
 
 def _positioned(records: DataFrame) -> DataFrame:
     missing = {c: F.lit(0) for c in SEQ if c not in records.columns}
-    return records.withColumns(missing | {"part": F.lit(0).cast("bigint")})
+    return records.withColumns(missing)
 
 
-def _aggregate(records: DataFrame, config: dict, trim_ends: bool, block_rows: int, min_rows: int) -> DataFrame:
+def _aggregate(records: DataFrame, config: dict, trim_ends: bool, block_rows: int) -> DataFrame:
     key = config["groupBy"]
     if key not in records.columns:
         records = records.withColumn(key, F.lit(None).cast("string"))
@@ -187,39 +189,17 @@ def _aggregate(records: DataFrame, config: dict, trim_ends: bool, block_rows: in
         F.floor(F.coalesce("row_idx", F.lit(0)) / block_rows), F.floor(F.col("text_part") / block_rows),
     ]
     return merge.merge_groups(
-        records, key, config.get("sharedFields") or [], _record_fields(records), ORDER_KEYS, block,
-        ["file_id"], trim_ends, min_rows,
-    )
+        records, key, config.get("sharedFields") or [], _record_fields(records), ORDER_KEYS, block, ["file_id"], trim_ends)
 
 
-def _post_process(records: DataFrame, config: dict, folded: list[str]) -> DataFrame:
-    """Clean-up; in the later pieces of a long merged record the folded fields are left alone."""
-    piece, later = F.col("part") > 0, F.col("part") > 1
-    fields = _record_fields(records)
+def _post_process(records: DataFrame, config: dict) -> DataFrame:
     if config.get("trimWhitespace"):
-        trimmed = cleanup.trim_fields(records, fields)
-        own = {f: F.when(piece, records[f]).otherwise(trim(records[f])) for f in fields if f in folded}
-        records = records.withColumns(own | {f: trim(F.col(f)) for f in fields if f not in folded}) if folded else trimmed
+        records = cleanup.trim_fields(records, _record_fields(records))
     if config.get("defaultValues"):
-        records = _guarded(records, cleanup.fill_defaults, config["defaultValues"], folded, later)
+        records = cleanup.fill_defaults(records, config["defaultValues"])
     if config.get("staticValues"):
-        records = _guarded(records, cleanup.override_static, config["staticValues"], folded, later)
-    if config.get("removeEmptyRows"):
-        whole = cleanup.drop_empty(records)
-        records = whole if not folded else records.filter(piece | _any_field(records))
-    return records
-
-
-def _any_field(records: DataFrame) -> Column:
-    return reduce(lambda a, b: a | b, [~is_empty(F.col(f)) for f in FIELDS if f in records.columns], F.lit(False))
-
-
-def _guarded(records: DataFrame, step, values: dict[str, str], folded: list[str], later: Column) -> DataFrame:
-    out = step(records, values)
-    hold = [f for f in values if f in folded]
-    empty = F.lit("")
-    kept = {f: F.when(later, empty if step is cleanup.override_static else records[f]).otherwise(out[f]) for f in hold}
-    return out if not kept else out.withColumns(kept)
+        records = cleanup.override_static(records, config["staticValues"])
+    return cleanup.drop_empty(records) if config.get("removeEmptyRows") else records
 
 
 def _canonical(records: DataFrame) -> DataFrame:
@@ -236,15 +216,29 @@ def _canonical(records: DataFrame) -> DataFrame:
     )
 
 
+def _absent(files: DataFrame, rows: DataFrame, pages: DataFrame | None, rule: dict) -> DataFrame:
+    """Errors of the files that have nothing the rule reads: no row at all, or no page for a text rule."""
+    kind = source_type(rule)
+    given = rows if kind != "text" or pages is None else pages
+    message = {None: NO_SOURCE, "text": NO_TEXT, "multi-sheet": NO_SHEETS_MULTI, "table": NO_SHEETS, "matrix": NO_SHEETS, "card": NO_SHEETS}.get(
+        kind, _unknown(kind))
+    return _errors(_files(files).join(_files(given), "file_id", "left_anti"), message)
+
+
 def parse(
     rows: DataFrame, pages: DataFrame | None, rule: dict | None,
-    block_rows: int = BLOCK_ROWS, min_rows: int = HOT_ROWS,
+    block_rows: int = BLOCK_ROWS, files: DataFrame | None = None,
 ) -> Parsed:
-    """Apply one rule to all given files: extract, split cells, aggregate, clean up."""
+    """Apply one rule to all given files: extract, split cells, aggregate, clean up.
+
+    `files` lists the files there should be; one without anything to read has an error too.
+    """
     if rule is None:
-        failed = _failed(rows, NO_RULE)
+        failed = _failed(rows if files is None else files, NO_RULE)
         return Parsed(_canonical(_positioned(failed.records)), failed.errors)
     got = _extract(rows, pages, rule, block_rows)
+    if files is not None:
+        got = Parsed(got.records, got.errors.unionByName(_absent(files, rows, pages, rule)))
     records = got.records
     split = rule.get("cellSplitting")
     if split:
@@ -253,13 +247,13 @@ def parse(
             records, split["targetField"], translate(split["splitPattern"]), extract, split.get("extractFields") or [])
     records = _positioned(records)
     post = rule.get("postProcessing") or {}
-    folded: list[str] = []
+    errors = got.errors
     if rule.get("aggregation"):
-        config = rule["aggregation"]
-        records = _aggregate(records, config, bool(post.get("trimWhitespace")), block_rows, min_rows)
-        folded = [f for f in _record_fields(records)
-                  if f != config["groupBy"] and f not in (config.get("sharedFields") or [])]
-    return Parsed(_canonical(_post_process(records, post, folded)), got.errors)
+        records = _aggregate(records, rule["aggregation"], bool(post.get("trimWhitespace")), block_rows)
+        # A file with a merged text that cannot be one value has this error; its other records stay.
+        errors = errors.unionByName(_errors(_files(records.filter("too_long")), TEXT_TOO_LONG))
+        records = records.filter("NOT too_long").drop("too_long")
+    return Parsed(_canonical(_post_process(records, post)), errors)
 
 
 def _by_rule(df: DataFrame, routed: DataFrame, name: str) -> DataFrame:
@@ -281,7 +275,8 @@ def parse_files(files: DataFrame, rows: DataFrame, pages: DataFrame, rules: list
     done = []
     for rule in rules:
         mine = F.col("rule_id") == rule["id"]
-        done.append(parse(rows.filter(mine).drop("rule_id"), pages.filter(mine).drop("rule_id"), rule))
+        own = routed.filter(mine).select("file_id")
+        done.append(parse(rows.filter(mine).drop("rule_id"), pages.filter(mine).drop("rule_id"), rule, files=own))
     unmatched = _errors(routed.filter(F.col("rule_id").isNull()), "未找到匹配的预设规则")
     return Parsed(
         reduce(DataFrame.unionByName, [p.records for p in done]),

@@ -1,17 +1,69 @@
-"""The order store as Parquet tables."""
+"""The order store as Parquet tables.
+
+A load writes its rows under a new attempt and then publishes one row per batch that names the attempt.
+Readers only see published attempts, of each batch the last one, so a load that was interrupted, or run
+again with fewer rows, leaves nothing behind that anyone reads.
+"""
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from consigna.functions.text import text_or_empty
 from consigna.schema import EXPORT_LABELS
 
+QUANTITY = "decimal(38,18)"
 
-def orders_scan(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
-    """Orders of a day range; the day is the partition column, so other days are not read."""
-    df = spark.read.parquet(f"{path}/orders")
+# Tables are partitioned by day alone: a day holds many batches, a batch is found by its column.
+SCHEMAS = {
+    "orders": (
+        "id STRING, external_code STRING, store_name STRING, receiver_name STRING, receiver_phone STRING, "
+        "receiver_address STRING, remark STRING, batch_id STRING, created_at TIMESTAMP, attempt STRING, created_day DATE"),
+    "order_items": (
+        f"id STRING, order_id STRING, sku_code STRING, sku_name STRING, sku_quantity {QUANTITY}, sku_quantity_text STRING, "
+        "sku_spec STRING, batch_id STRING, created_at TIMESTAMP, attempt STRING, created_day DATE"),
+    "import_batches": (
+        "batch_id STRING, total_count BIGINT, success_count BIGINT, fail_count BIGINT, error_count BIGINT, status STRING, "
+        "created_at TIMESTAMP, attempt STRING"),
+    "rejected_records": "batch_id STRING, position STRING, reason STRING, record STRING, attempt STRING",
+    "import_errors": "batch_id STRING, position STRING, field STRING, message STRING, attempt STRING",
+}
+
+
+def new_attempt() -> str:
+    """A name for one load; later loads have greater names."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+
+def _has_files(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table with its schema; one that was never written has no rows."""
+    schema = SCHEMAS[name]
+    if not _has_files(spark, f"{path}/{name}"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/{name}")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The last published attempt of each batch, as its summary row."""
+    rows = read_table(spark, path, "import_batches")
+    last = rows.groupBy("batch_id").agg(F.max("attempt").alias("attempt"))
+    return rows.join(last, ["batch_id", "attempt"], "left_semi")
+
+
+def _visible(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return read_table(spark, path, name).join(published(spark, path).select("batch_id", "attempt"), ["batch_id", "attempt"], "left_semi")
+
+
+def _days(df: DataFrame, since, until) -> DataFrame:
     if since is not None:
         df = df.filter(F.col("created_day") >= F.lit(since).cast("date"))
     if until is not None:
@@ -19,8 +71,29 @@ def orders_scan(spark: SparkSession, path: str, since=None, until=None) -> DataF
     return df
 
 
-def items_scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/order_items")
+def orders_scan(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """Orders of a day range; the day is the partition column, so other days are not read."""
+    return _days(_visible(spark, path, "orders"), since, until).drop("attempt")
+
+
+def items_scan(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """Items of the orders of a day range; other days are not read."""
+    return _days(_visible(spark, path, "order_items"), since, until).drop("attempt")
+
+
+def import_batches(spark: SparkSession, path: str) -> DataFrame:
+    """One row per batch ever loaded or refused."""
+    return published(spark, path).drop("attempt")
+
+
+def rejected_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records that broke a rule of the store, as JSON, with their position and the reason."""
+    return _visible(spark, path, "rejected_records").drop("attempt")
+
+
+def import_errors(spark: SparkSession, path: str) -> DataFrame:
+    """Validation and parse errors of refused batches; a parse error has no field."""
+    return _visible(spark, path, "import_errors").drop("attempt")
 
 
 def export_records(records: DataFrame) -> DataFrame:
@@ -32,18 +105,29 @@ def write_export(records: DataFrame, path: str) -> None:
     export_records(records).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"')
 
 
-def write_orders(orders: DataFrame, items: DataFrame, path: str) -> None:
-    """Write batches; a batch is a partition, so writing it again replaces it.
+def append(df: DataFrame, path: str, name: str, attempt: str) -> None:
+    """Rows of one attempt, in the table's schema; columns the table lacks are left out."""
+    df = df.withColumn("attempt", F.lit(attempt))
+    days = "created_day" in SCHEMAS[name]
+    if days:
+        df = df.withColumn("created_day", F.to_date("created_at")).hint("rebalance", "created_day")
+    want = [f.split() for f in SCHEMAS[name].split(", ")]
+    df = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in want])
+    writer = df.write.mode("append")
+    (writer.partitionBy("created_day") if days else writer).parquet(f"{path}/{name}")
+
+
+def write_orders(orders: DataFrame, items: DataFrame, path: str, summary: DataFrame | None = None, attempt: str | None = None) -> None:
+    """Write batches and publish them; a batch written again replaces its earlier rows.
 
-    All rows of a batch have the batch's created_at. Rows are spread by batch before the write,
-    small batches together and a large batch over several files.
+    `summary` is the row of each batch to publish; without it the orders are counted. Nothing of this
+    load is read before its last write, that of the summary.
     """
-    days = orders.withColumn("created_day", F.to_date("created_at"))
-    for name, df, parts in (("orders", days, ["created_day", "batch_id"]), ("order_items", items, ["batch_id"])):
-        (
-            df.hint("rebalance", *parts)
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*parts)
-            .parquet(f"{path}/{name}")
-        )
+    attempt = attempt or new_attempt()
+    append(orders, path, "orders", attempt)
+    append(items, path, "order_items", attempt)
+    if summary is None:
+        n = F.count(F.lit(1))
+        summary = orders.groupBy("batch_id").agg(n.alias("total_count"), n.alias("success_count"), F.min("created_at").alias("created_at")).withColumns({
+            "fail_count": F.lit(0), "error_count": F.lit(0), "status": F.lit("completed")})
+    append(summary, path, "import_batches", attempt)

@@ -1,10 +1,13 @@
 """Operators on small hand-made inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from consigna.functions import cells as C
 from consigna.functions.regex import translate
+from consigna.functions.text import to_number
 from consigna.operators import cleanup, duplicates, edits, load, query, rules_table, sheets, splitting, suggest, summary, validate
 from consigna.operators.extract import cell_at
 from consigna.plans.presets import PRESETS
@@ -161,7 +164,7 @@ def test_accept_reject(spark):
     checked = load.accept_reject(df).withColumn("batch_id", F.lit("b"))
     assert [r.rejected is None for r in checked.orderBy("pos").collect()] == [True, False, False, True, True, True]
     got = load.batch_summary(checked).first().asDict()
-    assert got == {"batch_id": "b", "total_count": 6, "success_count": 4, "fail_count": 2, "status": "partial"}
+    assert got == {"batch_id": "b", "total_count": 6, "success_count": 4, "fail_count": 2, "error_count": 0, "status": "partial"}
 
 
 def test_import_is_idempotent(spark, tmp_path):
@@ -169,13 +172,53 @@ def test_import_is_idempotent(spark, tmp_path):
         "batch_id": F.when(F.col("pos") < 2, "ok").otherwise("bad"), "created_at": F.lit("2024-01-02 03:04:05").cast("timestamp")})
     for _ in range(2):
         got = [tuple(r) for r in load.import_job(df, ["pos"], str(tmp_path)).collect()]
-        assert got == [("ok", 2, 1, 1, "partial")]
+        assert sorted(got) == [("bad", 1, 0, 1, 1, "refused"), ("ok", 2, 1, 1, 0, "partial")]
+    assert sorted((r.batch_id, r.status) for r in store.import_batches(spark, str(tmp_path)).collect()) == [("bad", "refused"), ("ok", "partial")]
+    assert [(r.batch_id, r.reason) for r in store.rejected_records(spark, str(tmp_path)).collect()] == [("ok", "receiverName is longer than 100")]
+    assert [(r.batch_id, r.field) for r in store.import_errors(spark, str(tmp_path)).collect()] == [("bad", "skuCode")]
     orders, items = store.orders_scan(spark, str(tmp_path)), store.items_scan(spark, str(tmp_path))
     assert (orders.count(), items.count()) == (1, 1)
     assert orders.join(items, orders["id"] == items["order_id"]).count() == 1
     assert store.orders_scan(spark, str(tmp_path), since="2024-01-03").count() == 0
 
 
+def test_retry_with_fewer_rows_leaves_none(spark, tmp_path):
+    df = records(spark, GOOD, {**GOOD, "skuCode": "B"}).withColumns({"batch_id": F.lit("b"), "created_at": F.lit("2024-01-02").cast("timestamp")})
+    load.import_job(df, ["pos"], str(tmp_path))
+    load.import_job(df.filter("pos = 0").withColumn("created_at", F.lit("2024-02-02").cast("timestamp")), ["pos"], str(tmp_path))
+    assert store.orders_scan(spark, str(tmp_path)).count() == store.items_scan(spark, str(tmp_path)).count() == 1
+    plan = store.items_scan(spark, str(tmp_path), since="2024-02-01")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(created_day" in plan
+    stored = query.filter_orders(store.orders_scan(spark, str(tmp_path)), start="2024-02-01")
+    assert "(created_day" in stored._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_empty_store(spark, tmp_path):
+    df = records(spark, {**GOOD, "skuCode": ""}).withColumns({"batch_id": F.lit("b"), "created_at": F.lit("2024-01-02").cast("timestamp")})
+    assert store.orders_scan(spark, str(tmp_path / "none")).count() == 0
+    load.import_job(df, ["pos"], str(tmp_path))
+    assert store.orders_scan(spark, str(tmp_path)).count() == store.items_scan(spark, str(tmp_path)).count() == 0
+
+
+def test_long_quantities(spark, tmp_path):
+    texts = ["1234567890123456789012345", "0.0000000000000000001", "0xFF", "1e3"]
+    df = records(spark, *[{**GOOD, "skuQuantity": q} for q in texts]).withColumns({"batch_id": F.lit("b"), "created_at": F.lit("2024-01-02").cast("timestamp")})
+    got = load.import_job(df, ["pos"], str(tmp_path)).first()
+    assert (got.success_count, got.fail_count) == (3, 1)
+    assert sorted(r.sku_quantity_text for r in store.items_scan(spark, str(tmp_path)).collect()) == sorted(t for t in texts if t != "0xFF")
+
+
+def test_number_literals(spark):
+    rnd = random.Random(5)
+    texts = ["0xFFFFFFFFFFFFFFFFFF", "0b" + "1" * 70, "0o" + "7" * 40, "0x0", "0b" + "0" * 90 + "101", "0x" + "F" * 300, "0x20000000000001", "0x20000000000003"]
+    texts += ["0x" + "".join(rnd.choices("0123456789abcdef", k=rnd.randrange(1, 40))) for _ in range(60)]
+    texts += ["0b1" + "".join(rnd.choices("01", k=rnd.randrange(1, 140))) for _ in range(60)] + ["0o" + "".join(rnd.choices("01234567", k=rnd.randrange(1, 60))) for _ in range(60)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", to_number(F.col("t")).alias("n")).collect()
+    for r in got:
+        whole = int(r.t, 0)
+        assert r.n == (float(whole) if whole < 2**1024 - 2**970 else float("inf")), r.t
+
+
 def test_search_details(spark):
     orders = spark.createDataFrame([
         ("1", "A_1", "r", "2024-01-01 00:00:00"), ("2", "AB1", "r", "2024-01-02 00:00:00"), ("3", "zz", None, None)],

@@ -10,7 +10,7 @@ from consigna.schema import ORDER_KEYS
 
 
 def rows_of(parsed, *cols):
-    return [tuple(r) for r in parsed.records.orderBy("file_id", *ORDER_KEYS, "part").select(*cols).collect()]
+    return [tuple(r) for r in parsed.records.orderBy("file_id", *ORDER_KEYS).select(*cols).collect()]
 
 
 def errors_of(parsed):
@@ -95,19 +95,14 @@ def test_stock_and_inference(grid):
     assert errors_of(got) == [("f", "Unknown source type: odd")]
 
 
-@pytest.mark.parametrize("min_rows", [200_000, 1])
-def test_aggregation(grid, min_rows):
-    got = parse(grid({"f": [("s", X.LINES_ROWS)]}), None, BY_ID["preset-hunan-cang"], block_rows=2, min_rows=min_rows)
-    if min_rows > 1:
-        assert rows_of(got, "row_idx", "externalCode", "skuCode", "skuQuantity", "remark", "part") == [
-            (3, "H1", "A,B,A", "5,7,5", "急", 0), (6, "H2", "C", "4", "", 0)]
-        errors = error_list(got.records, ["row_idx"]).collect()
-        assert [(r.row_idx, r.field) for r in errors] == [(3, "skuQuantity")]
-    pieces = {}
-    for code, part, *values in sorted(rows_of(got, "externalCode", "part", "skuCode", "skuQuantity", "remark", "storeName")):
-        old = pieces.setdefault(code, ["", "", "", values[3]])
-        pieces[code] = [a + (b or "") for a, b in zip(old[:3], values)] + [values[3]]
-    assert pieces == {"H1": ["A,B,A", "5,7,5", "急", "甲店"], "H2": ["C", "4", "", "乙店"]}
+@pytest.mark.parametrize("block", [65536, 2, 1])
+def test_aggregation(grid, block):
+    got = parse(grid({"f": [("s", X.LINES_ROWS)]}), None, BY_ID["preset-hunan-cang"], block_rows=block)
+    assert rows_of(got, "row_idx", "externalCode", "skuCode", "skuQuantity", "remark", "storeName") == [
+        (3, "H1", "A,B,A", "5,7,5", "急", "甲店"), (6, "H2", "C", "4", "", "乙店")]
+    errors = error_list(got.records, ["row_idx"]).collect()
+    assert [(r.row_idx, r.field) for r in errors] == [(3, "skuQuantity")]
+    assert errors_of(got) == []
 
 
 @pytest.mark.parametrize("block", [65536, 3])
@@ -199,3 +194,15 @@ def test_whole_suite(spark, grid, pages):
         [p["id"] for p in PRESETS] + [None]))
     total = summary.suite_summary(routed, per_file).first().asDict()
     assert total == {"files": 10, "matched": 9, "passed": 9, "failed": 1, "without_rows": 1}
+
+
+def test_files_without_anything_to_read(spark, grid, pages):
+    files = spark.createDataFrame([("a", "x-1.xlsx"), ("b", "x-2.xlsx"), ("c", "y-1.docx"), ("d", "y-2.docx"), ("e", "z.pdf")], "file_id string, file_name string")
+    rules = [
+        {"id": "t", "fileType": "excel", "keywords": ["x-"], "source": {"type": "table"}, "fieldMapping": {"skuCode": {"type": "column", "column": 0}}},
+        {"id": "p", "fileType": "word", "keywords": ["y-"], "source": {"type": "text"}, "textParsing": {"recordSeparator": "#", "fieldPatterns": {"remark": "(.)"}}},
+    ]
+    got = parse_files(files, grid({"b": [("s", [["h"], ["v"]])], "d": [("s", [["h"], ["v"]])]}), pages({"a": ["text"], "c": ["text"]}), rules)
+    assert [e[0] for e in errors_of(got)] == ["a", "d", "e"]
+    done = {r.file_id: (r.success, r.total_rows) for r in summary.parse_summary(files, got.records, got.errors).collect()}
+    assert done == {"a": (False, 0), "b": (True, 1), "c": (True, 1), "d": (False, 0), "e": (False, 0)}

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from consigna.catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -12,10 +13,10 @@ FOLDER = "/root/testdata/sf0.001"
 GLOBAL = {
     "field_coverage", "orders_count", "orders_count_distinct", "orders_search", "orders_sync", "suite_summary",
 }
-WRITERS = {"write_orders", "orders_scan", "items_scan", "import_job", "import_stream", "parse_files"}
+WRITERS = {"write_orders", "orders_scan", "items_scan", "import_job", "import_batches", "rejected_records", "import_errors", "import_stream", "parse_files"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - WRITERS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WRITERS))
 def test_plan(spark, name):
     plan = entry.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"Python|CartesianProduct|BroadcastNestedLoopJoin|ObjectHashAggregate.*UDF", plan)

@@ -28,38 +28,52 @@ def expected(rows):
     return {k: (fold([r[1] or "" for r in g]), fold([r[2] or "" for r in g]), g[0][3], g[0][0]) for k, g in groups.items()}
 
 
-def merged(spark, rows, min_rows, trim=False):
+def merged(spark, rows, block, trim=False):
     df = spark.createDataFrame(rows, "pos int, k string, a string, b string, shared string")
-    out = merge_groups(df, "k", ["shared"], ["k", "a", "b", "shared"], ["pos"], [F.floor(F.col("pos") / 4)], trim_ends=trim, min_rows=min_rows)
-    groups = {}
-    for r in sorted(out.collect(), key=lambda r: r.part):
-        a, b, *rest = groups.get(r.k or "", ("", "", r.shared, r.pos))
-        groups[r.k or ""] = (a + r.a, b + r.b, *rest)
-    return groups
+    out = merge_groups(df, "k", ["shared"], ["k", "a", "b", "shared"], ["pos"], [F.floor(F.col("pos") / block)], trim_ends=trim)
+    got = out.collect()
+    assert len({r.k or "" for r in got}) == len(got) and not any(r.too_long for r in got)
+    return {r.k or "": (r.a, r.b, r.shared, r.pos) for r in got}
 
 
-@pytest.mark.parametrize("min_rows", [1, 3, 10**9])
-@pytest.mark.parametrize("seed", [1, 2])
-def test_merge_groups(spark, seed, min_rows):
+@pytest.mark.parametrize("block", [1, 4, 1000])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_merge_groups(spark, seed, block):
     rnd = random.Random(seed)
     values = [None, "", "x", "y", "x,y", "z", "x,z"]
-    weights = [1, 1, 8, 2, 1 if seed == 1 else 0, 2, 0]
+    weights = [1, 1, 8, 2, 1 if seed != 2 else 0, 2, 0 if seed < 3 else 2]
     rows = [(i, rnd.choice([None, "", "h", "h", "h", "u", f"k{i}"]), *rnd.choices(values, weights, k=2), f"s{i}") for i in range(80)]
-    assert merged(spark, rows, min_rows) == expected(rows)
+    assert merged(spark, rows, block) == expected(rows)
 
 
-@pytest.mark.parametrize("min_rows", [1, 10**9])
-def test_merge_groups_trims_whole_text(spark, min_rows):
+@pytest.mark.parametrize("block", [1, 1000])
+def test_merge_groups_trims_whole_text(spark, block):
     rows = [(i, "k", v, "  ", "s") for i, v in enumerate([" a ", " a ", " b ", "", " c ", " d "])]
-    (a, b, _, _), = merged(spark, rows, min_rows, trim=True).values()
+    (a, b, _, _), = merged(spark, rows, block, trim=True).values()
     assert (a, b) == ("a , b , c , d", "")
 
 
 def test_merge_echo(spark):
-    rows = [(i, "k", v, v, "s") for i, v in enumerate(["a", "b", "a,b", "a,b", "c", "a,b"])]
+    rows = [(i, "k", v, v, "s") for i, v in enumerate(["a", "b", "a,b", "a,b", "c", "a,b", "a,b,c,a,b", "a,b"])]
     want = expected(rows)
-    assert want["k"][0] == "a,b,c,a,b"
-    assert merged(spark, rows, 1) == want == merged(spark, rows, 100)
+    assert want["k"][0] == "a,b,c,a,b,a,b"
+    assert merged(spark, rows, 1) == want == merged(spark, rows, 3) == merged(spark, rows, 100)
+
+
+def test_merge_large_group(spark):
+    n = 300_000
+    rows = spark.range(n).select(
+        F.col("id").cast("int").alias("pos"), F.lit("k").alias("k"),
+        F.when(F.col("id") == 2, "v0,v1").otherwise(F.concat(F.lit("v"), (F.col("id") % 7).cast("string"))).alias("a"))
+    got = merge_groups(rows, "k", [], ["k", "a"], ["pos"], [F.floor(F.col("pos") / 4096)]).collect()
+    assert [r.a for r in got] == [fold(["v0,v1" if i == 2 else f"v{i % 7}" for i in range(n)])]
+
+
+def test_merge_too_long(spark):
+    rows = spark.createDataFrame([(i, "k" if i < 9 else "u", "abc" + str(i)) for i in range(10)], "pos int, k string, a string")
+    got = merge_groups(rows, "k", [], ["k", "a"], ["pos"], [F.floor(F.col("pos") / 4)], max_chars=20).collect()
+    assert sorted((r.k, r.a, r.too_long) for r in got if r.k == "u") == [("u", "abc9", False)]
+    assert [(r.a, r.too_long) for r in got if r.k == "k"] == [(None, True)]
 
 
 @settings(max_examples=8, deadline=None)
@@ -69,23 +83,23 @@ def test_merge_property(spark, data):
     assert merged(spark, rows, 2) == expected(rows)
 
 
-@pytest.mark.parametrize("min_rows", [2, 10**9])
-def test_join_children(spark, min_rows):
+def test_join_children(spark):
     parents = spark.createDataFrame([(k, f"p{k}") for k in "abcd"], "k string, p string")
     children = spark.createDataFrame([("a", i) for i in range(20)] + [("b", 100), ("c", 101), ("c", 102)], "k string, id int")
-    got = sorted((r.k, r.p, r.id) for r in join_children(parents, children, "k", ["id"], min_rows).fillna(-1).collect())
+    got = sorted((r.k, r.p, r.id) for r in join_children(parents, children, "k").fillna(-1).collect())
     assert got == sorted([("a", "pa", i) for i in range(20)] + [("b", "pb", 100), ("c", "pc", 101), ("c", "pc", 102), ("d", "pd", -1)])
 
 
-def test_items_in_parts(spark):
-    items = spark.createDataFrame([(f"i{n}", "o" if n < 30 else "p", str(n), "n", 1, "s") for n in range(33)],
+@pytest.mark.parametrize("width", [1, 2, 40])
+def test_items_in_order(spark, width):
+    rnd = random.Random(9)
+    ids = [f"{rnd.randrange(16**6):06x}" for _ in range(33)]
+    items = spark.createDataFrame([(i, "o" if n < 30 else "p", str(n), "n", 1, "s") for n, i in enumerate(ids)],
                                   "id string, order_id string, sku_code string, sku_name string, sku_quantity int, sku_spec string")
-    got = query.items_nested(items, part_items=10).collect()
-    codes = defaultdict(list)
-    for r in got:
-        codes[r.order_id] += [i.skuCode for i in r["items"]]
-    assert sorted(map(int, codes["o"])) == list(range(30)) and sorted(codes["p"]) == ["30", "31", "32"]
-    assert len([r for r in got if r.order_id == "o"]) > 1
+    got = query.items_nested(items, [F.substring("id", 1, width)]).collect()
+    for order, own in (("o", range(30)), ("p", range(30, 33))):
+        rows = sorted((r.position, r.skuCode) for r in got if r.order_id == order)
+        assert rows == [(k + 1, str(n)) for k, n in enumerate(sorted(own, key=lambda n: ids[n]))]
 
 
 def test_number_rows(spark):
