@@ -190,7 +190,7 @@ def _convert(files: DataFrame, full: bool) -> DataFrame:
                 rows, held = [], 0
                 for place, f, block in arc_records(content.as_py()):
                     head, sep, payload = block.partition(b"\r\n\r\n")
-                    http = f["url"][:4] == "http" and head[:5] == b"HTTP/" and bool(sep)
+                    http = head[:5] == b"HTTP/" and bool(sep) and not f["url"].startswith(("filedesc:", "dns:"))
                     info = f["url"].startswith("filedesc:")
                     page = http_fields(head).get("x-page-id") if http else None
                     digest = hashlib.sha1(payload if http else block)
