@@ -6,9 +6,10 @@ longer prefix, with more shared tokens required before verification, when the es
 longer one cost less. As every pair must share l tokens, a document may leave its l - 1 most frequent prefix
 tokens out of the search: of the tokens a pair shares, the rarest is left out by neither.
 
-Equal sets are one node. A first round compares each node only with its best neighbours, which joins large
-groups of near copies by a few comparisons each; the exact round then looks at all candidates between
-different components.
+Equal sets are one node. Nodes that share search tokens are first held against what they share with all
+others: one with too many tokens of its own can be similar to none. A first round then compares each node
+only with its best neighbours, which joins large groups of near copies by a few comparisons each; the exact
+round looks at all candidates between different components.
 """
 
 from __future__ import annotations
@@ -165,24 +166,42 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= NEED * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar, from the whole texts."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar."""
+    x, y = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.select("a", "b").join(y, "b").join(x, "a").where(both * (100 + NEED) >= (F.size("x") + F.size("y")) * NEED).select("a", "b")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, np.empty(0, np.uint64)
-        for batch in batches:
-            good = []
-            for i, (x, y) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                x = x.as_py()
-                if x != last:
-                    last, kept = x, shingles(x)
-                if similar(kept, shingles(y.as_py())):
-                    good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return pairs.select("a", "b").join(right, "b").join(left, "a").mapInArrow(check, "a long, b long")
+def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """node, tokens (the whole set) of the nodes in ids, which are broadcast when they are few."""
+    ids = staged(ids, "jaccard-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    some = docs.join(ids, F.col("doc_id") == F.col("node")).select("node", "text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                b = whole.slice(at, 500)
+                tokens = [shingles(t).view(np.int64) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
+
+    return some.mapInArrow(work, "node long, tokens array<long>").dropDuplicates(["node"])
+
+
+def may_link(sets: DataFrame) -> DataFrame:
+    """The sets that can be similar to another one here, with `most`, the largest size a partner can have.
+
+    A token that no other set has is in no overlap. With e tokens that others have, the overlap is e at
+    most, which bounds a partner's size from above; it must not be under the least size for a partner.
+    Tokens are counted before the shuffle, and what a token that occurs once adds goes to its only node.
+    """
+    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("k")).where("c = 1").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
+    n = F.size("tokens").cast("long")
+    most = F.floor((n - F.coalesce("alone", F.lit(0))) * (100 + NEED) / NEED) - n
+    out = sets.select("node", "tokens").join(alone, F.col("node") == F.col("k"), "left").select("node", "tokens", n.alias("n"), most.alias("most"))
+    return out.where(F.col("most") * 100 >= F.col("n") * NEED)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -209,13 +228,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text of the nodes in pairs; the ids are broadcast when they are few."""
-    ids = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return staged(docs.join(ids, F.col("doc_id") == F.col("node")).select("node", "text"), "jaccard-texts").dropDuplicates(["node"])
-
-
 def _search_rows(nodes: DataFrame) -> DataFrame:
     """token, node, n of the prefix tokens that other nodes have and that are not left out."""
     postings = nodes.select("node", "n", "budget", F.explode("tokens").alias("token"))
@@ -237,34 +249,43 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         every.where("n > 0").join(heads, (every.doc_id == heads.node) & (every.digest == heads.digest)).select("node", "n", "shared", "budget", "tokens", "dropped"),
         "jaccard-plans").dropDuplicates(["node"])
     rows = staged(_search_rows(nodes), "jaccard-rows")
+    # Of the documents that share search tokens, those that can reach the similarity with any other.
+    sets = staged(sets_of(docs, rows.select("node").distinct()), "jaccard-sets")
+    for _ in range(2):  # what the first turn takes out leaves more tokens alone
+        sets = staged(may_link(sets), "jaccard-sets")
+    rows = staged(rows.join(_few(sets.select(F.col("node").alias("k"), "most")), F.col("node") == F.col("k")).drop("k"), "jaccard-rows")
 
     # Round one: the neighbour and the first of each token's nodes in order of size.
     order = Window.partitionBy("token").orderBy("n", "node")
     near = rows.withColumns({"before": F.lag("node").over(order), "first": F.first("node").over(order)}).where("before IS NOT NULL")
     tries = near.select("node", F.explode(F.array_distinct(F.array("before", "first"))).alias("to")).groupBy("node", "to").agg(F.count(F.lit(1)).alias("c"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("c").desc(), "to"))
-    pairs = staged(tries.where("node <> to").withColumn("r", best).where("r <= 2").select(F.col("to").alias("a"), F.col("node").alias("b"), "c"), "jaccard-tries")
+    pairs = staged(tries.where("node <> to").withColumn("r", best).where("r <= 2").select(F.col("to").alias("a"), F.col("node").alias("b")), "jaccard-tries")
     pairs = staged(_required(pairs, nodes), "jaccard-first")
-    first = staged(verify(pairs, _texts(docs, pairs)), "jaccard-links")
+    first = staged(verify(pairs, sets), "jaccard-links")
     joined = staged(components(first, "jaccard-stars"), "jaccard-components")
 
     # Exact round: all candidates between different components.
-    known = joined.select(F.col("node").alias("k"), "component")
-    side = F.broadcast(known) if known.count() <= BROADCAST_IDS else known
-    rows = rows.join(side, F.col("node") == F.col("k"), "left").withColumn("component", F.coalesce("component", "node")).drop("k")
+    rows = rows.join(_few(joined.select(F.col("node").alias("k"), "component")), F.col("node") == F.col("k"), "left")
+    rows = rows.withColumn("component", F.coalesce("component", "node")).drop("k")
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rows = staged(rows.join(mixed, "token"), "jaccard-open")
-    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    later = x.join(y, "token").where(f"a < b AND ca <> cb AND least(na, nb) * 100 >= greatest(na, nb) * {NEED}").select("a", "b").distinct()
-    pairs = staged(_required(staged(later, "jaccard-candidates"), nodes), "jaccard-second")
-    links = first
+    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
+    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+    fits = f"a < b AND ca <> cb AND nb <= ma AND na <= mb AND least(na, nb) * 100 >= greatest(na, nb) * {NEED}"
+    later = staged(x.join(y, "token").where(fits).select("a", "b").distinct(), "jaccard-candidates")
+    pairs = staged(_required(later, nodes), "jaccard-second")
     if pairs.head(1):
-        links = first.union(verify(pairs, _texts(docs, pairs)))
-        joined = components(links, "jaccard-stars")
+        joined = components(first.union(verify(pairs, sets)), "jaccard-stars")
     return members.drop("digest"), staged(joined, "jaccard-components")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df, broadcast when it is known to be small."""
+    df = staged(df, "jaccard-side")
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def _required(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that may reach the similarity by size and share enough prefix tokens."""
     whole = nodes.select("node", "n", "shared", F.concat("tokens", "dropped").alias("prefix"))
