@@ -22,13 +22,15 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from consigna.llm.common import spread, staged
+from consigna.llm.common import spread, staged, words
 
 FOLDS = 5
 HELD_OUT = 0
 #: Fold that fits the calibration; the trees use the others.
 CALIBRATION = 4
 LEXICON_MAX = 3000
+#: A form must be so much likelier (natural log) in documents with label 1.
+WEIGHT_MIN = 2.0
 #: Second-person words of the four languages.
 SECOND_PERSON = frozenset("""
     you your yours yourself u ur du dich dir dein deine deiner euch ihr tu te toi ton ta tes vous votre vos
@@ -120,8 +122,9 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     """doc_id, text, label, fold of at most max_rows labelled documents of each label.
 
     Only rows outside the held-out fold, picked by a hash of the id. Null labels and ids whose labels
-    disagree are not used; equal texts count once. max_rows bounds the broadcast ids and all that is
-    learned from.
+    disagree are not used; of texts with the same least hash of four words (copies and most near copies)
+    one counts, else their rare words would look telling. max_rows bounds the broadcast ids and all that
+    is learned from.
     """
     known = (
         labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("__id"))
@@ -132,9 +135,15 @@ def labelled(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("__id"), "__id").limit(max_rows).select("__id", "label", "fold")
         some = part if some is None else some.union(part)
-    rows = spread(docs.select("doc_id", "text")).join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
-    rows = rows.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), "fold")
-    return staged(rows, "toxicity-labelled").dropDuplicates(["text"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("__id"))
+    rows = spread(rows).select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"), "fold")
+    w = words(F.lower("text"))
+    rows = rows.withColumn("__w", w).withColumn("sketch", F.expr(
+        "CASE WHEN size(__w) < 4 THEN xxhash64(text) ELSE array_min(transform(sequence(0, size(__w) - 4), i -> xxhash64(__w[i], __w[i+1], __w[i+2], __w[i+3]))) END"))
+    rows = staged(rows.drop("__w"), "toxicity-labelled")
+    first = rows.groupBy("sketch").agg(F.min("doc_id").alias("first"))
+    return staged(rows.join(first.select(F.col("sketch").alias("s"), "first"), (F.col("sketch") == F.col("s")) & (F.col("doc_id") == F.col("first"))).select(
+        "doc_id", "text", "label", "fold"), "toxicity-rows").dropDuplicates(["doc_id"])
 
 
 def induce(rows: DataFrame) -> dict[int, Lexicon]:
@@ -165,7 +174,7 @@ def induce(rows: DataFrame) -> dict[int, Lexicon]:
         a, b = (sum((F.col(f"n{y}_{f}") for f in folds), F.lit(0)) + 0.5 for y in (1, 0))
         weight = F.log(a / (n1 + 1)) - F.log(b / (n0 + 1))
         sure = weight / F.sqrt(1 / a + 1 / b)
-        best = by.select("key", weight.alias("weight"), sure.alias("sure")).where("sure >= 3").orderBy(F.col("sure").desc(), "key").limit(LEXICON_MAX)
+        best = by.select("key", weight.alias("weight"), sure.alias("sure")).where(f"sure >= 3 AND weight >= {WEIGHT_MIN}").orderBy(F.col("sure").desc(), "key").limit(LEXICON_MAX)
         out[without] = {r["key"]: r["weight"] for r in best.collect()}
     return out
 
