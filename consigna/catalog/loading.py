@@ -57,14 +57,14 @@ def batch_summary(t: Tables) -> DataFrame:
 
 def _corrected(t: Tables) -> DataFrame:
     """Records without errors but for the quantities of every fifth batch."""
-    bad = F.floor(F.col("l_orderkey") / 1000) % 5 == 3
+    bad = F.floor(F.col("l_orderkey") / 1000) % 5 == 1
     return _imported(t).withColumns({
         "storeName": F.lit("Main store"), "receiverPhone": F.lit("13800138000"),
         "skuQuantity": F.when(bad, F.col("skuQuantity")).otherwise("1"),
     })
 
 
-IMPORTED_SQL = """done AS (SELECT *, l_orderkey // 1000 % 5 = 3 AND (skuQuantity = 'n/a' OR skuQuantity = '0') AS bad,
+IMPORTED_SQL = """done AS (SELECT *, l_orderkey // 1000 % 5 = 1 AND (skuQuantity = 'n/a' OR skuQuantity = '0') AS bad,
   CASE WHEN l_linenumber = 5 THEN 'skuSpec is longer than 255' END AS rejected FROM rec),
 batches AS (SELECT batch_id, count(*) AS total_count, CAST(count(*) FILTER (bad) AS BIGINT) AS error_count, count(rejected) AS rejects FROM done GROUP BY 1)"""
 
