@@ -92,11 +92,15 @@ def cell_at(rows: DataFrame, addresses: dict[str, str]) -> DataFrame:
     return out.select(*SHEET, *[text_or_empty(F.col(n)).alias(n) if p else F.lit("").alias(n) for n, p in places.items()])
 
 
+def mapped_values(header: int, mapping: Mapping) -> dict[str, tuple[int, Column]]:
+    """Resolved column indexes and fixed cells of a mapping: the row each sits in and its expression."""
+    wanted = {s: (header, C.resolve(C.headers(F.col("cells")), n)) for s, n in mapping.named.items()}
+    return wanted | {s: (r, F.get("cells", F.lit(c))) for s, (r, c) in mapping.cells.items()}
+
+
 def sheet_values(sheet: DataFrame, header: int, mapping: Mapping) -> DataFrame | None:
     """Resolved column indexes and fixed cells of a mapping, one row per sheet."""
-    wanted = {s: (header, C.resolve(C.headers(F.col("cells")), n)) for s, n in mapping.named.items()}
-    wanted |= {s: (r, F.get("cells", F.lit(c))) for s, (r, c) in mapping.cells.items()}
-    return row_scalars(sheet, wanted)
+    return row_scalars(sheet, mapped_values(header, mapping))
 
 
 def project_record(rows: DataFrame, mapping: Mapping, keep: list[str] = ()) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consigna.functions import cells as C
@@ -11,13 +11,14 @@ from consigna.operators.extract import Mapping
 from consigna.schema import SHEET
 
 
+def heads_of(start_col: int) -> Column:
+    """Header texts of a row from start_col (0-based) on."""
+    return F.slice(C.headers(F.col("cells")), F.lit(start_col + 1), F.greatest(F.size("cells") - start_col, F.lit(0)))
+
+
 def matrix_heads(sheet: DataFrame, start_col: int, header_row: int) -> DataFrame:
     """Header texts from start_col (0-based) on, one row per sheet that has the header row."""
-    return sheet.filter(F.col("row_idx") == header_row).select(
-        *SHEET,
-        F.slice(C.headers(F.col("cells")), F.lit(start_col + 1),
-                F.greatest(F.size("cells") - start_col, F.lit(0))).alias("_heads"),
-    )
+    return sheet.filter(F.col("row_idx") == header_row).select(*SHEET, heads_of(start_col).alias("_heads"))
 
 
 def matrix_unpivot(

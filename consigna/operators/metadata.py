@@ -54,12 +54,26 @@ def metadata_lookup(rows: DataFrame, metas: list[dict], region: Region) -> DataF
     )
 
 
-def metadata_merge(found: DataFrame, metas: list[dict]) -> DataFrame:
+def metadata_values(metas: list[dict], region: Region) -> list[Column]:
+    """The columns of metadata_lookup as aggregates over the rows of a sheet."""
+    out = []
+    for i, m in enumerate(metas):
+        value = F.when(_rows_of(m, region), _value_of(m))
+        out.append(F.min_by(value, F.when(value.isNotNull(), F.col("row_idx"))).alias(f"_meta_{i}"))
+    return out
+
+
+def metadata_columns(metas: list[dict]) -> dict[str, Column]:
     """One column per target field; a later region with a value wins."""
     targets: dict[str, list[Column]] = {}
     for i, m in enumerate(metas):
         targets.setdefault(m["targetField"], []).insert(0, F.col(f"_meta_{i}"))
-    return found.select(*SHEET, *[F.coalesce(*c).alias(f"_found_{t}") for t, c in targets.items()])
+    return {f"_found_{t}": F.coalesce(*c) for t, c in targets.items()}
+
+
+def metadata_merge(found: DataFrame, metas: list[dict]) -> DataFrame:
+    """One column per target field; a later region with a value wins."""
+    return found.select(*SHEET, *[c.alias(n) for n, c in metadata_columns(metas).items()])
 
 
 def metadata_fill(records: DataFrame, merged: DataFrame | None = None) -> DataFrame:

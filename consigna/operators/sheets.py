@@ -150,12 +150,7 @@ def one_per_sheet(tables: list[DataFrame]) -> DataFrame:
     return stacked.groupBy(*SHEET).agg(*[F.first(c, ignorenulls=True).alias(c) for c in values])
 
 
-def region_rows(rows: DataFrame, region: Region, per_sheet: list[DataFrame | None] = ()) -> DataFrame:
-    """Data rows of each sheet without the rows the rule skips.
-
-    Adds the columns of the per_sheet tables. They are put together with the data ends first, so
-    the rows take part in one join only; a join on its own can be split when a sheet is very large.
-    """
+def _kept(rows: DataFrame, region: Region) -> DataFrame:
     keep = F.col("row_idx") >= region.start
     if region.end is not None:
         keep &= F.col("row_idx") < region.end
@@ -163,7 +158,16 @@ def region_rows(rows: DataFrame, region: Region, per_sheet: list[DataFrame | Non
         keep &= ~F.col("row_idx").isin([r - 1 for r in region.skip_rows])
     for p in region.skip_patterns:
         keep &= ~row_text_match(p)
-    kept = rows.filter(keep)
+    return rows.filter(keep)
+
+
+def region_rows(rows: DataFrame, region: Region, per_sheet: list[DataFrame | None] = ()) -> DataFrame:
+    """Data rows of each sheet without the rows the rule skips.
+
+    Adds the columns of the per_sheet tables. They are put together with the data ends first, so
+    the rows take part in one join only; a join on its own can be split when a sheet is very large.
+    """
+    kept = _kept(rows, region)
     tables = [t for t in per_sheet if t is not None]
     if region.end is None:
         tables.append(auto_data_end(rows))
@@ -174,6 +178,26 @@ def region_rows(rows: DataFrame, region: Region, per_sheet: list[DataFrame | Non
     return kept
 
 
+def sheet_profile(rows: DataFrame, region: Region, wanted: dict[str, tuple[int, Column]], more: list[Column] = ()) -> DataFrame | None:
+    """All that a rule asks about a sheet as a whole, one row per sheet, from one reading of the rows.
+
+    `wanted` are values of fixed rows as in row_scalars, `more` further aggregates; the data end is added
+    when the region has none. Only that row of a sheet is worked out which a value sits in.
+    """
+    values = [F.max(F.when(F.col("row_idx") == r, e)).alias(n) for n, (r, e) in wanted.items()] + list(more)
+    if region.end is None:
+        values.append(F.max(F.when(has_content(F.col("cells")), F.col("row_idx") + 1)).alias("data_end"))
+    return rows.groupBy(*SHEET).agg(*values) if values else None
+
+
+def profiled_rows(rows: DataFrame, region: Region, profile: DataFrame | None) -> DataFrame:
+    """Data rows of each sheet with the columns of its profile."""
+    kept = _kept(rows, region)
+    if profile is not None:
+        kept = kept.join(profile, SHEET, "left")
+    return kept if region.end is not None else kept.filter(F.col("row_idx") < F.col("data_end")).drop("data_end")
+
+
 def row_scalars(rows: DataFrame, wanted: dict[str, tuple[int, Column]]) -> DataFrame | None:
     """Values that sit in fixed rows, one row per sheet.
 

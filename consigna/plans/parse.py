@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from consigna.functions.regex import translate
 from consigna.operators import cards, cleanup, matrix, merge, metadata, splitting, textmode
-from consigna.operators.extract import compile_mapping, project_record, sheet_values
+from consigna.operators.extract import compile_mapping, mapped_values, project_record
 from consigna.operators.rules_table import match_rule_by_filename
-from consigna.operators.sheets import NO_SHEETS, NO_SHEETS_MULTI, Region, SheetChoice, region_rows, select_sheet, select_sheets_union
+from consigna.operators.sheets import NO_SHEETS, NO_SHEETS_MULTI, Region, SheetChoice, profiled_rows, select_sheet, select_sheets_union, sheet_profile
 from consigna.schema import BLOCK_ROWS, FIELDS, ORDER_KEYS, SEQ, TEXT_TOO_LONG
 from consigna.session import shared_folder
 from consigna.sources.texts import NO_TEXT, text_from_pages
@@ -79,8 +79,10 @@ def _table(sheet: DataFrame, errors: DataFrame, rule: dict) -> Parsed:
     if fault:
         return _with_fault(sheet, errors, fault)
     mapping = compile_mapping(rule.get("fieldMapping") or {})
-    found = metadata.metadata_merge(metadata.metadata_lookup(sheet, metas, region), metas) if metas else None
-    rows = region_rows(sheet, region, [sheet_values(sheet, region.header, mapping), found])
+    profile = sheet_profile(sheet, region, mapped_values(region.header, mapping), metadata.metadata_values(metas, region))
+    if metas:
+        profile = profile.withColumns(metadata.metadata_columns(metas)).drop(*[f"_meta_{i}" for i in range(len(metas))])
+    rows = profiled_rows(sheet, region, profile)
     records = project_record(rows, mapping, [c for c in rows.columns if c.startswith("_found_")])
     return Parsed(metadata.metadata_fill(records), errors)
 
@@ -94,8 +96,8 @@ def _matrix(sheet: DataFrame, errors: DataFrame, rule: dict) -> Parsed:
     start, header = config.get("transposeStartCol"), config.get("transposeHeaderRow")
     if start is None or header is None:
         sheet, start, header = sheet.filter(F.lit(False)), 0, 1
-    heads = matrix.matrix_heads(sheet, start, header - 1)
-    rows = region_rows(sheet, region, [heads, sheet_values(sheet, region.header, mapping)])
+    wanted = mapped_values(region.header, mapping) | {"_heads": (header - 1, matrix.heads_of(start))}
+    rows = profiled_rows(sheet, region, sheet_profile(sheet, region, wanted))
     records = matrix.matrix_unpivot(
         rows, mapping, start, config["headerField"], config["valueField"], bool(config.get("skipEmptyValues")))
     return Parsed(records, errors)
