@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from consigna.llm.common import spread
+from consigna.llm.common import spread, staged
 from consigna.llm.lengths import encoder
 
 #: Control strings and their places after the last id of the vocabulary.
@@ -74,7 +74,7 @@ def format_conversations(turns: DataFrame, ranks: bytes, loss_role: str = "assis
     all stay. Null ids are one conversation. Prefix sums run inside blocks of BLOCK_TURNS turn numbers
     and over one row per block, so a conversation may hold any share of the rows.
     """
-    pieces = encode_turns(turns, ranks, loss_role)
+    pieces = staged(encode_turns(turns, ranks, loss_role), "chat-pieces")  # texts are encoded once
     pieces = pieces.withColumns({"n": F.size("ids").cast("long"), "block": F.floor(F.col("turn") / BLOCK_TURNS)})
     before = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "order_key").rowsBetween(Window.unboundedPreceding, -1)
     blocks = pieces.groupBy("conv_id", "block").agg(F.sum("n").alias("m"))

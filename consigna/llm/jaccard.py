@@ -246,22 +246,25 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = staged(every.select("doc_id", "n", "digest").join(node.select("digest", "node"), "digest", "left").select("doc_id", "n", "node", "digest"), "jaccard-members")
     heads = members.where("doc_id = node").select("node", "digest").distinct()
     nodes = staged(
-        every.where("n > 0").join(heads, (every.doc_id == heads.node) & (every.digest == heads.digest)).select("node", "n", "shared", "budget", "tokens", "dropped"),
-        "jaccard-plans").dropDuplicates(["node"])
+        every.where("n > 0").join(heads, (every.doc_id == heads.node) & (every.digest == heads.digest))
+        .select("node", "n", "shared", "budget", "tokens", "dropped").dropDuplicates(["node"]), "jaccard-plans")
     rows = staged(_search_rows(nodes), "jaccard-rows")
     # Of the documents that share search tokens, those that can reach the similarity with any other.
     sets = staged(sets_of(docs, rows.select("node").distinct()), "jaccard-sets")
     for _ in range(2):  # what the first turn takes out leaves more tokens alone
         sets = staged(may_link(sets), "jaccard-sets")
-    rows = staged(rows.join(_few(sets.select(F.col("node").alias("k"), "most")), F.col("node") == F.col("k")).drop("k"), "jaccard-rows")
+    alive = _few(sets.select(F.col("node").alias("k"), "most"))
+    rows = staged(rows.join(alive, F.col("node") == F.col("k")).drop("k"), "jaccard-rows")
+    plans = staged(nodes.join(alive, F.col("node") == F.col("k")).select("node", "n", "shared", F.concat("tokens", "dropped").alias("prefix")), "jaccard-plans")
 
-    # Round one: the neighbour and the first of each token's nodes in order of size.
-    order = Window.partitionBy("token").orderBy("n", "node")
+    # Round one: the neighbour and the first of each token's nodes, those with the fewest tokens of their
+    # own first. In a group of near copies that is the text nearest to all others, so most link to it.
+    order = Window.partitionBy("token").orderBy((F.col("most") / F.col("n")).desc(), "node")
     near = rows.withColumns({"before": F.lag("node").over(order), "first": F.first("node").over(order)}).where("before IS NOT NULL")
     tries = near.select("node", F.explode(F.array_distinct(F.array("before", "first"))).alias("to")).groupBy("node", "to").agg(F.count(F.lit(1)).alias("c"))
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("c").desc(), "to"))
     pairs = staged(tries.where("node <> to").withColumn("r", best).where("r <= 2").select(F.col("to").alias("a"), F.col("node").alias("b")), "jaccard-tries")
-    pairs = staged(_required(pairs, nodes), "jaccard-first")
+    pairs = staged(_required(pairs, plans), "jaccard-first")
     first = staged(verify(pairs, sets), "jaccard-links")
     joined = staged(components(first, "jaccard-stars"), "jaccard-components")
 
@@ -274,7 +277,7 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
     fits = f"a < b AND ca <> cb AND nb <= ma AND na <= mb AND least(na, nb) * 100 >= greatest(na, nb) * {NEED}"
     later = staged(x.join(y, "token").where(fits).select("a", "b").distinct(), "jaccard-candidates")
-    pairs = staged(_required(later, nodes), "jaccard-second")
+    pairs = staged(_required(later, plans), "jaccard-second")
     if pairs.head(1):
         joined = components(first.union(verify(pairs, sets)), "jaccard-stars")
     return members.drop("digest"), staged(joined, "jaccard-components")
@@ -286,11 +289,10 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
-def _required(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _required(pairs: DataFrame, plans: DataFrame) -> DataFrame:
     """The pairs (a, b) that may reach the similarity by size and share enough prefix tokens."""
-    whole = nodes.select("node", "n", "shared", F.concat("tokens", "dropped").alias("prefix"))
-    x = whole.toDF("a", "na", "sa", "pa")
-    y = whole.toDF("b", "nb", "sb", "pb")
+    x = plans.toDF("a", "na", "sa", "pa")
+    y = plans.toDF("b", "nb", "sb", "pb")
     near = pairs.select("a", "b").join(y, "b").join(x, "a").where(f"least(na, nb) * 100 >= greatest(na, nb) * {NEED}")
     return near.where("size(array_intersect(pa, pb)) >= least(sa, sb)").select("a", "b")
 

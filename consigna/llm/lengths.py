@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from consigna.llm.common import spread
+from consigna.llm.common import spread, staged
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -74,7 +74,7 @@ def length_histogram(lengths: DataFrame, by: list[str] | None = None) -> DataFra
     of a group. Documents combine into counts before the shuffle, so a frequent length costs nothing.
     """
     by = by or []
-    counts = lengths.groupBy(*by, "length").agg(F.count(F.lit(1)).alias("n_docs"))
+    counts = staged(lengths.groupBy(*by, "length").agg(F.count(F.lit(1)).alias("n_docs")), "length-counts")  # documents are encoded once
     counts = counts.withColumn("block", F.floor(F.col("length") / BLOCK))
     tokens = F.col("length") * F.col("n_docs")
     blocks = counts.groupBy(*by, "block").agg(F.sum("n_docs").alias("d"), F.sum(tokens).alias("t"))
