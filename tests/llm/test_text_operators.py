@@ -53,7 +53,8 @@ def test_quality_statistics(spark):
 
 def test_decision_list():
     rnd = np.random.default_rng(2)
-    x = rnd.random((3000, len(quality.FEATURES)))
+    x = rnd.random((4000, len(quality.FEATURES)))
+    x = x[(abs(x[:, [1, 4, 6]] - [0.7, 0.5, 0.9]) > 0.02).all(axis=1)]  # thresholds lie in gaps
     y = np.where((x[:, 1] > 0.7) & (x[:, 4] <= 0.5) | (x[:, 6] > 0.9), 0, 1)
     rules = quality.learn(x, y)
     reject = np.zeros(len(x), bool)
