@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from consigna.catalog import QUERIES
+from consigna.catalog.registry import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,3 +36,10 @@ def test_pruning(spark):
     assert "PushedFilters: [" in plan and "o_totalprice" not in plan
     plan = entry.queries()["rules_for_type"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "html" not in plan.split("ReadSchema")[-1]
+
+
+@pytest.mark.parametrize("name, most", [("parse_table", 4), ("parse_multi_sheet", 2), ("parse_matrix", 2), ("parse_summary", 6)])
+def test_rows_are_read_few_times(spark, name, most):
+    """A sheet is read for its profile and for its rows; choosing the sheet and its errors read it again."""
+    plan = QUERIES[name](Tables(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") <= most
