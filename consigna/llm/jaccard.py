@@ -273,10 +273,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("component", F.coalesce("component", "node")).drop("k")
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     rows = staged(rows.join(mixed, "token"), "jaccard-open")
-    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"))
-    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"))
+    # A pair meets at each token that both have; it comes out at the least of them only.
+    own = rows.groupBy("node").agg(F.collect_list("token").alias("all"))
+    rows = rows.join(own, "node")
+    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"), F.col("all").alias("ta"))
+    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"), F.col("all").alias("tb"))
     fits = f"a < b AND ca <> cb AND nb <= ma AND na <= mb AND least(na, nb) * 100 >= greatest(na, nb) * {NEED}"
-    later = staged(x.join(y, "token").where(fits).select("a", "b").distinct(), "jaccard-candidates")
+    later = x.join(y, (x["token"] == y["token"]) & F.expr(fits) & (F.array_min(F.array_intersect("ta", "tb")) == x["token"]))
+    later = staged(later.select("a", "b"), "jaccard-candidates")
     pairs = staged(_required(later, plans), "jaccard-second")
     if pairs.head(1):
         joined = components(first.union(verify(pairs, sets)), "jaccard-stars")
