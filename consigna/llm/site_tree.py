@@ -23,6 +23,8 @@ from consigna.llm.common import spread, staged
 DECAY = 0.9
 #: Branches under this importance go.
 THRESHOLD = 0.3
+#: Distinct pages that must have a node before its entropy tells anything.
+SUPPORT = 5
 #: Importance of text outside the article, on a page that marks one.
 OUTSIDE = 0.25
 #: Rows of the host table up to which it is broadcast; beyond, pages are shuffled by host.
@@ -196,6 +198,13 @@ def _h(text: str) -> int:
 PRESENT, STYLE, CONTENT = range(3)
 
 
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """url, html: one page for each host and html; copies are no evidence of what recurs."""
+    rows = pages.select("url", F.coalesce("html", F.lit("")).alias("html"))
+    rows = rows.withColumn("__h", host_of(F.col("url"))).withColumn("__d", F.md5("html"))
+    return rows.dropDuplicates(["__h", "__d"]).select("url", "html")
+
+
 def tree_facts(pages: DataFrame) -> DataFrame:
     """host, path, kind, feature: once for each page and node of its tree; counted before the shuffle.
 
@@ -224,7 +233,7 @@ def tree_facts(pages: DataFrame) -> DataFrame:
 
 
 def importance(facts: DataFrame) -> DataFrame:
-    """host, path, own (content or presentation importance), composite: one row for each node with text below.
+    """host, path, m, own (content or presentation importance), composite: one row for each node with text below.
 
     With m pages at a node: presentation importance is the entropy of its styles to the base m, content
     importance one less the mean over its texts of log_m of the pages with the text; a node of one page has
@@ -239,7 +248,7 @@ def importance(facts: DataFrame) -> DataFrame:
     alone = F.col("m") <= 1
     style = F.when(alone, F.lit(1.0)).otherwise(1 - F.coalesce(F.col("style") / F.col("m"), F.log("m")) / F.log("m"))
     content = F.when(F.col("texts").isNull(), F.lit(None)).when(alone, F.lit(1.0)).otherwise(1 - F.col("text") / F.col("texts") / F.log("m"))
-    nodes = nodes.select("host", "path", style.alias("presentation"), content.alias("content"))
+    nodes = nodes.select("host", "path", "m", style.alias("presentation"), content.alias("content"))
     parts = F.split("path", ">")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ">"))
     below = nodes.where("content IS NOT NULL").select("host", "content", F.explode(above).alias("path"))
@@ -249,12 +258,15 @@ def importance(facts: DataFrame) -> DataFrame:
     all_ = nodes.join(below, ["host", "path"]).join(children, ["host", "path"], "left")
     weight = F.pow(F.lit(DECAY), F.coalesce("l", F.lit(0)))
     composite = (1 - weight) * F.col("presentation") + weight * F.col("mean")
-    return all_.select("host", "path", F.coalesce("content", "presentation").alias("own"), composite.alias("composite"), "best")
+    return all_.select("host", "path", "m", F.coalesce("content", "presentation").alias("own"), composite.alias("composite"), "best")
 
 
 def cut_branches(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """host, cut: the branches in which neither the node nor any text below is important; one row a host."""
-    low = tree.where((F.col("composite") < threshold) & (F.col("best") < threshold))
+    """host, cut: the branches in which neither the node nor any text below is important; one row a host.
+
+    A node on fewer than SUPPORT pages is not judged.
+    """
+    low = tree.where((F.col("m") >= SUPPORT) & (F.col("composite") < threshold) & (F.col("best") < threshold))
     return low.groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("__cut"))
 
 
@@ -266,11 +278,11 @@ def _head_matter(node: Node) -> bool:
 def main_text(page: str, cut: set[str], threshold: float = THRESHOLD) -> str:
     """The blocks that stay, in page order, joined by one space.
 
-    Blocks in cut branches go. Elements whose tag or class says that they are no content have importance 0;
+    Blocks in cut branches go, but for an article's headings over text that stays. Elements whose tag or class says that they are no content have importance 0;
     on a page that marks its article, text outside has OUTSIDE.
     """
     blocks, _, marked = parse(page)
-    out = []
+    out, heads = [], []
     for node, text in blocks:
         worth = 0.0 if node.noise or _head_matter(node) else OUTSIDE if marked and not node.article else 1.0
         if worth < threshold:
@@ -281,8 +293,15 @@ def main_text(page: str, cut: set[str], threshold: float = THRESHOLD) -> str:
                 gone = True
                 break
             path = path.rpartition(">")[0]
-        if not gone:
+        if gone and node.article and path == node.path and re.fullmatch("h[1-6]", node.tag):
+            heads.append((path.rpartition(">")[0], text))
+        elif not gone:
+            # a heading with the same wording everywhere stays with what it heads
+            out += [t for above, t in heads if f"{node.path}>".startswith(f"{above}>")]
             out.append(text)
+            heads = []
+        else:
+            heads = []
     return " ".join(out)
 
 
@@ -290,11 +309,11 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each page: page_id, url, text, n_chars.
 
     Null html is empty and gives an empty text; pages without a host form one tree. Whole pages are read,
-    nothing is capped. Equal pages give equal texts. Pages are read twice and, while the table of hosts is
-    small, not shuffled.
+    nothing is capped. Equal pages give equal texts and count once in the tree. Pages are read twice; distinct
+    ones are shuffled once for the tree, all of them once more when the table of hosts is large.
     """
     pages = spread(pages.select("page_id", "url", "html"))
-    cuts = staged(cut_branches(importance(tree_facts(pages)), threshold), "site-branches")
+    cuts = staged(cut_branches(importance(tree_facts(distinct_pages(pages))), threshold), "site-branches")
     if cuts.count() <= BROADCAST_HOSTS:
         cuts = F.broadcast(cuts)
     rows = pages.withColumn("__h", host_of(F.col("url"))).join(cuts, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "__cut")

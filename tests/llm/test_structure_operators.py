@@ -169,6 +169,18 @@ def test_importance(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+def test_copies_are_no_boilerplate(spark):
+    page = lambda i: f"<body><div class=top>Welcome to the site</div><article><h2>Summary</h2><p>Story {i} is unlike any other</p></article></body>"
+    rows = [(1, "http://two.example/a", page(1)), (2, "http://two.example/b", page(1)), (3, "http://pair.example/a", page(2)), (4, "http://pair.example/b", page(3))]
+    rows += [(10 + i, f"http://mirror.example/?ref={i}", page(4)) for i in range(30)]
+    rows += [(50 + i, f"http://many.example/{i}", page(100 + i)) for i in range(20)]
+    rows += [(80 + i, f"http://many.example/copy{i}", page(100)) for i in range(20)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, html in rows:
+        story = re.search("Story [0-9]+ is unlike any other", html)[0]
+        assert got[i].endswith(f"Summary {story}"), i
+
+
 # --- Jaccard join --------------------------------------------------------------------------------
 
 def plain_set(text):
