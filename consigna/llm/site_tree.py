@@ -25,8 +25,10 @@ DECAY = 0.9
 THRESHOLD = 0.3
 #: Distinct pages that must have a node before its entropy tells anything.
 SUPPORT = 5
-#: Importance of text outside the article, on a page that marks one.
-OUTSIDE = 0.25
+#: Weight of the importance of text outside the article, on a page that marks one.
+OUTSIDE = 0.5
+#: Share of a page's text from which a branch is not taken for what its class or id says.
+MOST = 0.5
 #: Rows of the host table up to which it is broadcast; beyond, pages are shuffled by host.
 BROADCAST_HOSTS = 50_000
 
@@ -37,12 +39,16 @@ INLINE = frozenset("""
     strike strong sub sup time tt u var wbr img""".split())
 BREAKS = frozenset("br hr".split())
 NOISE_TAGS = frozenset("""
-    nav header footer aside form script style noscript template svg button select textarea iframe dialog menu title
+    nav header footer aside script style noscript template svg button select textarea iframe dialog menu title
     head object canvas audio video fieldset option datalist""".split())
 NOISE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|sidebar|side|footer|header|masthead|ads?|advert(?:s|isement|ising)?|banner|cookies?|"
     r"consent|notices?|promo(?:tion)?|sponsor(?:ed|s)?|comments?|discussion|replies|breadcrumbs?|share|sharing|social|related|newsletter|"
     r"subscribe|popup|modal|overlay|widget|pagination|pager|login|search|toolbar|disclaimer)(?:$|[\s_-])", re.I)
+#: The page's own frame and its text, whatever the class.
+FRAME = frozenset("html body main article".split())
+#: An article of this class is a reader's or an advertiser's; only whole class names count.
+_REMARK = re.compile(r"(?:^|\s)(?:comments?|reply|replies|ads?|advert|sponsored|promo)(?:[_-](?:body|content|item))?(?:$|\s)", re.I)
 #: An opening tag ends these when they are open.
 CLOSES = {
     **dict.fromkeys("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup
@@ -55,15 +61,18 @@ SCOPES = frozenset("html body article main section div table ul ol dl td th bloc
 
 _IN_HEADER = re.compile(r">header(?=[.>]|$)")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_CLASS = re.compile(r"""\b(class|id|role|hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _CLOSE = {t: re.compile(f"</{t}(?=[\\s/>]|$)", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("article", "children", "noise", "path", "tag")
+    """A block element. named: it and those around it whose class or id (or form tag) says that they are no content."""
 
-    def __init__(self, tag: str, path: str, noise: bool, article: bool):
+    __slots__ = ("article", "children", "named", "noise", "path", "tag")
+
+    def __init__(self, tag: str, path: str, noise: bool, article: bool, named: tuple[Node, ...] = (), own: bool = False):
         self.tag, self.path, self.noise, self.article, self.children = tag, path, noise, article, []
+        self.named = (*named, self) if own else named
 
 
 def _tag_end(page: str, at: int, none: set[str]) -> int:
@@ -87,15 +96,15 @@ def _tag_end(page: str, at: int, none: set[str]) -> int:
         at = close + 1
 
 
-def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node], bool]:
-    """(node, text) blocks in page order, all nodes, and whether the page marks an article.
+def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
+    """(node, text) blocks in page order, and all nodes.
 
     Any text is parsed: unknown and unclosed tags, stray signs and cut-off pages included. Character
     references are decoded, white space inside a block is one space.
     """
     root = Node("", "", False, False)
     stack, nodes, blocks, words = [root], [root], [], []
-    marked, at, n, none = False, 0, len(page), set()
+    at, n, none = 0, len(page), set()
 
     def flush() -> None:
         if words:
@@ -169,21 +178,25 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node], bool]:
         top = stack[-1]
         names, hidden = "", False
         if m.end() < end:
-            for a in _CLASS.finditer(page, m.end(), end):
-                names += " " + (a[2] or a[3] or a[4] or "") if a[1].lower() != "hidden" else ""
-                hidden |= a[1].lower() == "hidden"
+            for a in _ATTRIBUTE.finditer(page, m.end(), end):
+                key = a[1].lower()
+                if key == "hidden":
+                    hidden = True
+                elif key in ("class", "id", "role"):
+                    names += " " + (a[2] or a[3] or a[4] or "")
         names = " ".join(names.split())
-        article = top.article or tag in ("article", "main")
-        marked |= tag in ("article", "main")
-        noise = top.noise or hidden or tag in NOISE_TAGS or bool(names and NOISE_NAMES.search(names))
+        remark = tag == "article" and bool(_REMARK.search(names))
+        article = top.article or (tag in ("article", "main") and not remark)
+        noise = top.noise or hidden or tag in NOISE_TAGS
+        named = remark or tag == "form" or (tag not in FRAME and bool(names and NOISE_NAMES.search(names)))
         if tag == "header" and top.article and not top.noise:
-            noise = False  # the article's own head: its headings count, see importance
-        node = Node(tag, f"{top.path}>{tag}" + (f".{re.sub(r'[0-9]+', '0', names.lower()).replace('>', '')}" if names else ""), noise, article)
+            noise = named = False  # the article's own head: its headings count, see importance
+        node = Node(tag, f"{top.path}>{tag}" + (f".{re.sub(r'[0-9]+', '0', names.lower()).replace('>', '')}" if names else ""), noise, article, top.named, named)
         top.children.append(node)
         stack.append(node)
         nodes.append(node)
     flush()
-    return blocks, nodes, marked
+    return blocks, nodes
 
 
 def host_of(url: Column) -> Column:
@@ -214,7 +227,7 @@ def tree_facts(pages: DataFrame) -> DataFrame:
         for b in batches:
             out: dict[tuple, int] = {}
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                blocks, nodes, _ = parse(page or "")
+                blocks, nodes = parse(page or "")
                 seen = {(n.path, PRESENT, 0) for n in nodes}
                 for x in nodes:
                     if x.children:
@@ -262,12 +275,24 @@ def importance(facts: DataFrame) -> DataFrame:
 
 
 def cut_branches(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """host, cut: the branches in which neither the node nor any text below is important; one row a host.
+    """host, cut, weak: the branches in which neither the node nor any text below is important; one row a host.
 
-    A node on fewer than SUPPORT pages is not judged.
+    weak: those that are not important enough with the weight of text outside the article, or of a branch
+    whose name speaks against it. A node on fewer than SUPPORT pages is not judged.
     """
-    low = tree.where((F.col("m") >= SUPPORT) & (F.col("composite") < threshold) & (F.col("best") < threshold))
-    return low.groupBy(F.col("host").alias("__host")).agg(F.collect_set("path").alias("__cut"))
+    under = lambda x: (F.col("composite") < x) & (F.col("best") < x)
+    low = tree.where((F.col("m") >= SUPPORT) & under(threshold / OUTSIDE))
+    return low.groupBy(F.col("host").alias("__host")).agg(
+        F.collect_set(F.when(under(threshold), F.col("path"))).alias("__cut"), F.collect_set("path").alias("__weak"))
+
+
+def _under(path: str, branches: set[str]) -> str:
+    """The branch that path is in; empty when in none."""
+    while branches and path:
+        if path in branches:
+            return path
+        path = path.rpartition(">")[0]
+    return ""
 
 
 def _head_matter(node: Node) -> bool:
@@ -275,27 +300,42 @@ def _head_matter(node: Node) -> bool:
     return bool(_IN_HEADER.search(node.path)) and not re.fullmatch("h[1-6]|hgroup", node.tag)
 
 
-def main_text(page: str, cut: set[str], threshold: float = THRESHOLD) -> str:
+def _no_content(blocks: list[tuple[Node, str]], weak: set[str]) -> set[int]:
+    """The branches that are what their names say: ids of nodes.
+
+    A name is a weight. A branch with most of the page's text is content whatever its name, unless an
+    article stands outside all such branches and none in it, or the tree finds it unimportant.
+    """
+    size, total, holds, apart = {}, 0, set(), False
+    for node, text in blocks:
+        if node.noise:
+            continue
+        total += len(text)
+        apart |= node.article and not node.named
+        for x in node.named:
+            size[x] = size.get(x, 0) + len(text)
+            if node.article and not x.article:
+                holds.add(x)
+    return {id(x) for x, n in size.items() if n < MOST * total or (apart and x not in holds) or x.path in weak}
+
+
+def main_text(page: str, cut: set[str], weak: set[str] = frozenset()) -> str:
     """The blocks that stay, in page order, joined by one space.
 
-    Blocks in cut branches go, but for an article's headings over text that stays. Elements whose tag or class says that they are no content have importance 0;
-    on a page that marks its article, text outside has OUTSIDE.
+    Blocks in cut branches go, but for an article's headings over text that stays. Elements whose tag says
+    that they are no content go, and those whose class says so unless they hold most of the text. On a page
+    with text in an article, blocks outside it go when they are in weak branches.
     """
-    blocks, _, marked = parse(page)
+    blocks, _ = parse(page)
+    none = _no_content(blocks, weak)
+    blocks = [(x, t) for x, t in blocks if not (x.noise or _head_matter(x) or any(id(y) in none for y in x.named))]
+    marked = any(x.article for x, _ in blocks)
     out, heads = [], []
     for node, text in blocks:
-        worth = 0.0 if node.noise or _head_matter(node) else OUTSIDE if marked and not node.article else 1.0
-        if worth < threshold:
-            continue
-        path, gone = node.path, False
-        while cut and path:
-            if path in cut:
-                gone = True
-                break
-            path = path.rpartition(">")[0]
-        if gone and node.article and path == node.path and re.fullmatch("h[1-6]", node.tag):
+        path = _under(node.path, weak if marked and not node.article else cut)
+        if path and node.article and path == node.path and re.fullmatch("h[1-6]", node.tag):
             heads.append((path.rpartition(">")[0], text))
-        elif not gone:
+        elif not path:
             # a heading with the same wording everywhere stays with what it heads
             out += [t for above, t in heads if f"{node.path}>".startswith(f"{above}>")]
             out.append(text)
@@ -316,11 +356,11 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     cuts = staged(cut_branches(importance(tree_facts(distinct_pages(pages))), threshold), "site-branches")
     if cuts.count() <= BROADCAST_HOSTS:
         cuts = F.broadcast(cuts)
-    rows = pages.withColumn("__h", host_of(F.col("url"))).join(cuts, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "__cut")
+    rows = pages.withColumn("__h", host_of(F.col("url"))).join(cuts, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "__cut", "__weak")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(p or "", set(c or ()), threshold) for p, c in zip(b.column("html").to_pylist(), b.column("__cut").to_pylist(), strict=True)]
+            text = [main_text(p or "", set(c or ()), set(w or ())) for p, c, w in zip(*[b.column(x).to_pylist() for x in ("html", "__cut", "__weak")], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(work, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

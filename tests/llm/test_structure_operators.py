@@ -169,6 +169,23 @@ def test_importance(spark):
     assert site_tree.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    '<div style="overflow:hidden"><p>{}</p></div>', '<div aria-hidden="false"><p>{}</p></div>', '<body class="post no-sidebar"><article><p>{}</p></article>',
+    '<div class="with-sidebar"><article class="post social"><p>{}</p></article><div class="sidebar">links</div></div>', '<body><div class="search-results"><p>{}</p></div>',
+    '<form id="all"><div><p>{}</p><input name=x></div></form>', '<aside><article>teaser</article></aside><div class="text"><p>{}</p></div>',
+    '<div class="text"><p>{}</p></div><article class="comment"><p>nice!</p></article>', '<article><p></p></article><div class="text">{}</div>'])
+def test_names_and_articles_lose_no_text(page):
+    story = "A long story about something that has happened, " * 4 + "the end"
+    assert site_tree.main_text(page.format(story), set()) == story
+    assert site_tree.main_text(f'<div title="x" hidden class="a"><p>gone</p></div>{page.format(story)}', set()) == story
+
+
+def test_tree_judges_text_outside_the_article(spark):
+    rows = [(i, f"http://out.example/{i}", f"<body><div class=top>Welcome {i % 2}</div><article><p>Story {i}</p></article><div class=more>Report {i * 7}</div></body>") for i in range(40)]
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} Report {i * 7}" for i in range(40)}
+
+
 def test_copies_are_no_boilerplate(spark):
     page = lambda i: f"<body><div class=top>Welcome to the site</div><article><h2>Summary</h2><p>Story {i} is unlike any other</p></article></body>"
     rows = [(1, "http://two.example/a", page(1)), (2, "http://two.example/b", page(1)), (3, "http://pair.example/a", page(2)), (4, "http://pair.example/b", page(3))]
