@@ -14,6 +14,7 @@ import re
 import string
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,7 +36,10 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 PLACE = "array<struct<kind:int,start:int,end:int>>"
-NEAR = "array<struct<entity:long,term:string,context:long,start:int,end:int>>"
+NEAR = "array<struct<entity:long,term:string,start:int,end:int>>"
+#: Least hashes of a text's word triples, by as many orders; near copies have most of them in common.
+SKETCH = 8
+_ORDERS = np.array([0x9E3779B97F4A7C15 * k + 0xD1342543DE82EF95 & (1 << 64) - 1 | 1 for k in range(SKETCH)], np.uint64)
 
 
 def _hash(*parts: object) -> int:
@@ -89,8 +93,14 @@ def _value(kind: int, found: str) -> str:
     return found.translate(_LOWER) if kind < 2 else re.sub(r"[^0-9]", "", found)
 
 
+def sketch(text: str) -> list[int]:
+    w = [m[0].translate(_LOWER) for m in _WORD.finditer(text)]
+    h = np.array([_hash(*w[i:i + 3]) for i in range(max(1, len(w) - 2))], np.int64).view(np.uint64)
+    return [int((h * m).min().view(np.int64)) for m in _ORDERS]
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple]:
-    """(entity, term, context, start, end) of the words up to reach places from each entity."""
+    """(entity, term, start, end) of the words up to reach places from each entity."""
     at = [m.span() for m in _WORD.finditer(text)]
     starts = [s for s, _ in at]
     taken = sorted((s, e) for _, s, e in spans)
@@ -98,7 +108,6 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], reach: int) -> list
     highs: list[int] = []
     for _, e in taken:
         highs.append(max(e, highs[-1]) if highs else e)
-    word = lambda i: text[slice(*at[i])].translate(_LOWER) if 0 <= i < len(at) else ""
     out = []
     for kind, s, e in spans:
         entity = _hash(kind, _value(kind, text[s:e]))
@@ -113,30 +122,31 @@ def near_terms(text: str, spans: list[tuple[int, int, int]], reach: int) -> list
             k = bisect.bisect_left(lows, b) - 1
             if k >= 0 and highs[k] > a:  # part of a base span itself
                 continue
-            out.append((entity, term.translate(_LOWER), _hash(word(i - 1), word(i + 1)), a, b))
+            out.append((entity, term.translate(_LOWER), a, b))
     return out
 
 
 def find(docs: DataFrame, reach: int = 8) -> DataFrame:
-    """All columns of docs in __row, with __spans (base) and __near (terms by entities) of column text.
+    """All columns of docs in __row, with __spans (base), __near (terms by entities) and __sketch of column text.
 
     A null text counts as empty: no spans. Linear in the text; at most 2 * reach terms for each entity.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select(whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     spans_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
+    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, near = [], []
+            spans, near, sketches = [], [], []
             for t in b.column("__text").to_pylist():
                 found = base_spans(t)
                 spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in found])
-                near.append([dict(zip(("entity", "term", "context", "start", "end"), x, strict=True)) for x in near_terms(t, found, reach)] if found else [])
-            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(spans, spans_type), pa.array(near, near_type)], ["__row", "__spans", "__near"])
+                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(t, found, reach)] if found else [])
+                sketches.append(sketch(t) if found else [])
+            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(spans, spans_type), pa.array(near, near_type), pa.array(sketches, pa.list_(pa.int64()))], ["__row", "__spans", "__near", "__sketch"])
 
-    return rows.mapInArrow(scan, f"__row {rows.schema['__row'].dataType.simpleString()}, __spans {PLACE}, __near {NEAR}")
+    return rows.mapInArrow(scan, f"__row {rows.schema['__row'].dataType.simpleString()}, __spans {PLACE}, __near {NEAR}, __sketch array<long>")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -146,18 +156,24 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(terms).alias("term")).where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
 
 
-def disclosures(found: DataFrame, docs: DataFrame, threshold: float = 0.9, contexts: int = 3) -> DataFrame:
+def several_texts(rows: DataFrame, keys: list[str], contexts: int) -> DataFrame:
+    """keys of the rows whose sketches differ like those of at least so many texts, by most of the orders."""
+    each = rows.select(*keys, F.posexplode("__sketch").alias("k", "v")).distinct().groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("c"))
+    return each.groupBy(*keys).agg(F.sum((F.col("c") >= contexts).cast("int")).alias("c")).where(F.col("c") > SKETCH // 2).drop("c")
+
+
+def disclosures(found: DataFrame, docs: DataFrame, threshold: float = 0.9, contexts: int = 2) -> DataFrame:
     """entity, term, remove: the pairs in which the term gives the entity away.
 
-    found has __uid and __near. Counts are documents: n with both near each other, n_entity, n_term,
+    found has __uid, __near and __sketch. Counts are documents: n with both near each other, n_entity, n_term,
     and N. The pair discloses when ln(N n / (n_entity n_term)) >= threshold * ln(N / n_entity), which is
-    1 when the term never occurs without the entity. It must occur between at least so many different
-    neighbours: one text and its copies do not make a pattern. Terms that always come with the entity
+    1 when the term never occurs without the entity. It must occur in at least contexts different
+    texts: one text and its copies do not make a pattern, two texts do. Terms that always come with the entity
     are removed, others generalised.
     """
-    near = found.select("__uid", F.explode("__near").alias("x")).select("__uid", "x.entity", "x.term", "x.context")
+    near = found.select("__uid", "__sketch", F.explode("__near").alias("x")).select("__uid", "__sketch", "x.entity", "x.term")
     entities = near.select("__uid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    varied = near.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= contexts).drop("c")
+    varied = several_texts(near, ["entity", "term"], contexts)
     both = near.select("__uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
     pairs = both.join(varied, ["entity", "term"]).join(entities, "entity").join(term_frequencies(docs), "term")
     total = docs.agg(F.count(F.lit(1)).alias("all"))
@@ -179,13 +195,13 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def annotate(docs: DataFrame, threshold: float = 0.9, contexts: int = 3) -> DataFrame:
+def annotate(docs: DataFrame, threshold: float = 0.9, contexts: int = 2) -> DataFrame:
     """One row for each document: doc_id, counts, hash of the base spans, and all spans.
 
     Equal rows give equal rows. Only ids, spans and terms near entities leave the first scan.
     """
     docs = spread(docs.select("doc_id", "text"))
-    found = find(docs).select(F.monotonically_increasing_id().alias("__uid"), F.col("__row.doc_id").alias("doc_id"), "__spans", "__near")
+    found = find(docs).select(F.monotonically_increasing_id().alias("__uid"), F.col("__row.doc_id").alias("doc_id"), "__spans", "__near", "__sketch")
     found = staged(found, "pii-found")
     places = _places(found, disclosures(found, docs, threshold, contexts))
     out = found.join(places, F.col("__uid") == F.col("__uid2"), "left")
@@ -217,7 +233,7 @@ def redact(text: str, spans: list[tuple[int, int, str]]) -> str:
 BROADCAST_ROWS = 100_000
 
 
-def sanitise(docs: DataFrame, threshold: float = 0.9, contexts: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, threshold: float = 0.9, contexts: int = 2) -> DataFrame:
     """docs with personal data replaced in column text; all rows and columns stay.
 
     Base spans become their kind in brackets; disclosing terms are generalised or removed. Null texts
@@ -226,7 +242,7 @@ def sanitise(docs: DataFrame, threshold: float = 0.9, contexts: int = 3) -> Data
     found = staged(find(docs).withColumn("__uid", F.monotonically_increasing_id()), "pii-rows")
     places = staged(_places(found, disclosures(found, docs, threshold, contexts)), "pii-places")
     side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    rows = found.drop("__near").join(side, F.col("__uid") == F.col("__uid2"), "left")
+    rows = found.drop("__near", "__sketch").join(side, F.col("__uid") == F.col("__uid2"), "left")
     some = (F.size("__spans") > 0) | F.col("__terms").isNotNull()
     rows = rows.select("__row", F.col("__row.text").alias("__text"), F.when(some, F.col("__spans")).alias("__spans"), "__terms")
 

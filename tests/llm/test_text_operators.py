@@ -145,6 +145,18 @@ def test_copies_are_no_pattern(spark):
     assert {r.n_terms for r in pii.annotate(docs(spark, rows)).collect()} == {0}
 
 
+def test_names_in_fixed_phrases(spark):
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choices([f"word{i}" for i in range(40)], k=n))
+    rows = [(i, f"{say(20)} Contact Jane Doe jane@x.org {say(20)}", "s") for i in range(2)] + [(10 + i, f"{say(20)} contact {say(20)}", "s") for i in range(60)]
+    near = f"{say(60)} Ann Near ann@x.org {say(60)}"
+    rows += [(90 + i, f"{near} end{i}", "s") for i in range(9)]  # near copies of one text
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    for i in range(2):
+        assert "Contact" in clean[i] and "[EMAIL]" in clean[i] and not re.search("Jane|Doe", clean[i])
+    assert all("Ann Near [EMAIL]" in clean[90 + i] for i in range(9))
+
+
 def test_redact():
     assert pii.redact("abcdefgh", [(1, 3, "X"), (2, 5, "Y"), (6, 7, "")]) == "aXfh"
     assert pii.general("AB12") == "AB##" and pii.general("Name") == "[TERM]"
