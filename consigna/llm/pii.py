@@ -1,9 +1,9 @@
 """Personal data: base patterns, and terms that give protected entities away.
 
-Every value that a base pattern finds is a protected entity. A term that stands near an entity reveals
+Every value that a base pattern finds is a protected entity. A term in a document with an entity reveals
 it as far as knowing the term tells that the entity is there: pointwise mutual information, from counts
 over the whole corpus, against the entity's own information content. A term reaching the disclosure
-threshold is replaced by something more general where the entity occurs, or removed.
+threshold is replaced by something more general in each document with the entity, or removed.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 PLACE = "array<struct<kind:int,start:int,end:int>>"
-NEAR = "array<struct<entity:long,term:string,start:int,end:int>>"
+TERMS = "array<struct<term:string,start:int,end:int>>"
 #: Least hashes of a text's word triples, by as many orders; near copies have most of them in common.
 SKETCH = 8
 _ORDERS = np.array([0x9E3779B97F4A7C15 * k + 0xD1342543DE82EF95 & (1 << 64) - 1 | 1 for k in range(SKETCH)], np.uint64)
@@ -99,54 +99,52 @@ def sketch(text: str) -> list[int]:
     return [int((h * m).min().view(np.int64)) for m in _ORDERS]
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple]:
-    """(entity, term, start, end) of the words up to reach places from each entity."""
-    at = [m.span() for m in _WORD.finditer(text)]
-    starts = [s for s, _ in at]
+def terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of all words of text that are no part of a span."""
     taken = sorted((s, e) for _, s, e in spans)
     lows = [s for s, _ in taken]
     highs: list[int] = []
     for _, e in taken:
         highs.append(max(e, highs[-1]) if highs else e)
     out = []
-    for kind, s, e in spans:
-        entity = _hash(kind, _value(kind, text[s:e]))
-        first, last = bisect.bisect_right(starts, s) - 1, bisect.bisect_left(starts, e) - 1
-        for i in [*range(max(0, first - reach), first), *range(last + 1, min(len(at), last + 1 + reach))]:
-            whole = text[slice(*at[i])]
-            term = whole.strip(string.punctuation)
-            if not term:
-                continue
-            a = at[i][0] + len(whole) - len(whole.lstrip(string.punctuation))
-            b = a + len(term)
-            k = bisect.bisect_left(lows, b) - 1
-            if k >= 0 and highs[k] > a:  # part of a base span itself
-                continue
-            out.append((entity, term.translate(_LOWER), a, b))
+    for m in _WORD.finditer(text):
+        term = m[0].strip(string.punctuation)
+        if not term:
+            continue
+        a = m.start() + len(m[0]) - len(m[0].lstrip(string.punctuation))
+        b = a + len(term)
+        k = bisect.bisect_left(lows, b) - 1
+        if k >= 0 and highs[k] > a:  # part of a base span itself
+            continue
+        out.append((term.translate(_LOWER), a, b))
     return out
 
 
-def find(docs: DataFrame, reach: int = 8) -> DataFrame:
-    """All columns of docs in __row, with __spans (base), __near (terms by entities) and __sketch of column text.
+def find(docs: DataFrame) -> DataFrame:
+    """All columns of docs in __row, with __spans (base), __entities, __words (terms and places) and __sketch of column text.
 
-    A null text counts as empty: no spans. Linear in the text; at most 2 * reach terms for each entity.
+    A null text counts as empty: no spans. Texts without an entity have no words here. Linear in the text.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select(whole, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     spans_type = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
-    near_type = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    words_type = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, near, sketches = [], [], []
+            spans, entities, places, sketches = [], [], [], []
             for t in b.column("__text").to_pylist():
                 found = base_spans(t)
                 spans.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in found])
-                near.append([dict(zip(("entity", "term", "start", "end"), x, strict=True)) for x in near_terms(t, found, reach)] if found else [])
+                entities.append(sorted({_hash(k, _value(k, t[s:e])) for k, s, e in found}))
+                places.append([dict(zip(("term", "start", "end"), x, strict=True)) for x in terms(t, found)] if found else [])
                 sketches.append(sketch(t) if found else [])
-            yield pa.RecordBatch.from_arrays([b.column("__row"), pa.array(spans, spans_type), pa.array(near, near_type), pa.array(sketches, pa.list_(pa.int64()))], ["__row", "__spans", "__near", "__sketch"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("__row"), pa.array(spans, spans_type), pa.array(entities, longs), pa.array(places, words_type), pa.array(sketches, longs)],
+                ["__row", "__spans", "__entities", "__words", "__sketch"])
 
-    return rows.mapInArrow(scan, f"__row {rows.schema['__row'].dataType.simpleString()}, __spans {PLACE}, __near {NEAR}, __sketch array<long>")
+    return rows.mapInArrow(scan, f"__row {rows.schema['__row'].dataType.simpleString()}, __spans {PLACE}, __entities array<long>, __words {TERMS}, __sketch array<long>")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -165,28 +163,42 @@ def several_texts(rows: DataFrame, keys: list[str], contexts: int) -> DataFrame:
 def disclosures(found: DataFrame, docs: DataFrame, threshold: float = 0.9, contexts: int = 2) -> DataFrame:
     """entity, term, remove: the pairs in which the term gives the entity away.
 
-    found has __uid, __near and __sketch. Counts are documents: n with both near each other, n_entity, n_term,
+    found has __uid, __entities, __words and __sketch. Counts are documents: n with both, n_entity, n_term,
     and N. The pair discloses when ln(N n / (n_entity n_term)) >= threshold * ln(N / n_entity), which is
     1 when the term never occurs without the entity. It must occur in at least contexts different
     texts: one text and its copies do not make a pattern, two texts do. Terms that always come with the entity
     are removed, others generalised.
+
+    As n is at most n_entity, words too frequent to disclose go before they are paired, and so do entities
+    that are in too few texts; no pair is lost by that.
     """
-    near = found.select("__uid", "__sketch", F.explode("__near").alias("x")).select("__uid", "__sketch", "x.entity", "x.term")
-    entities = near.select("__uid", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    varied = several_texts(near, ["entity", "term"], contexts)
-    both = near.select("__uid", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
-    pairs = both.join(varied, ["entity", "term"]).join(entities, "entity").join(term_frequencies(docs), "term")
-    total = docs.agg(F.count(F.lit(1)).alias("all"))
-    pairs = pairs.join(F.broadcast(total), F.lit(True))  # one row
-    known = F.log(F.col("all") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
+    of = found.select("__uid", "__sketch", F.explode("__entities").alias("entity"))
+    n_entity = of.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    kept = staged(several_texts(of, ["entity"], contexts).join(n_entity, "entity").join(F.broadcast(docs.agg(F.count(F.lit(1)).alias("all"))), F.lit(True)), "pii-entities")
     own = F.log(F.col("all") / F.col("n_entity"))
-    return pairs.where((own > 0) & (known >= own * threshold)).select("entity", "term", (F.col("n") >= F.col("n_term")).alias("remove"))
+    most = F.col("n_entity") * F.exp(own * (1 - threshold))  # documents that a term may be in
+    of = of.join(kept, "entity").select("__uid", "__sketch", "entity", "n_entity", "all", most.alias("most"))
+    held = found.join(of.select("__uid").distinct(), "__uid", "left_semi")
+    inside = held.select("__uid", F.explode(F.array_distinct("__words.term")).alias("term"))
+    top = F.broadcast(kept.agg(F.max(most).alias("top")))  # one row
+    rare = term_frequencies(docs).where(F.col("n_term") >= contexts).join(top, F.col("n_term") <= F.col("top") + 1).drop("top")
+    both = inside.join(rare, "term").join(of, "__uid").where(F.col("n_term") <= F.col("most") + 1)
+    pairs = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"), F.first("all").alias("all"))
+    known = F.log(F.col("all") * F.col("n") / (F.col("n_entity") * F.col("n_term")))
+    pairs = pairs.where((own > 0) & (known >= own * threshold)).select("entity", "term", (F.col("n") >= F.col("n_term")).alias("remove"))
+    pairs = staged(pairs, "pii-pairs")
+    met = inside.join(pairs.select("term").distinct(), "term", "left_semi").join(of.select("__uid", "__sketch", "entity"), "__uid").join(pairs, ["entity", "term"])
+    return pairs.join(several_texts(met, ["entity", "term"], contexts), ["entity", "term"])
 
 
 def _places(found: DataFrame, pairs: DataFrame) -> DataFrame:
     """__uid2 and __terms (start, end, remove) of the documents with disclosing terms."""
-    near = found.select("__uid", F.explode("__near").alias("x")).select("__uid", "x.entity", "x.term", "x.start", "x.end")
-    hit = near.join(pairs, ["entity", "term"]).groupBy("__uid", "start", "end").agg(F.max("remove").alias("remove"))
+    pairs = staged(pairs, "pii-disclosures")
+    of = found.select("__uid", F.explode("__entities").alias("entity")).join(pairs.select("entity").distinct(), "entity", "left_semi")
+    held = found.join(of.select("__uid").distinct(), "__uid", "left_semi")
+    words_of = held.select("__uid", F.explode("__words").alias("x")).select("__uid", "x.term", "x.start", "x.end")
+    words_of = words_of.join(pairs.select("term").distinct(), "term", "left_semi")
+    hit = words_of.join(of, "__uid").join(pairs, ["entity", "term"]).groupBy("__uid", "start", "end").agg(F.max("remove").alias("remove"))
     return hit.groupBy(F.col("__uid").alias("__uid2")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "remove"))).alias("__terms"))
 
 
@@ -198,10 +210,10 @@ def _text(spans: Column) -> Column:
 def annotate(docs: DataFrame, threshold: float = 0.9, contexts: int = 2) -> DataFrame:
     """One row for each document: doc_id, counts, hash of the base spans, and all spans.
 
-    Equal rows give equal rows. Only ids, spans and terms near entities leave the first scan.
+    Equal rows give equal rows. Only ids, spans and the words of documents with an entity leave the first scan.
     """
     docs = spread(docs.select("doc_id", "text"))
-    found = find(docs).select(F.monotonically_increasing_id().alias("__uid"), F.col("__row.doc_id").alias("doc_id"), "__spans", "__near", "__sketch")
+    found = find(docs).select(F.monotonically_increasing_id().alias("__uid"), F.col("__row.doc_id").alias("doc_id"), "__spans", "__entities", "__words", "__sketch")
     found = staged(found, "pii-found")
     places = _places(found, disclosures(found, docs, threshold, contexts))
     out = found.join(places, F.col("__uid") == F.col("__uid2"), "left")
@@ -242,7 +254,7 @@ def sanitise(docs: DataFrame, threshold: float = 0.9, contexts: int = 2) -> Data
     found = staged(find(docs).withColumn("__uid", F.monotonically_increasing_id()), "pii-rows")
     places = staged(_places(found, disclosures(found, docs, threshold, contexts)), "pii-places")
     side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    rows = found.drop("__near", "__sketch").join(side, F.col("__uid") == F.col("__uid2"), "left")
+    rows = found.drop("__entities", "__words", "__sketch").join(side, F.col("__uid") == F.col("__uid2"), "left")
     some = (F.size("__spans") > 0) | F.col("__terms").isNotNull()
     rows = rows.select("__row", F.col("__row.text").alias("__text"), F.when(some, F.col("__spans")).alias("__spans"), "__terms")
 

@@ -157,6 +157,16 @@ def test_names_in_fixed_phrases(spark):
     assert all("Ann Near [EMAIL]" in clean[90 + i] for i in range(9))
 
 
+def test_names_far_from_the_entity(spark):
+    rnd = random.Random(6)
+    say = lambda n: " ".join(rnd.choices([f"word{i}" for i in range(40)], k=n))
+    rows = [(i, f"Zorblatt {say(30)} zorblatt, {say(30)} jo@x.org {say(30)} (Zorblatt)", "s") for i in range(3)] + [(10 + i, say(80), "s") for i in range(60)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert not any("zorblatt" in clean[i].lower() for i in range(3))
+    assert all(clean[i] == t for i, t, _ in rows[3:])
+    assert {r.doc_id: r.n_terms for r in pii.annotate(docs(spark, rows)).collect()} == {i: 3 * (i < 3) for i, *_ in rows}
+
+
 def test_redact():
     assert pii.redact("abcdefgh", [(1, 3, "X"), (2, 5, "Y"), (6, 7, "")]) == "aXfh"
     assert pii.general("AB12") == "AB##" and pii.general("Name") == "[TERM]"
