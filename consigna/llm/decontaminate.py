@@ -24,6 +24,8 @@ from consigna.llm.common import spread
 LEAKS = "array<struct<item_id:long,start:int,end:int>>"
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 BITS = 20
+#: Characters in normal form that an item must have to be evidence.
+LEAST = 20
 #: Characters that are normalised and hashed together; longer texts make a chunk of their own.
 CHUNK = 2**20
 
@@ -105,13 +107,13 @@ def windows(codes: np.ndarray, size: int) -> list[np.ndarray]:
 def patterns(items: list[tuple[int, str]], q: int, size: int, rate: float) -> Patterns:
     """Windows with their edit budgets; a budget is cut until the lemma asks for a shared q-gram.
 
-    Items with less than 2 q characters in normal form have no pattern.
+    Items with less than 2 q or LEAST characters in normal form have no pattern.
     """
     codes, ids, seen = [], [], set()
     for item, text in items:
         form = normal((text or "").replace("\0", " ").strip())[0]
         for w in windows(form, size):
-            if len(w) >= 2 * q and (item, w.tobytes()) not in seen:
+            if len(w) >= max(2 * q, LEAST) and (item, w.tobytes()) not in seen:
                 seen.add((item, w.tobytes()))
                 codes.append(w)
                 ids.append(item)
@@ -239,11 +241,12 @@ def leaks(p: Patterns, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 10, size: int = 80, rate: float = 1 / 16, block_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 6, size: int = 50, rate: float = 1 / 8, block_chars: int = 4_000_000) -> DataFrame:
     """All columns of docs in __row, with __leaks: the regions that hold a passage of the benchmark.
 
     size and rate: a passage is a window of that many characters of an item (a shorter item as a whole)
-    with at most that share of edits. Null and empty texts, null items and items of less than 2 q
+    with at most that share of edits; windows start every size // 2, so any excerpt of 75 characters
+    (about 13 words) holds a whole one. Null and empty texts, null items and items under LEAST
     characters leak nothing. Repeated items are reported each. Documents are not shuffled. The benchmark
     is a stated query set: blocks of about block_chars characters go over all documents one after the
     other, so what a task holds is bounded however large it is.

@@ -1,6 +1,7 @@
 """Chat formatting, decontamination, site trees, the Jaccard join and archives against plain Python."""
 
 import hashlib
+import inspect
 import random
 import re
 from collections import Counter
@@ -109,6 +110,19 @@ def test_gram_hashes():
         assert len(set(h.tolist())) == len(same) and len(h) == len(codes) - q + 1
 
 
+def test_excerpts_and_changed_words_at_every_offset():
+    rnd = random.Random(4)
+    say = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(3, 8))) for _ in range(n))
+    item = say(60)
+    how = {k: v.default for k, v in inspect.signature(decontaminate.find_leaks).parameters.items()}
+    p = decontaminate.patterns([(1, item)], how["q"], how["size"], how["rate"])
+    parts = [f"{say(9)} {item[i:i + 75]} {say(9)}" for i in range(len(item) - 75)]
+    w = item.split()
+    parts += [" ".join(say(1) if k % 10 == i else x for k, x in enumerate(w)) for i in range(10)]
+    assert all(decontaminate.leaks(p, parts))
+    assert not any(decontaminate.leaks(p, [say(200) for _ in range(50)]))
+
+
 def test_find_leaks(spark):
     rnd = random.Random(2)
     say = lambda n: " ".join("".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(n))
