@@ -1,9 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
 A text region within k edits of a pattern of n characters shares at least n - q + 1 - k q of its q-grams
-with it, all on diagonals at most k apart. So: find the q-grams of a document that any pattern has,
-keep stretches dense enough for some pattern, count shared q-grams in overlapping diagonal bands, and
-verify the bands that reach the bound by aligning pattern and region inside the band.
+with it, all on diagonals at most k apart; of its floor(n / q) disjoint pieces all but k stand there
+unchanged. So: look up the pieces, take the diagonal bands with enough of them, count shared q-grams in
+these overlapping bands, and verify the bands that reach the bound by aligning pattern and region.
 
 Texts are compared in a normal form: lower case, every run of other characters than letters and digits
 one space. Patterns are windows of the benchmark items, half overlapping, so a part of an item counts.
@@ -24,6 +24,11 @@ from consigna.llm.common import spread
 LEAKS = "array<struct<item_id:long,start:int,end:int>>"
 _LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
 BITS = 20
+PAIR_BITS = 24
+#: Least number of diagonals from one band to the next.
+STEP = 16
+#: Rows that one step of the search holds at a time.
+ROWS = 1_000_000
 #: Characters in normal form that an item must have to be evidence.
 LEAST = 20
 #: Characters that are normalised and hashed together; longer texts make a chunk of their own.
@@ -91,10 +96,26 @@ class Patterns:
     budgets: np.ndarray
     bounds: np.ndarray
     hashes: np.ndarray
-    first: np.ndarray
-    where_pattern: np.ndarray
-    where_place: np.ndarray
+    seed_first: np.ndarray
+    seed_pattern: np.ndarray
+    seed_place: np.ndarray
+    needs: np.ndarray
+    pairs: np.ndarray
+    pair_place: np.ndarray
+    repeats: np.ndarray
     bits: np.ndarray
+    pair_bits: np.ndarray | None = None  # made where it is used
+
+    def has_pair(self, pair: np.ndarray) -> np.ndarray:
+        """Whether each pair may be in pairs; a wrong yes is rare."""
+        if self.pair_bits is None:
+            self.pair_bits = np.zeros(1 << PAIR_BITS, bool)
+            self.pair_bits[_spread(self.pairs)] = True
+        return self.pair_bits[_spread(pair)]
+
+
+def _spread(pair: np.ndarray) -> np.ndarray:
+    return (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 def windows(codes: np.ndarray, size: int) -> list[np.ndarray]:
@@ -123,12 +144,18 @@ def patterns(items: list[tuple[int, str]], q: int, size: int, rate: float) -> Pa
     every = np.concatenate(per) if per else np.empty(0, np.uint64)
     pattern = np.repeat(np.arange(len(codes)), [len(p) for p in per])
     place = np.concatenate([np.arange(len(p)) for p in per]) if per else np.empty(0, np.int64)
-    order = np.argsort(every, kind="stable")
-    hashes, first = np.unique(every[order], return_index=True)
+    hashes, gram = np.unique(every, return_inverse=True)
     bits = np.zeros(1 << BITS, bool)
     bits[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
-    return Patterns(q, codes, np.array(ids, np.int64), sizes, budgets, sizes - q + 1 - budgets * q, hashes,
-                    np.append(first, len(every)), pattern[order], place[order], bits)
+    # Postings of the disjoint pieces alone, gram by gram.
+    piece = place % q == 0
+    order = np.flatnonzero(piece)[np.argsort(gram[piece], kind="stable")]
+    seed_first = np.searchsorted(gram[order], np.arange(len(hashes) + 1))
+    # Each pattern's grams; the place of one that it has several times is -1.
+    pairs, one, times = np.unique(pattern * len(hashes) + gram, return_index=True, return_counts=True)
+    repeats = np.maximum(sizes - q + 1, 0) - np.bincount(pattern[one], minlength=len(codes))  # places beyond the first of their gram
+    return Patterns(q, codes, np.array(ids, np.int64), sizes, budgets, sizes - q + 1 - budgets * q, hashes, seed_first, pattern[order],
+                    place[order], sizes // q - budgets, pairs, np.where(times == 1, place[one], -1), repeats, bits)
 
 
 def _aligned(p: Patterns, codes: np.ndarray, pattern: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +185,79 @@ def _aligned(p: Patterns, codes: np.ndarray, pattern: np.ndarray, low: np.ndarra
     return best, end
 
 
+def _expand(first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the postings of grams `at`, and for each slot which of them it belongs to."""
+    many = first[at + 1] - first[at]
+    ends = np.cumsum(many)
+    return np.repeat(first[at] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0), np.repeat(np.arange(len(at)), many)
+
+
+def _slices(p: Patterns, hits: np.ndarray, at: np.ndarray, reach: int) -> Iterator[tuple[int, int]]:
+    """Runs of hits with at most ROWS seed postings, each with the hits within reach behind it.
+
+    A run is at least one hit long; what lies within reach of it has few postings, as a gram has one for
+    each pattern of a block at most.
+    """
+    total = np.concatenate([[0], np.cumsum(p.seed_first[at + 1] - p.seed_first[at])])
+    start = 0
+    while start < len(hits):
+        end = max(start + 1, int(np.searchsorted(total, total[start] + ROWS, "right")) - 1)
+        yield start, int(np.searchsorted(hits, hits[end - 1] + reach, "right"))
+        start = end
+
+
+def _candidates(p: Patterns, hits: np.ndarray, at: np.ndarray, step: int, overlap: int, shift: int) -> np.ndarray:
+    """Bands (pattern and band in one number) in which enough of a pattern's pieces occur unchanged.
+
+    k edits leave all but k of the disjoint pieces unchanged, on diagonals at most k apart.
+    """
+    bands = int((hits[-1] + shift) // step) + 1 if len(hits) else 1
+    found = [np.empty(0, np.int64)]
+    reach = int((p.sizes + p.budgets).max())
+    for a, b in _slices(p, hits, at, reach):
+        slot, of = _expand(p.seed_first, at[a:b])
+        pattern = p.seed_pattern[slot]
+        diagonal = hits[a:b][of] - p.seed_place[slot] + shift
+        band = diagonal // step
+        back = (diagonal - band * step < overlap) & (band > 0)
+        key = pattern * bands + band
+        key, count = np.unique(np.concatenate([key, key[back] - 1]), return_counts=True)
+        found.append(key[count >= p.needs[key // bands]])
+    every = np.unique(np.concatenate(found))
+    return np.stack([every // bands, every % bands])
+
+
+def _dense(p: Patterns, gram: np.ndarray, pattern: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
+    """Which bands share as many q-grams with their pattern as the lemma asks for.
+
+    gram is the number of the gram at each place of the text, -1 where no pattern has it. A gram counts
+    where it stands on a diagonal of the band; one that its pattern has several times counts on any. Places
+    of the text are counted, and grams of the pattern that stand at one place or more.
+    """
+    out = np.zeros(len(pattern), bool)
+    grams_ = len(p.hashes)
+    for part in np.array_split(np.arange(len(pattern)), max(1, -(-len(pattern) * (int(p.sizes.max()) + width) // ROWS))):
+        if not len(part):
+            continue
+        at = low[part][:, None] + np.arange(int(p.sizes.max()) - p.q + width)
+        g = np.where((at >= 0) & (at < len(gram)), gram[np.clip(at, 0, max(0, len(gram) - 1))], -1)
+        row, col = np.nonzero(g >= 0)
+        want = pattern[part][row] * grams_ + g[row, col]
+        maybe = p.has_pair(want)
+        row, col, want = row[maybe], col[maybe], want[maybe]
+        k = np.searchsorted(p.pairs, want)
+        k[k == len(p.pairs)] = 0
+        place = p.pair_place[k]
+        off = at[row, col] - place - low[part][row]
+        ok = (p.pairs[k] == want) & ((place < 0) | ((off >= 0) & (off < width)))
+        row, k = row[ok], k[ok]
+        places = np.bincount(row, minlength=len(part))
+        alike = np.bincount(np.unique(row * len(p.pairs) + k) // len(p.pairs), minlength=len(part))
+        repeats = p.repeats[pattern[part]]
+        out[part] = (places >= p.bounds[pattern[part]]) & (alike + repeats >= p.bounds[pattern[part]])
+    return out
+
+
 def regions(p: Patterns, codes: np.ndarray) -> list[tuple[int, int, int]]:
     """(pattern, start, end) of the regions of codes within a pattern's edit budget."""
     if not len(p.codes):
@@ -168,38 +268,24 @@ def regions(p: Patterns, codes: np.ndarray) -> list[tuple[int, int, int]]:
     at[at == len(p.hashes)] = 0
     real = p.hashes[at] == h[maybe]
     hits, at = maybe[real], at[real]
-    # Some pattern's bound must be met by the hits of a stretch as long as the pattern and its budget.
-    dense = np.zeros(len(hits), bool)
-    for bound in np.unique(p.bounds):
-        reach = (p.sizes + p.budgets - p.q)[p.bounds == bound].max()
-        if len(hits) >= bound:
-            ok = np.flatnonzero(hits[bound - 1:] - hits[:len(hits) - bound + 1] <= reach)
-            mark = np.zeros(len(hits) + 1, np.int64)
-            np.add.at(mark, ok, 1)
-            np.add.at(mark, ok + bound, -1)
-            dense |= np.cumsum(mark)[:-1] > 0
-    hits, at = hits[dense], at[dense]
+    gram = np.full(len(h), -1, np.int32)
+    gram[hits] = at
+    seed = p.seed_first[at + 1] > p.seed_first[at]
+    hits, at = hits[seed], at[seed]
     if not len(hits):
         return []
-    many = p.first[at + 1] - p.first[at]
-    slot = np.repeat(p.first[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    pattern, place, hit = p.where_pattern[slot], p.where_place[slot], np.repeat(hits, many)
-    diagonal = hit - place
     # Bands of step + overlap diagonals; the overlap is the largest budget, so some band holds all of a region.
     overlap = int(p.budgets.max())
-    step = max(16, overlap)
+    step = max(STEP, overlap)
     shift = int(p.sizes.max())
-    band = (diagonal + shift) // step
-    back = ((diagonal + shift) % step < overlap) & (band > 0)
-    pattern, band, place = np.concatenate([pattern, pattern[back]]), np.concatenate([band, band[back] - 1]), np.concatenate([place, place[back]])
-    bands = int(band.max()) + 1
-    key, count = np.unique(pattern * bands + band, return_counts=True)
-    good = count >= p.bounds[key // bands]
-    pattern, band = key[good] // bands, key[good] % bands
+    pattern, band = _candidates(p, hits, at, step, overlap, shift)
+    low = band * step - shift
+    good = _dense(p, gram, pattern, low, step + overlap)
+    pattern, low = pattern[good], low[good] - overlap
+    width = step + 3 * overlap + 1
     if not len(pattern):
         return []
-    low = band * step - shift - overlap
-    edits, end = _aligned(p, codes, pattern, low, step + 3 * overlap + 1)
+    edits, end = _aligned(p, codes, pattern, low, width)
     fits = edits <= p.budgets[pattern]
     return list(zip(pattern[fits].tolist(), (end - p.sizes[pattern])[fits].tolist(), end[fits].tolist(), strict=True))
 
@@ -241,7 +327,7 @@ def leaks(p: Patterns, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 6, size: int = 50, rate: float = 1 / 8, block_chars: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 6, size: int = 50, rate: float = 1 / 8, block_chars: int = 1_000_000) -> DataFrame:
     """All columns of docs in __row, with __leaks: the regions that hold a passage of the benchmark.
 
     size and rate: a passage is a window of that many characters of an item (a shorter item as a whole)

@@ -100,6 +100,21 @@ def test_regions_against_all_alignments(seed):
         assert got == want
 
 
+def test_regions_in_slices(monkeypatch):
+    """Steps of few rows find what one step finds, also where the benchmark repeats a passage many times."""
+    rnd = random.Random(8)
+    say = lambda n: " ".join("".join(rnd.choices("abcde", k=rnd.randrange(2, 6))) for _ in range(n))
+    common = say(20)
+    items = [(k, f"{common} {say(12)}") for k in range(40)]
+    p = decontaminate.patterns(items, 6, 50, 1 / 8)
+    text = " ".join(f"{say(30)} {rnd.choice(items)[1][:80 + rnd.randrange(40)]}" for _ in range(20))
+    codes = decontaminate.normal(text)[0]
+    whole = sorted(decontaminate.regions(p, codes))
+    for rows in (1, 7, 100, 5000):
+        monkeypatch.setattr(decontaminate, "ROWS", rows)
+        assert sorted(decontaminate.regions(p, codes)) == whole and len(whole) > 100
+
+
 def test_gram_hashes():
     codes = np.array([ord(c) for c in "abcabcabdabc"], np.uint32)
     for q in (1, 2, 3, 5, 8, 10, 12):
