@@ -30,14 +30,16 @@ WORDS = 4
 #: Frequent words that one pass over the documents numbers; more words take more passes.
 VOCABULARY = 4_000_000
 #: n-grams that a task sorts at a time, and different ones that it holds before it hands its filter on.
-CHUNK = 1 << 20
-HELD = 3 << 20
+CHUNK = 1 << 19
+HELD = 1 << 20
+#: Texts that a task turns into ids at a time.
+ROWS = 1000
 #: Words of the corpus for each block of quotients; a block is merged in one task.
 BLOCK_WORDS = 1 << 20
 #: Bits of the table of frequent parts: at least 2**20, at most 2**28 (32 MB).
 PART_BITS = (20, 28)
 #: Words that a task keeps numbers for.
-CACHE = 200_000
+CACHE = 100_000
 
 _SEPARATE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz \n\n\n\n\n\n\n\n\n\n")
 _ROUNDS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93]
@@ -188,10 +190,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "f"])
             seen.clear()
 
-        for b in batches:
+        for b in (x.slice(at, ROWS) for x in batches for at in range(0, len(x), ROWS)):
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(split_words(text))
-            if sum(map(len, seen.values())) > CACHE * 4:
+            if sum(map(len, seen.values())) > CACHE * 3:
                 yield from rows()
         yield from rows()
 
@@ -248,7 +250,7 @@ def encode(docs: DataFrame, vocabulary: DataFrame, size: int, clashes: set[int])
                     ids = [by_word.get(w + end, 0) if x in odd else i for w, x, i in zip(words, h.tolist(), ids, strict=True)]
                 return zip(words, ids, strict=True)
 
-            for b in batches:
+            for b in (x.slice(at, ROWS) for x in batches for at in range(0, len(x), ROWS)):
                 out = []
                 for lang, text, before in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), b.column("ids"), strict=True):
                     cache = caches.setdefault(lang, {b"": -1, b"\n": 0})
