@@ -9,7 +9,9 @@ tokens out of the search: of the tokens a pair shares, the rarest is left out by
 Equal sets are one node. Nodes that share search tokens are first held against what they share with all
 others: one with too many tokens of its own can be similar to none. A first round then compares each node
 only with its best neighbours, which joins large groups of near copies by a few comparisons each; the exact
-round looks at all candidates between different components.
+round looks at all candidates between different components. Inside a cluster of nodes that have most tokens
+in common, nodes are compared by what sets them apart from its core, so near copies that are just too
+different to link do not all meet.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ NEED = 85
 LEAST_MAX = 32
 #: Verifying a candidate costs as much as reading so many postings.
 VERIFY = 10.0
-#: Share of sampled documents from which a token counts as hot; that bounds how many hot tokens there are.
+#: Share of documents from which a token counts as hot; that bounds how many hot tokens there are.
 HOT = 0.002
 #: Ids up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
@@ -94,6 +96,10 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(out)
 
 
+def digest_of(tokens: np.ndarray) -> bytes:
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+
+
 def least_shared(n: int) -> int:
     """Prefix tokens any similar partner must share at least; never falls as n grows."""
     return min(LEAST_MAX, -(-NEED * n // 100))
@@ -122,23 +128,27 @@ def plan(tokens: np.ndarray, hot: dict[int, int]) -> tuple[int, int, np.ndarray,
     return shared, drop - len(gone), prefix[stay], prefix[gone]
 
 
-def hot_tokens(docs: DataFrame, one_in: int = 64) -> dict[int, int]:
-    """Estimated documents for each hot token, from a sample of documents by a hash of the id.
+def hot_tokens(every: DataFrame) -> dict[int, int]:
+    """Documents whose least prefix holds it, for each token that at least a share HOT of all documents have there.
 
-    Only the choice of prefixes depends on it, no result. There are at most (mean set size) / HOT.
+    All documents count. There are at most (mean least prefix) / HOT such tokens.
     """
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(one_in)) == 0).select("text").distinct()
+    tokens = every.select(F.explode(F.concat("tokens", "dropped")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    return {r["token"] & _M: r["n"] for r in tokens.where(F.col("n") >= max(4, int(every.count() * HOT))).collect()}
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t) for t in b.column("text").to_pylist()]
-            every, counts = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(counts)], ["token", "n"])
 
-    total = some.count()
-    least = max(4, int(total * HOT))
-    found = some.mapInArrow(split, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r["token"] & _M: r["n"] * one_in for r in found.collect()}
+def plans_of(docs: DataFrame) -> DataFrame:
+    """nodes_of the documents; those with a hot token among the least prefix are planned by the counts of these."""
+    every = staged(nodes_of(docs, {}), "jaccard-least")
+    hot = hot_tokens(every)
+    if not hot:
+        return every
+    some = [x - (1 << 64) if x >> 63 else x for x in hot]
+    table = F.broadcast(docs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, some))).alias("token")))  # hot tokens only
+    again = staged(every.select("doc_id", F.explode(F.concat("tokens", "dropped")).alias("token")).join(table, "token").select(F.col("doc_id").alias("k")).distinct(), "jaccard-again")
+    side = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    same = F.col("doc_id") == F.col("k")
+    return staged(every.join(side, same, "left_anti").union(nodes_of(docs.join(side, same, "left_semi"), hot)), "jaccard-nodes")
 
 
 def nodes_of(docs: DataFrame, hot: dict[int, int]) -> DataFrame:
@@ -152,7 +162,7 @@ def nodes_of(docs: DataFrame, hot: dict[int, int]) -> DataFrame:
             for t in b.column("text").to_pylist():
                 s = shingles(t)
                 ask, budget, tokens, dropped = plan(s, shared.value)
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ask, budget, tokens.view(np.int64), dropped.view(np.int64)))
+                rows.append((len(s), digest_of(s), ask, budget, tokens.view(np.int64), dropped.view(np.int64)))
             n, digest, ask, budget, tokens, dropped = zip(*rows, strict=True) if rows else ([],) * 6
             yield pa.RecordBatch.from_arrays([
                 b.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(ask, pa.int32()), pa.array(budget, pa.int32()),
@@ -174,17 +184,19 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """node, tokens (the whole set) of the nodes in ids, which are broadcast when they are few."""
+    """node, tokens (the whole set) of the nodes and digests in ids, which are broadcast when they are few."""
     ids = staged(ids, "jaccard-ids")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    some = docs.join(ids, F.col("doc_id") == F.col("node")).select("node", "text")
+    some = docs.join(ids, F.col("doc_id") == F.col("node")).select("node", "digest", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, len(whole), 500):
                 b = whole.slice(at, 500)
-                tokens = [shingles(t).view(np.int64) for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
+                sets = [shingles(t) for t in b.column("text").to_pylist()]
+                right = pa.array([digest_of(x) == d for x, d in zip(sets, b.column("digest").to_pylist(), strict=True)], pa.bool_())
+                tokens = pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column("node").filter(right), tokens.filter(right)], ["node", "tokens"])
 
     return some.mapInArrow(work, "node long, tokens array<long>").dropDuplicates(["node"])
 
@@ -237,20 +249,73 @@ def _search_rows(nodes: DataFrame) -> DataFrame:
     return common.withColumn("place", place).where("place > budget").select("token", "node", "n")
 
 
+def _clusters(sets: DataFrame, firsts: DataFrame) -> DataFrame:
+    """node, ref, n, core (size), delta, lost, score, need of the nodes close to the core of their cluster.
+
+    A node's cluster is named by the node that comes first for most of its search tokens. Its core is the
+    set of tokens that more than half of its nodes have; delta is what a node lacks of it (lost of them) or
+    has beside it. Two nodes of a cluster have core - lost - lost' + (deltas in common) tokens in common, so
+    what they need beyond core - lost - lost' must be deltas that both have: none when their scores add up
+    to 0 or more. need is how many a node has in common with any similar one at least, that of the highest
+    score; without any, the node is similar to that one.
+    """
+    ref = firsts.groupBy("node", "first").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", (-F.col("first")).alias("k"))).alias("x"))
+    ref = staged(ref.select(F.col("node").alias("k"), (-F.col("x.k")).alias("ref")), "jaccard-refs")
+    of = sets.join(ref, F.col("node") == F.col("k")).select("ref", "node", "n", "tokens")
+    size = ref.groupBy("ref").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # Tokens are counted before the shuffle; a core holds twice as many tokens as the mean node at most.
+    tokens = of.select("ref", F.explode("tokens").alias("token")).groupBy("ref", "token").agg(F.count(F.lit(1)).alias("c"))
+    core = tokens.join(size, "ref").where("c * 2 > m").groupBy("ref").agg(F.collect_list("token").alias("core"))
+    near = of.join(staged(core, "jaccard-cores"), "ref")
+    near = near.withColumns({"lacks": F.array_except("core", "tokens"), "more": F.array_except("tokens", "core")})
+    near = near.where((F.size("lacks") + F.size("more")) * 2 <= F.col("n")).select(
+        "ref", "node", "n", F.size("core").cast("long").alias("core"), F.concat("lacks", "more").alias("delta"), F.size("lacks").cast("long").alias("lost"))
+    # Twice what is over: similar when (100 + NEED) * common >= NEED * (n + n').
+    score = (100 + NEED) * (F.col("core") - 2 * F.col("lost")) - 2 * NEED * F.col("n")
+    near = staged(near.withColumn("score", score), "jaccard-deltas")
+    top = near.groupBy("ref").agg(F.max(F.struct("score", (-F.col("node")).alias("k"))).alias("x")).select(F.col("ref").alias("r"), F.col("x.score").alias("best"), (-F.col("x.k")).alias("top"))
+    need = F.greatest(F.lit(0), F.ceil(-(F.col("score") + F.col("best")) / (2.0 * (100 + NEED)))).cast("int")
+    return staged(near.join(top, F.col("ref") == F.col("r")).withColumn("need", need).drop("r", "best"), "jaccard-clusters")
+
+
+def _in_clusters(near: DataFrame, component: DataFrame) -> DataFrame:
+    """Similar pairs (a, b) of one cluster and different components.
+
+    Of two such nodes one at least has a need (else both are similar to the top); it is looked up by its
+    deltas, of which it may leave out the need - 1 that most others have.
+    """
+    near = near.join(component, F.col("node") == F.col("k"), "left").withColumn("component", F.coalesce("component", "node")).drop("k")
+    open_ = near.groupBy("ref").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("ref")
+    near = staged(near.join(open_, "ref"), "jaccard-close")
+    deltas = near.select("ref", "node", F.explode("delta").alias("token"))
+    common = deltas.groupBy("ref", "token").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = near.where("need > 0").select("ref", "node", "need", F.explode("delta").alias("token")).join(common, ["ref", "token"])
+    own = own.withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("c"), "token"))).where("place >= need")
+    search = own.groupBy("node").agg(F.collect_list("token").alias("search"))
+    x = near.join(search, "node").select(
+        "ref", F.explode("search").alias("token"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("lost").alias("la"), F.col("component").alias("ca"), F.col("delta").alias("da"), "search", "core")
+    y = near.select(
+        "ref", F.explode("delta").alias("token"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("lost").alias("lb"), F.col("component").alias("cb"), F.col("delta").alias("db"))
+    alike = F.expr(f"ca <> cb AND (core - la - lb + size(array_intersect(da, db))) * {100 + NEED} >= (na + nb) * {NEED}")
+    found = x.join(y, (x["ref"] == y["ref"]) & (x["token"] == y["token"]) & alike & (F.array_min(F.array_intersect("search", "db")) == x["token"]))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, node) and components (node, component) of the nodes with links."""
     docs = spread(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    every = staged(nodes_of(docs, hot_tokens(docs)), "jaccard-nodes")
+    every = plans_of(docs)
     # Equal sets are one node, named by its least id; empty ones stay alone.
     node = every.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"))
     members = staged(every.select("doc_id", "n", "digest").join(node.select("digest", "node"), "digest", "left").select("doc_id", "n", "node", "digest"), "jaccard-members")
-    heads = members.where("doc_id = node").select("node", "digest").distinct()
+    # Of rows with one id and different texts, that of the least digest is the node.
+    heads = members.where("doc_id = node").groupBy("node").agg(F.min("digest").alias("digest"))
     nodes = staged(
         every.where("n > 0").join(heads, (every.doc_id == heads.node) & (every.digest == heads.digest))
         .select("node", "n", "shared", "budget", "tokens", "dropped").dropDuplicates(["node"]), "jaccard-plans")
     rows = staged(_search_rows(nodes), "jaccard-rows")
     # Of the documents that share search tokens, those that can reach the similarity with any other.
-    sets = staged(sets_of(docs, rows.select("node").distinct()), "jaccard-sets")
+    sets = staged(sets_of(docs, rows.select("node").distinct().join(heads, "node")), "jaccard-sets")
     for _ in range(2):  # what the first turn takes out leaves more tokens alone
         sets = staged(may_link(sets), "jaccard-sets")
     alive = _few(sets.select(F.col("node").alias("k"), "most"))
@@ -265,10 +330,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("c").desc(), "to"))
     pairs = staged(tries.where("node <> to").withColumn("r", best).where("r <= 2").select(F.col("to").alias("a"), F.col("node").alias("b")), "jaccard-tries")
     pairs = staged(_required(pairs, plans), "jaccard-first")
-    first = staged(verify(pairs, sets), "jaccard-links")
+    near = _clusters(sets, rows.select("node", F.first("node").over(order).alias("first")))
+    first = verify(pairs, sets).union(near.where("need = 0 AND node <> top").select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")))
+    first = staged(first, "jaccard-links")
     joined = staged(components(first, "jaccard-stars"), "jaccard-components")
 
-    # Exact round: all candidates between different components.
+    # Exact round: all candidates between different components, those inside a cluster by their deltas.
+    inside = staged(_in_clusters(near, joined.select(F.col("node").alias("k"), "component")), "jaccard-inside")
+    rows = rows.join(near.select(F.col("node").alias("near"), "ref"), F.col("node") == F.col("near"), "left").drop("near")
     rows = rows.join(_few(joined.select(F.col("node").alias("k"), "component")), F.col("node") == F.col("k"), "left")
     rows = rows.withColumn("component", F.coalesce("component", "node")).drop("k")
     mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
@@ -276,14 +345,14 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # A pair meets at each token that both have; it comes out at the least of them only.
     own = rows.groupBy("node").agg(F.collect_list("token").alias("all"))
     rows = rows.join(own, "node")
-    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"), F.col("all").alias("ta"))
-    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"), F.col("all").alias("tb"))
-    fits = f"a < b AND ca <> cb AND nb <= ma AND na <= mb AND least(na, nb) * 100 >= greatest(na, nb) * {NEED}"
+    x = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("component").alias("ca"), F.col("all").alias("ta"), F.col("ref").alias("ra"))
+    y = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("component").alias("cb"), F.col("all").alias("tb"), F.col("ref").alias("rb"))
+    fits = f"a < b AND ca <> cb AND coalesce(ra <> rb, true) AND nb <= ma AND na <= mb AND least(na, nb) * 100 >= greatest(na, nb) * {NEED}"
     later = x.join(y, (x["token"] == y["token"]) & F.expr(fits) & (F.array_min(F.array_intersect("ta", "tb")) == x["token"]))
     later = staged(later.select("a", "b"), "jaccard-candidates")
     pairs = staged(_required(later, plans), "jaccard-second")
-    if pairs.head(1):
-        joined = components(first.union(verify(pairs, sets)), "jaccard-stars")
+    if pairs.head(1) or inside.head(1):
+        joined = components(first.union(inside).union(verify(pairs, sets)), "jaccard-stars")
     return members.drop("digest"), staged(joined, "jaccard-components")
 
 

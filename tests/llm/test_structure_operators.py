@@ -11,6 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from consigna.llm.common import ship
 from consigna.llm import arc, chat, decontaminate, jaccard, lengths, site_tree
 
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (None, "no id here"), (5, "same row"), (5, "same row"), (6, "long " * 30_000)]
@@ -253,6 +254,31 @@ def plain_components(rows):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_copies_about_the_limit(spark, seed):
+    """One large group whose members are just close enough or just not, a passage in most texts, longer prefixes."""
+    rnd = random.Random(seed)
+    say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    base, passage, rows = say(80), say(30), []
+    for i in range(260):
+        w = list(base)
+        for _ in range(rnd.randrange(5)):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(30)}"
+        rows.append((i, " ".join(w)))
+    rows += [(300 + i, " ".join(say(rnd.randrange(20, 60)) + passage + say(5))) for i in range(200)]
+    rows += [(600 + i, rows[200 + i * 5][1] + " tail") for i in range(40)]
+    ship(spark)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    every = jaccard.nodes_of(df, {})
+    hot = jaccard.hot_tokens(every)
+    longer = [r for r in jaccard.plans_of(df).collect() if r.shared > jaccard.least_shared(r.n)]
+    assert hot and longer
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
+    want = plain_components(rows)
+    assert got == want
+    assert len({c for _, c in want.values()}) > 30 and max(Counter(c for _, c in want.values()).values()) > 100
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aAbBéÉ \t\n\x0b ", max_size=60))
 def test_shingles(text):
