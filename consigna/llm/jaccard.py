@@ -35,6 +35,8 @@ LEAST_MAX = 32
 VERIFY = 10.0
 #: Share of documents from which a token counts as hot; that bounds how many hot tokens there are.
 HOT = 0.002
+#: Nodes from which a cluster gets a core; the pairs of a smaller one are few.
+CLUSTER = 32
 #: Ids up to which a side is broadcast; beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
 
@@ -148,7 +150,7 @@ def plans_of(docs: DataFrame) -> DataFrame:
     again = staged(every.select("doc_id", F.explode(F.concat("tokens", "dropped")).alias("token")).join(table, "token").select(F.col("doc_id").alias("k")).distinct(), "jaccard-again")
     side = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
     same = F.col("doc_id") == F.col("k")
-    return staged(every.join(side, same, "left_anti").union(nodes_of(docs.join(side, same, "left_semi"), hot)), "jaccard-nodes")
+    return every.join(side, same, "left_anti").union(staged(nodes_of(docs.join(side, same, "left_semi"), hot), "jaccard-nodes"))
 
 
 def nodes_of(docs: DataFrame, hot: dict[int, int]) -> DataFrame:
@@ -207,8 +209,9 @@ def may_link(sets: DataFrame) -> DataFrame:
     A token that no other set has is in no overlap. With e tokens that others have, the overlap is e at
     most, which bounds a partner's size from above; it must not be under the least size for a partner.
     Tokens are counted before the shuffle, and what a token that occurs once adds goes to its only node.
+    They go by 32 bits of their hash: two that meet there count as shared, which only weakens the bound.
     """
-    tokens = sets.select("node", F.explode("tokens").alias("token"))
+    tokens = sets.select("node", F.explode("tokens").alias("token")).select("node", F.hash("token").alias("token"))
     alone = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("k")).where("c = 1").groupBy("k").agg(F.count(F.lit(1)).alias("alone"))
     n = F.size("tokens").cast("long")
     most = F.floor((n - F.coalesce("alone", F.lit(0))) * (100 + NEED) / NEED) - n
@@ -261,8 +264,8 @@ def _clusters(sets: DataFrame, firsts: DataFrame) -> DataFrame:
     """
     ref = firsts.groupBy("node", "first").agg(F.count(F.lit(1)).alias("c")).groupBy("node").agg(F.max(F.struct("c", (-F.col("first")).alias("k"))).alias("x"))
     ref = staged(ref.select(F.col("node").alias("k"), (-F.col("x.k")).alias("ref")), "jaccard-refs")
-    of = sets.join(ref, F.col("node") == F.col("k")).select("ref", "node", "n", "tokens")
-    size = ref.groupBy("ref").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    size = staged(ref.groupBy("ref").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= CLUSTER), "jaccard-sizes")
+    of = sets.join(_few(ref.join(size, "ref", "left_semi")), F.col("node") == F.col("k")).select("ref", "node", "n", "tokens")
     # Tokens are counted before the shuffle; a core holds twice as many tokens as the mean node at most.
     tokens = of.select("ref", F.explode("tokens").alias("token")).groupBy("ref", "token").agg(F.count(F.lit(1)).alias("c"))
     core = tokens.join(size, "ref").where("c * 2 > m").groupBy("ref").agg(F.collect_list("token").alias("core"))

@@ -255,7 +255,7 @@ def plain_components(rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_near_copies_about_the_limit(spark, seed):
+def test_near_copies_about_the_limit(spark, seed, monkeypatch):
     """One large group whose members are just close enough or just not, a passage in most texts, longer prefixes."""
     rnd = random.Random(seed)
     say = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
@@ -269,6 +269,7 @@ def test_near_copies_about_the_limit(spark, seed):
     rows += [(600 + i, rows[200 + i * 5][1] + " tail") for i in range(40)]
     ship(spark)
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "CLUSTER", 2 if seed == 1 else 32)
     every = jaccard.nodes_of(df, {})
     hot = jaccard.hot_tokens(every)
     longer = [r for r in jaccard.plans_of(df).collect() if r.shared > jaccard.least_shared(r.n)]
