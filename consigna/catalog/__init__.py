@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from consigna.catalog import documents, loading, records, store, stream, suggest, texts  # noqa: F401
+from consigna.catalog import documents, loading, lookups, records, store, stream, suggest, texts  # noqa: F401
 from consigna.catalog.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

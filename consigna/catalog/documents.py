@@ -401,11 +401,14 @@ SUITE = [
 ]
 
 
-@query("parse_files", with_(ROWS, HEADS, ENDS, DATA, MAPPED, PAIRS, CARDS, CARD_META, f"""cut AS (SELECT file_id, sheet_idx, string_split_regex(skuName, 'th') AS p FROM pairs),
+SUITE_COUNTS = f"""cut AS (SELECT file_id, sheet_idx, string_split_regex(skuName, 'th') AS p FROM pairs),
 counts AS (SELECT 'fr' AS lang, file_id, sheet_idx, count(*) AS n FROM mapped GROUP BY 2, 3
   UNION ALL SELECT 'de', file_id, sheet_idx, sum(CASE WHEN len(p) <= 1 THEN 1 ELSE len(list_filter(p, lambda x: NOT {sql_blank('x')})) END) FROM cut GROUP BY 2, 3
   UNION ALL SELECT 'en', file_id, sheet_idx, count(DISTINCT coalesce(storeName, '')) FROM card_meta GROUP BY 2, 3
-  UNION ALL SELECT 'es', file_id, sheet_idx, len(list_filter(string_split_regex(text, '\\. '), lambda x: NOT {sql_blank('x')})) FROM sheets)""")
+  UNION ALL SELECT 'es', file_id, sheet_idx, len(list_filter(string_split_regex(text, '\\. '), lambda x: NOT {sql_blank('x')})) FROM sheets)"""
+
+
+@query("parse_files", with_(ROWS, HEADS, ENDS, DATA, MAPPED, PAIRS, CARDS, CARD_META, SUITE_COUNTS)
     + """SELECT concat(s.file_id, '/', CAST(s.sheet_idx AS VARCHAR)) AS file_id, 'yes' AS success, CAST(coalesce(n, 0) AS BIGINT) AS total_rows
 FROM sheets s LEFT JOIN counts c ON c.file_id = s.file_id AND c.sheet_idx = s.sheet_idx AND c.lang = string_split(sheet_name, '-')[1]""")
 def parse_files_query(t: Tables) -> DataFrame:
@@ -429,26 +432,24 @@ def parse_summary(t: Tables) -> DataFrame:
     return out.withColumn("success", F.when(F.col("success"), "yes").otherwise("no"))
 
 
-@query("suite_summary", f"""WITH files AS (SELECT doc_id, lang, text, doc_id % 5 AS kind FROM documents)
-SELECT count(*) AS files, count(*) FILTER (lang IN ('fr', 'es')) AS matched, count(*) FILTER (lang = 'es' AND kind <> 0 AND NOT {sql_blank('text')}
-    OR lang = 'fr' AND kind <> 1) AS passed,
-  count(*) - count(*) FILTER (lang = 'es' AND kind <> 0 AND NOT {sql_blank('text')} OR lang = 'fr' AND kind <> 1) AS failed,
-  count(*) FILTER (NOT (lang = 'es' AND kind <> 0 AND NOT {sql_blank('text')} OR lang = 'fr' AND kind <> 1)) AS without_rows FROM files""")
+SUITE_KIND = "(CAST(substr(s.file_id, 6) AS BIGINT) * 8 + s.sheet_idx) % 5"
+
+
+@query("suite_summary", with_(ROWS, HEADS, ENDS, DATA, MAPPED, PAIRS, CARDS, CARD_META, SUITE_COUNTS)
+    + f"""SELECT count(*) AS files, count(*) FILTER ({SUITE_KIND} <> 1) AS matched, count(*) FILTER ({SUITE_KIND} > 1) AS passed,
+  count(*) FILTER ({SUITE_KIND} <= 1) AS failed, count(*) FILTER ({SUITE_KIND} <= 1 OR coalesce(n, 0) = 0) AS without_rows
+FROM sheets s LEFT JOIN counts c ON c.file_id = s.file_id AND c.sheet_idx = s.sheet_idx AND c.lang = string_split(sheet_name, '-')[1]""")
 def suite_summary(t: Tables) -> DataFrame:
-    """French files are sheets, Spanish ones texts, others have no rule; some have only the other kind, or nothing."""
-    docs = t.spread(t.read("documents"))
-    kind, name = F.col("doc_id") % 5, F.col("doc_id").cast("string").alias("file_id")
-    suffix = F.when(F.col("lang") == "es", ".docx").otherwise(".xlsx")
-    files = docs.select(name, F.concat(F.col("lang"), F.lit("-"), F.col("doc_id").cast("string"), suffix).alias("file_name"))
-    rows = docs.filter(((F.col("lang") == "fr") & (kind != 1)) | ((F.col("lang") == "es") & (kind == 0))).select(
-        name, F.lit(0).alias("sheet_idx"), F.lit("s").alias("sheet_name"), F.lit(0).alias("row_idx"), F.array(F.lit("cell")).alias("cells"))
-    texts = docs.filter((F.col("lang") == "es") & (kind != 0)).select(name, F.lit("word").alias("file_type"), F.lit(0).alias("page_idx"), "text")
-    rules = [
-        {"id": "french", "fileType": "excel", "keywords": ["fr-"], "source": {"type": "table"}, "dataRegion": {"headerRow": 1, "dataStartRow": 1},
-         "fieldMapping": {"remark": {"type": "column", "column": 0}}},
-        {"id": "spanish", "fileType": "word", "keywords": ["es-"], "source": {"type": "text"},
-         "textParsing": {"recordSeparator": "\x00", "fieldPatterns": {"remark": "(.)"}}},
-    ]
-    got = parse_files(files, rows, texts, rules)
-    routed = match_rule_by_filename(files, rules)
+    """Each language has its own rule; a fifth of the files hold nothing and a fifth have a name of the wrong kind."""
+    sheets_ = t.sheets().withColumns({
+        "kind": (F.substring_index("file_id", "-", -1).cast("bigint") * 8 + F.col("sheet_idx")) % 5,
+        "file_id": F.concat_ws("/", "file_id", F.col("sheet_idx").cast("string"))})
+    spanish = F.startswith("sheet_name", F.lit("es-"))
+    suffix = F.when(F.col("kind") == 1, ".pdf").when(spanish, ".docx").otherwise(".xlsx")
+    files = sheets_.select("file_id", F.concat("sheet_name", suffix).alias("file_name"))
+    full = sheets_.filter(F.col("kind") > 0)
+    rows = t.single_sheets().join(full.select("file_id"), "file_id", "left_semi")
+    texts = full.filter(spanish).select("file_id", F.lit("word").alias("file_type"), F.lit(0).alias("page_idx"), "text")
+    got = parse_files(files, rows, texts, SUITE)
+    routed = match_rule_by_filename(files, SUITE)
     return summary.suite_summary(routed, summary.parse_summary(files, got.records, got.errors))

@@ -99,11 +99,12 @@ def orders_search(orders: DataFrame, items: DataFrame, page: int = 1, page_size:
     page, page_size = clamp_page(page, page_size)
     k = page * page_size
     first = _first_orders(filter_orders(orders, **conditions), k)
+    day = _day_key(first, items)
     hits = (
-        items.withColumnRenamed("id", "item_id")
-        .join(_few(first.select(F.col("id").alias("order_id"), "created_at"), k), "order_id")
+        items.select(F.col("id").alias("item_id"), "order_id", *ITEM_COLUMNS.values(), *day)
+        .join(_few(first.select(F.col("id").alias("order_id"), "created_at", *day), k), ["order_id", *day])
         .orderBy(*_newest("created_at", "order_id", "item_id")).limit(k)
-        .drop("created_at")
+        .drop("created_at", *day)
     )
     return (
         first.join(_few(hits, k), first["id"] == hits["order_id"], "left")
@@ -118,6 +119,24 @@ def orders_search(orders: DataFrame, items: DataFrame, page: int = 1, page_size:
     )
 
 
+def page_of(orders: DataFrame, items: DataFrame, skip: int, page_size: int) -> DataFrame:
+    """Joined rows skip + 1 .. skip + page_size of some orders and their items, newest orders first."""
+    own = items.select(F.col("id").alias("item_id"), "order_id", *ITEM_COLUMNS.values())
+    return (
+        orders.join(own, orders["id"] == own["order_id"], "left")
+        .select(
+            F.col("id").alias("orderId"), *[F.col(c).alias(n) for n, c in ORDER_COLUMNS.items()], "created_at", "item_id",
+            *[F.col(c).alias(n) for n, c in ITEM_COLUMNS.items()])
+        .orderBy(*_newest("created_at", "orderId", "item_id")).offset(skip).limit(page_size)
+        .select("orderId", *ORDER_COLUMNS, _iso(F.col("created_at")).alias("createdAt"), *ITEM_COLUMNS)
+    )
+
+
+def _day_key(orders: DataFrame, items: DataFrame) -> list[str]:
+    """The partition column, where both tables have it: an item lies in the day of its order, so days of no order are not read."""
+    return [c for c in ("created_day",) if c in orders.columns and c in items.columns]
+
+
 def items_nested(items: DataFrame, block: list[Column] | None = None) -> DataFrame:
     """Items of each order in id order, as rows: order_id, position (from 1) and the item's fields.
 
@@ -175,7 +194,8 @@ def orders_sync(
         orders = _day_range(orders, until=at).filter((F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") > after[1])))
         skip = 0
     chosen = orders.orderBy(*_newest("created_at", "id")).offset(skip).limit(page_size)
-    own = items.join(F.broadcast(chosen.select(F.col("id").alias("order_id"))), "order_id", "left_semi")
+    day = _day_key(chosen, items)
+    own = items.join(F.broadcast(chosen.select(F.col("id").alias("order_id"), *day)), ["order_id", *day], "left_semi")
     return _with_items(chosen, own)
 
 
@@ -194,7 +214,8 @@ def order_detail(codes: DataFrame, orders: DataFrame, items: DataFrame, code: st
     asked = codes.select(trim(F.col(code)).alias("code")).distinct()
     wanted = orders.join(asked.select(F.col("code").alias("external_code")), "external_code", "left_semi")
     chosen = first_order_of_code(wanted)
-    own = items.join(chosen.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    day = _day_key(chosen, items)
+    own = items.join(chosen.select(F.col("id").alias("order_id"), *day), ["order_id", *day], "left_semi")
     details = _with_items(chosen, own)
     status = (
         F.when(text_or_empty(F.col("code")) == "", "invalid_external_code")
@@ -210,7 +231,9 @@ def sku_in_order(pairs: DataFrame, orders: DataFrame, items: DataFrame, code: st
     ).distinct()
     codes = asked.select(F.col("code").alias("external_code")).distinct()
     known = orders.join(codes, "external_code", "left_semi")
-    rows = known.join(items.withColumnRenamed("id", "item_id").drop("created_at", "batch_id"), known["id"] == F.col("order_id"))
+    wanted = items.select(F.col("id").alias("item_id"), "order_id", *ITEM_COLUMNS.values())
+    wanted = wanted.join(asked.select(F.col("sku").alias("sku_code")).distinct(), "sku_code", "left_semi")  # other items answer nothing
+    rows = known.join(wanted, known["id"] == F.col("order_id"))
     info = ["id", "store_name", "receiver_name", "sku_name", "sku_quantity", "sku_spec"]
     first = (
         rows.groupBy(F.col("external_code").alias("code"), F.col("sku_code").alias("sku"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "consigna", master: str | None = None, **conf: str) -> SparkSession:
@@ -28,4 +31,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.staged"
+        if base.startswith(("file:", "/")) and not (spark.conf.get("spark.master", "") or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share; the warehouse is a local folder")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new shared folder and read again: cuts lineage, survives lost executors."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the executors, once for each application, as --py-files would."""
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    home = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp()) / "consigna-package.zip"  # the driver's own; Spark sends it on
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((home / "consigna").rglob("*.py")):
+            z.write(f, f.relative_to(home))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(spark.sparkContext.applicationId)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,12 @@ SCHEMAS = {
         "created_at TIMESTAMP, attempt STRING"),
     "rejected_records": "batch_id STRING, position STRING, reason STRING, record STRING, attempt STRING",
     "import_errors": "batch_id STRING, position STRING, field STRING, message STRING, attempt STRING",
+    # Look-up tables, see sources/index.py; a run that did not end is not in index_runs and is not read.
+    "order_codes": "code STRING, order_id STRING, batch_id STRING, created_at TIMESTAMP, attempt STRING, run STRING, bucket INT",
+    "order_grams": "order_id STRING, batch_id STRING, day DATE, field STRING, gram STRING, attempt STRING, run STRING, bucket INT",
+    "order_hours": "batch_id STRING, hour TIMESTAMP, orders BIGINT, rows BIGINT, attempt STRING, run STRING",
+    "index_runs": "batch_id STRING, attempt STRING, run STRING",
+    "order_repeats": "code STRING, id STRING, seen_at TIMESTAMP, attempt STRING, repeated BOOLEAN, epoch INT",
 }
 
 
@@ -39,24 +46,25 @@ def new_attempt() -> str:
     return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
 
 
-def _has_files(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-
-
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table with its schema; one that was never written has no rows."""
-    schema = SCHEMAS[name]
-    if not _has_files(spark, f"{path}/{name}"):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{path}/{name}")
+    try:
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMAS[name])
 
 
 def published(spark: SparkSession, path: str) -> DataFrame:
-    """The last published attempt of each batch, as its summary row."""
+    """What readers see of each batch, as summary rows: its last attempt that was not refused, and a later refusal.
+
+    A batch that is loaded again and refused keeps the orders it had; the refusal is a row of its own.
+    """
     rows = read_table(spark, path, "import_batches")
-    last = rows.groupBy("batch_id").agg(F.max("attempt").alias("attempt"))
-    return rows.join(last, ["batch_id", "attempt"], "left_semi")
+    good = F.max(F.when(F.col("status") != "refused", F.col("attempt"))).alias("good")
+    last = rows.groupBy(F.col("batch_id").alias("b")).agg(good, F.max("attempt").alias("last"))
+    return rows.join(last, (F.col("batch_id") == F.col("b")) & ((F.col("attempt") == F.col("good")) | (F.col("attempt") == F.col("last"))), "left_semi")
 
 
 def _visible(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -82,7 +90,7 @@ def items_scan(spark: SparkSession, path: str, since=None, until=None) -> DataFr
 
 
 def import_batches(spark: SparkSession, path: str) -> DataFrame:
-    """One row per batch ever loaded or refused."""
+    """The load of each batch that readers see, and its refusal if that came later."""
     return published(spark, path).drop("attempt")
 
 
