@@ -103,7 +103,7 @@ class Patterns:
     pairs: np.ndarray
     pair_place: np.ndarray
     repeats: np.ndarray
-    bits: np.ndarray
+    starts: np.ndarray
     pair_bits: np.ndarray | None = None  # made where it is used
 
     def has_pair(self, pair: np.ndarray) -> np.ndarray:
@@ -145,8 +145,7 @@ def patterns(items: list[tuple[int, str]], q: int, size: int, rate: float) -> Pa
     pattern = np.repeat(np.arange(len(codes)), [len(p) for p in per])
     place = np.concatenate([np.arange(len(p)) for p in per]) if per else np.empty(0, np.int64)
     hashes, gram = np.unique(every, return_inverse=True)
-    bits = np.zeros(1 << BITS, bool)
-    bits[(hashes >> np.uint64(64 - BITS)).astype(np.int64)] = True
+    starts = np.searchsorted(hashes >> np.uint64(64 - BITS), np.arange((1 << BITS) + 1, dtype=np.uint64)).astype(np.int32)
     # Postings of the disjoint pieces alone, gram by gram.
     piece = place % q == 0
     order = np.flatnonzero(piece)[np.argsort(gram[piece], kind="stable")]
@@ -155,7 +154,7 @@ def patterns(items: list[tuple[int, str]], q: int, size: int, rate: float) -> Pa
     pairs, one, times = np.unique(pattern * len(hashes) + gram, return_index=True, return_counts=True)
     repeats = np.maximum(sizes - q + 1, 0) - np.bincount(pattern[one], minlength=len(codes))  # places beyond the first of their gram
     return Patterns(q, codes, np.array(ids, np.int64), sizes, budgets, sizes - q + 1 - budgets * q, hashes, seed_first, pattern[order],
-                    place[order], sizes // q - budgets, pairs, np.where(times == 1, place[one], -1), repeats, bits)
+                    place[order], sizes // q - budgets, pairs, np.where(times == 1, place[one], -1), repeats, starts)
 
 
 def _aligned(p: Patterns, codes: np.ndarray, pattern: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -235,20 +234,23 @@ def _dense(p: Patterns, gram: np.ndarray, pattern: np.ndarray, low: np.ndarray,
     of the text are counted, and grams of the pattern that stand at one place or more.
     """
     out = np.zeros(len(pattern), bool)
-    grams_ = len(p.hashes)
-    for part in np.array_split(np.arange(len(pattern)), max(1, -(-len(pattern) * (int(p.sizes.max()) + width) // ROWS))):
+    reach = int(p.sizes.max()) - p.q + width
+    edge = int(p.sizes.max()) + width + reach
+    padded = np.full(len(gram) + 2 * edge, -1, np.int32)
+    padded[edge:edge + len(gram)] = gram
+    first = low + edge
+    for part in np.array_split(np.arange(len(pattern)), max(1, -(-len(pattern) * reach // ROWS))):
         if not len(part):
             continue
-        at = low[part][:, None] + np.arange(int(p.sizes.max()) - p.q + width)
-        g = np.where((at >= 0) & (at < len(gram)), gram[np.clip(at, 0, max(0, len(gram) - 1))], -1)
-        row, col = np.nonzero(g >= 0)
-        want = pattern[part][row] * grams_ + g[row, col]
+        g = padded[first[part][:, None] + np.arange(reach)]
+        row, col = np.divmod(np.flatnonzero(g >= 0), reach)
+        want = pattern[part][row] * len(p.hashes) + g.reshape(-1)[row * reach + col]
         maybe = p.has_pair(want)
         row, col, want = row[maybe], col[maybe], want[maybe]
         k = np.searchsorted(p.pairs, want)
         k[k == len(p.pairs)] = 0
         place = p.pair_place[k]
-        off = at[row, col] - place - low[part][row]
+        off = col - place
         ok = (p.pairs[k] == want) & ((place < 0) | ((off >= 0) & (off < width)))
         row, k = row[ok], k[ok]
         places = np.bincount(row, minlength=len(part))
@@ -263,13 +265,18 @@ def regions(p: Patterns, codes: np.ndarray) -> list[tuple[int, int, int]]:
     if not len(p.codes):
         return []
     h = grams(codes, p.q)
-    maybe = np.flatnonzero(p.bits[(h >> np.uint64(64 - BITS)).astype(np.int64)])
-    at = np.searchsorted(p.hashes, h[maybe])
-    at[at == len(p.hashes)] = 0
-    real = p.hashes[at] == h[maybe]
-    hits, at = maybe[real], at[real]
+    # Hashes with the same first bits stand together; a gram looks at those with its own.
+    first = (h >> np.uint64(64 - BITS)).astype(np.int32)
+    left = np.flatnonzero(p.starts[first] < p.starts[first + 1])
+    at, end, mine = p.starts[first[left]], p.starts[first[left] + 1], h[left]
     gram = np.full(len(h), -1, np.int32)
-    gram[hits] = at
+    while len(left):
+        same = p.hashes[at] == mine
+        gram[left[same]] = at[same]
+        go = ~same & (at + 1 < end)
+        left, at, end, mine = left[go], at[go] + 1, end[go], mine[go]
+    hits = np.flatnonzero(gram >= 0)
+    at = gram[hits]
     seed = p.seed_first[at + 1] > p.seed_first[at]
     hits, at = hits[seed], at[seed]
     if not len(hits):
