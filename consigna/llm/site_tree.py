@@ -1,6 +1,7 @@
 """Main text of web pages by a site style tree.
 
 The block elements of all pages of a host are merged into one tree, by tag and class from the root down.
+A node is known by a 64-bit hash of its parent's and its own name, so a page may be of any depth.
 A node's presentation importance is the entropy of the child sequences that pages show there; a node that
 holds text has a content importance: one less the mean entropy of its texts over the pages. What says the
 same on many pages of a host is of low importance. Branches of low importance are cut from each page.
@@ -11,9 +12,11 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ SUPPORT = 5
 OUTSIDE = 0.5
 #: Share of a page's text from which a branch is not taken for what its class or id says.
 MOST = 0.5
-#: Rows of the host table up to which it is broadcast; beyond, pages are shuffled by host.
-BROADCAST_HOSTS = 50_000
+#: Bytes of the host table up to which it is broadcast; beyond, pages are shuffled by host.
+BROADCAST_BYTES = 32 << 20
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,20 +62,31 @@ CLOSES = {
 #: Implied ends do not reach beyond these.
 SCOPES = frozenset("html body article main section div table ul ol dl td th blockquote aside nav header footer form".split())
 
-_IN_HEADER = re.compile(r">header(?=[.>]|$)")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
 _CLOSE = {t: re.compile(f"</{t}(?=[\\s/>]|$)", re.I) for t in RAW}
 
 
 class Node:
-    """A block element. named: it and those around it whose class or id (or form tag) says that they are no content."""
+    """A block element. own: its class or id (or form tag) says that it is no content."""
 
-    __slots__ = ("article", "children", "named", "noise", "path", "tag")
+    __slots__ = ("article", "children", "depth", "head", "id", "name", "noise", "own", "parent", "tag")
 
-    def __init__(self, tag: str, path: str, noise: bool, article: bool, named: tuple[Node, ...] = (), own: bool = False):
-        self.tag, self.path, self.noise, self.article, self.children = tag, path, noise, article, []
-        self.named = (*named, self) if own else named
+    def __init__(self, parent: Node | None, tag: str, name: str, noise: bool = False, article: bool = False, own: bool = False):
+        self.parent, self.tag, self.name, self.noise, self.article, self.own, self.children = parent, tag, name, noise, article, own, []
+        self.id = child_id(parent.id, name) if parent else ROOT
+        self.depth = parent.depth + 1 if parent else 0
+        self.head = tag == "header" or bool(parent and parent.head)
+
+
+#: Id of the page itself.
+ROOT = 0
+
+
+def child_id(parent: int, name: str) -> int:
+    """Id of the nodes of this name below the nodes of an id: signed, 64 bits."""
+    x = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), parent & (1 << 64) - 1)
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _tag_end(page: str, at: int, none: set[str]) -> int:
@@ -100,10 +114,11 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """(node, text) blocks in page order, and all nodes.
 
     Any text is parsed: unknown and unclosed tags, stray signs and cut-off pages included. Character
-    references are decoded, white space inside a block is one space.
+    references are decoded, white space inside a block is one space. Nodes come before those in them.
     """
-    root = Node("", "", False, False)
+    root = Node(None, "", "")
     stack, nodes, blocks, words = [root], [root], [], []
+    still = Counter()  # open elements by tag
     at, n, none = 0, len(page), set()
 
     def flush() -> None:
@@ -148,13 +163,12 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             break  # a cut-off tag
         at = end + 1
         if closing:
-            if tag in INLINE:
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    flush()
-                    del stack[k:]
-                    break
+            if still[tag] > 0:
+                flush()
+                last = ""
+                while last != tag:
+                    last = stack.pop().tag
+                    still[last] -= 1
             continue
         if tag in RAW:
             if page[end - 1] != "/" or tag in ("script", "style", "title", "textarea"):
@@ -169,8 +183,9 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         flush()
         ends = CLOSES.get(tag, ())
         k = len(stack) - 1
-        while ends and k > 0:
+        while k > 0 and any(still[t] > 0 for t in ends):
             if stack[k].tag in ends:
+                still.subtract(x.tag for x in stack[k:])
                 del stack[k:]
             elif stack[k].tag in SCOPES:
                 break
@@ -191,9 +206,11 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         named = remark or tag == "form" or (tag not in FRAME and bool(names and NOISE_NAMES.search(names)))
         if tag == "header" and top.article and not top.noise:
             noise = named = False  # the article's own head: its headings count, see importance
-        node = Node(tag, f"{top.path}>{tag}" + (f".{re.sub(r'[0-9]+', '0', names.lower()).replace('>', '')}" if names else ""), noise, article, top.named, named)
+        name = f"{tag}.{re.sub(r'[0-9]+', '0', names.lower()).replace('>', '')}" if names else tag
+        node = Node(top, tag, name, noise, article, named)
         top.children.append(node)
         stack.append(node)
+        still[tag] += 1
         nodes.append(node)
     flush()
     return blocks, nodes
@@ -209,6 +226,7 @@ def _h(text: str) -> int:
 
 
 PRESENT, STYLE, CONTENT = range(3)
+FACT = ["host", "node", "parent", "depth", "kind", "feature"]
 
 
 def distinct_pages(pages: DataFrame) -> DataFrame:
@@ -219,59 +237,77 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
 
 
 def tree_facts(pages: DataFrame) -> DataFrame:
-    """host, path, kind, feature: once for each page and node of its tree; counted before the shuffle.
+    """host, node, parent, depth, kind, feature: once for each page and node of its tree; counted before the shuffle.
 
-    PRESENT: the page has the node. STYLE: its children's tags in order, runs as one. CONTENT: a text.
+    PRESENT: the page has the node. STYLE: its children's names in order, runs as one. CONTENT: a text.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[tuple, int] = {}
             for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 blocks, nodes = parse(page or "")
-                seen = {(n.path, PRESENT, 0) for n in nodes}
+                at = {x.id: (x.id, x.parent.id if x.parent else None, x.depth) for x in nodes}
+                seen = {(n, PRESENT, 0) for n in at}
                 for x in nodes:
                     if x.children:
-                        names = [c.path.rpartition(">")[2] for c in x.children]
-                        seen.add((x.path, STYLE, _h(" ".join(a for a, b in zip(names, ["", *names], strict=False) if a != b))))
-                seen |= {(x.path, CONTENT, _h(text)) for x, text in blocks}
-                for s in seen:
-                    key = (host, *s)
+                        names = [c.name for c in x.children]
+                        seen.add((x.id, STYLE, _h(" ".join(a for a, b in zip(names, ["", *names], strict=False) if a != b))))
+                seen |= {(x.id, CONTENT, _h(text)) for x, text in blocks}
+                for node, kind, feature in seen:
+                    key = (host, *at[node], kind, feature)
                     out[key] = out.get(key, 0) + 1
             if out:
-                host, path, kind, feature = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(host), pa.array(path), pa.array(kind, pa.int32()), pa.array(feature, pa.int64()), pa.array(list(out.values()), pa.int64())], ["host", "path", "kind", "feature", "n"])
+                cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(list(out.values()), pa.int64())], [*FACT, "n"])
 
-    facts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(work, "host string, path string, kind int, feature long, n long")
-    return facts.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    facts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(work, "host string, node long, parent long, depth int, kind int, feature long, n long")
+    return facts.groupBy(*FACT).agg(F.sum("n").alias("n"))
+
+
+def _below(nodes: DataFrame) -> DataFrame:
+    """host, node, s, c, best: sum, number and greatest of the contents in each branch, the node's own among them.
+
+    Each round hands what a node has gathered to the node as far above as the round reaches, and doubles
+    that reach: as many rounds as the greatest depth has binary digits, each with one row for a node.
+    """
+    deep = nodes.agg(F.max("depth")).first()[0] or 0
+    now = nodes.select("host", "node", F.col("parent").alias("up"), F.coalesce("content", F.lit(0.0)).alias("s"),
+                       F.when(F.col("content").isNull(), 0).otherwise(1).cast("long").alias("c"), F.col("content").alias("best"))
+    for k in range(deep.bit_length()):
+        given = now.where("up IS NOT NULL AND c > 0").groupBy("host", F.col("up").alias("node")).agg(
+            F.sum("s").alias("s2"), F.sum("c").alias("c2"), F.max("best").alias("best2"))
+        above = now.select("host", F.col("node").alias("up"), F.col("up").alias("next"))
+        now = now.join(given, ["host", "node"], "left").join(above, ["host", "up"], "left").select(
+            "host", "node", F.col("next").alias("up"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"),
+            (F.col("c") + F.coalesce("c2", F.lit(0))).alias("c"), F.greatest("best", "best2").alias("best"))
+        now = staged(now, f"site-below-{k}")
+    return now
 
 
 def importance(facts: DataFrame) -> DataFrame:
-    """host, path, m, own (content or presentation importance), composite: one row for each node with text below.
+    """host, node, m, own (content or presentation importance), composite: one row for each node with text below.
 
     With m pages at a node: presentation importance is the entropy of its styles to the base m, content
     importance one less the mean over its texts of log_m of the pages with the text; a node of one page has
     1. The composite of a node with l children is (1 - DECAY^l) times its presentation importance plus
-    DECAY^l times the mean content importance below it.
+    DECAY^l times the mean content importance below it. The facts are read once.
     """
     kind = lambda k, x: F.sum(F.when(F.col("kind") == k, x))
     n = F.col("n")
-    nodes = facts.groupBy("host", "path").agg(
+    nodes = facts.groupBy("host", "node").agg(
+        F.max("parent").alias("parent"), F.max("depth").alias("depth"),
         kind(PRESENT, n).alias("m"), kind(STYLE, n * F.log(n)).alias("style"), kind(CONTENT, F.log(n)).alias("text"),
         F.sum(F.when(F.col("kind") == CONTENT, 1)).alias("texts"))
     alone = F.col("m") <= 1
     style = F.when(alone, F.lit(1.0)).otherwise(1 - F.coalesce(F.col("style") / F.col("m"), F.log("m")) / F.log("m"))
     content = F.when(F.col("texts").isNull(), F.lit(None)).when(alone, F.lit(1.0)).otherwise(1 - F.col("text") / F.col("texts") / F.log("m"))
-    nodes = nodes.select("host", "path", "m", style.alias("presentation"), content.alias("content"))
-    parts = F.split("path", ">")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), ">"))
-    below = nodes.where("content IS NOT NULL").select("host", "content", F.explode(above).alias("path"))
-    below = below.groupBy("host", "path").agg(F.avg("content").alias("mean"), F.max("content").alias("best"))
-    parent = F.regexp_replace("path", ">[^>]*$", "")
-    children = nodes.where("path <> ''").groupBy("host", parent.alias("path")).agg(F.count(F.lit(1)).alias("l"))
-    all_ = nodes.join(below, ["host", "path"]).join(children, ["host", "path"], "left")
+    nodes = staged(nodes.select("host", "node", "parent", "depth", "m", style.alias("presentation"), content.alias("content")), "site-nodes")
+    below = _below(nodes).where("c > 0").select("host", "node", (F.col("s") / F.col("c")).alias("mean"), "best")
+    children = nodes.where("parent IS NOT NULL").groupBy("host", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("l"))
+    all_ = nodes.join(below, ["host", "node"]).join(children, ["host", "node"], "left")
     weight = F.pow(F.lit(DECAY), F.coalesce("l", F.lit(0)))
     composite = (1 - weight) * F.col("presentation") + weight * F.col("mean")
-    return all_.select("host", "path", "m", F.coalesce("content", "presentation").alias("own"), composite.alias("composite"), "best")
+    return all_.select("host", "node", "m", F.coalesce("content", "presentation").alias("own"), composite.alias("composite"), "best")
 
 
 def cut_branches(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -281,63 +317,72 @@ def cut_branches(tree: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     whose name speaks against it. A node on fewer than SUPPORT pages is not judged.
     """
     under = lambda x: (F.col("composite") < x) & (F.col("best") < x)
-    low = tree.where((F.col("m") >= SUPPORT) & under(threshold / OUTSIDE))
+    low = tree.where((F.col("m") >= SUPPORT) & (F.col("node") != ROOT) & under(threshold / OUTSIDE))
     return low.groupBy(F.col("host").alias("__host")).agg(
-        F.collect_set(F.when(under(threshold), F.col("path"))).alias("__cut"), F.collect_set("path").alias("__weak"))
-
-
-def _under(path: str, branches: set[str]) -> str:
-    """The branch that path is in; empty when in none."""
-    while branches and path:
-        if path in branches:
-            return path
-        path = path.rpartition(">")[0]
-    return ""
+        F.collect_set(F.when(under(threshold), F.col("node"))).alias("__cut"), F.collect_set("node").alias("__weak"))
 
 
 def _head_matter(node: Node) -> bool:
     """In the article's own header, but no heading."""
-    return bool(_IN_HEADER.search(node.path)) and not re.fullmatch("h[1-6]|hgroup", node.tag)
+    return node.head and not re.fullmatch("h[1-6]|hgroup", node.tag)
 
 
-def _no_content(blocks: list[tuple[Node, str]], weak: set[str]) -> set[int]:
-    """The branches that are what their names say: ids of nodes.
+def _no_content(blocks: list[tuple[Node, str]], nodes: list[Node], weak: set[int]) -> set[Node]:
+    """The nodes in branches that are what their names say.
 
     A name is a weight. A branch with most of the page's text is content whatever its name, unless an
     article stands outside all such branches and none in it, or the tree finds it unimportant.
     """
-    size, total, holds, apart = {}, 0, set(), False
+    named = {}  # below a branch with such a name
+    for x in nodes:
+        named[x] = x.own or (x.parent is not None and named[x.parent])
+    size, story, total, apart = Counter(), set(), 0, False
     for node, text in blocks:
-        if node.noise:
-            continue
-        total += len(text)
-        apart |= node.article and not node.named
-        for x in node.named:
-            size[x] = size.get(x, 0) + len(text)
-            if node.article and not x.article:
-                holds.add(x)
-    return {id(x) for x, n in size.items() if n < MOST * total or (apart and x not in holds) or x.path in weak}
-
-
-def main_text(page: str, cut: set[str], weak: set[str] = frozenset()) -> str:
+        if not node.noise:
+            total += len(text)
+            apart |= node.article and not named[node]
+            size[node] += len(text)
+            if node.article:
+                story.add(node)
+    for x in reversed(nodes[1:]):
+        size[x.parent] += size[x]
+        if x in story:
+            story.add(x.parent)
+    none = set()
+    for x in nodes:
+        holds = x in story and not x.article
+        if x.parent in none or (x.own and (size[x] < MOST * total or (apart and not holds) or x.id in weak)):
+            none.add(x)
+    return none
+
+
+def main_text(page: str, cut: set[int], weak: set[int] = frozenset()) -> str:
     """The blocks that stay, in page order, joined by one space.
 
     Blocks in cut branches go, but for an article's headings over text that stays. Elements whose tag says
     that they are no content go, and those whose class says so unless they hold most of the text. On a page
     with text in an article, blocks outside it go when they are in weak branches.
     """
-    blocks, _ = parse(page)
-    none = _no_content(blocks, weak)
-    blocks = [(x, t) for x, t in blocks if not (x.noise or _head_matter(x) or any(id(y) in none for y in x.named))]
+    blocks, nodes = parse(page)
+    none = _no_content(blocks, nodes, weak)
+    blocks = [(x, t) for x, t in blocks if not (x.noise or x in none or _head_matter(x))]
     marked = any(x.article for x, _ in blocks)
+    in_cut, in_weak = {nodes[0]: ROOT}, {nodes[0]: ROOT}  # the nearest branch to cut; ROOT: none
+    for x in nodes[1:]:
+        in_cut[x] = x.id if x.id in cut else in_cut[x.parent]
+        in_weak[x] = x.id if x.id in weak else in_weak[x.parent]
     out, heads = [], []
     for node, text in blocks:
-        path = _under(node.path, weak if marked and not node.article else cut)
-        if path and node.article and path == node.path and re.fullmatch("h[1-6]", node.tag):
-            heads.append((path.rpartition(">")[0], text))
-        elif not path:
-            # a heading with the same wording everywhere stays with what it heads
-            out += [t for above, t in heads if f"{node.path}>".startswith(f"{above}>")]
+        at = (in_weak if marked and not node.article else in_cut)[node]
+        if at != ROOT and node.article and at == node.id and re.fullmatch("h[1-6]", node.tag):
+            heads.append((node.parent, text))
+        elif at == ROOT:
+            if heads:  # a heading with the same wording everywhere stays with what it heads
+                y, least, around = node, min(h.depth for h, _ in heads), set()
+                while y is not None and y.depth >= least:
+                    around.add(y.id)
+                    y = y.parent
+                out += [t for above, t in heads if above.id in around]
             out.append(text)
             heads = []
         else:
@@ -348,13 +393,16 @@ def main_text(page: str, cut: set[str], weak: set[str] = frozenset()) -> str:
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each page: page_id, url, text, n_chars.
 
-    Null html is empty and gives an empty text; pages without a host form one tree. Whole pages are read,
-    nothing is capped. Equal pages give equal texts and count once in the tree. Pages are read twice; distinct
-    ones are shuffled once for the tree, all of them once more when the table of hosts is large.
+    Null html is empty and gives an empty text; pages without a host form one tree. Whole pages of any depth
+    are read, nothing is capped. Equal pages give equal texts and count once in the tree. Each page is parsed
+    twice, for the tree and for its text; distinct ones are shuffled once for the tree, all of them once more
+    when the table of hosts is large.
     """
     pages = spread(pages.select("page_id", "url", "html"))
-    cuts = staged(cut_branches(importance(tree_facts(distinct_pages(pages))), threshold), "site-branches")
-    if cuts.count() <= BROADCAST_HOSTS:
+    facts = staged(tree_facts(distinct_pages(pages)), "site-facts")
+    cuts = staged(cut_branches(importance(facts), threshold), "site-branches")
+    size = cuts.agg(F.sum(64 + F.octet_length("__host") + 8 * (F.size("__cut") + F.size("__weak")))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         cuts = F.broadcast(cuts)
     rows = pages.withColumn("__h", host_of(F.col("url"))).join(cuts, F.col("__h") == F.col("__host"), "left").select("page_id", "url", "html", "__cut", "__weak")
 

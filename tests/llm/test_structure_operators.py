@@ -182,16 +182,87 @@ def test_main_text_of_one_page():
     assert site_tree.main_text("<div>" * 3000 + "x" + "<" * 3000, set()).startswith("x")
 
 
+def node_id(path):
+    out = site_tree.ROOT
+    for name in path.split(">")[1:]:
+        out = site_tree.child_id(out, name)
+    return out
+
+
+def plain_tree(pages):
+    """(host, path): (m, own, composite, best) by the formulas, from whole paths; pages: (host, html)."""
+    m, styles, texts, kids = Counter(), {}, {}, {}
+    for host, html in set(pages):
+        blocks, nodes = site_tree.parse(html)
+        path = {nodes[0]: ""}
+        for x in nodes[1:]:
+            path[x] = f"{path[x.parent]}>{x.name}"
+            kids.setdefault((host, path[x.parent]), set()).add(path[x])
+        seen_styles, seen_texts = set(), set()
+        for x in nodes:
+            names = [c.name for c in x.children]
+            if names:
+                seen_styles.add((path[x], tuple(n for i, n in enumerate(names) if not i or names[i - 1] != n)))
+        for x, t in blocks:
+            seen_texts.add((path[x], t))
+        for p in set(path.values()):
+            m[host, p] += 1
+        for p, a in seen_styles:
+            styles.setdefault((host, p), Counter())[a] += 1
+        for p, t in seen_texts:
+            texts.setdefault((host, p), Counter())[t] += 1
+    content = {k: 1.0 if m[k] == 1 else 1 - sum(np.log(c) / np.log(m[k]) for c in t.values()) / len(t) for k, t in texts.items()}
+    out = {}
+    for host, p in m:
+        below = [c for (h, q), c in content.items() if h == host and f"{q}>".startswith(f"{p}>")]
+        if below:
+            k = (host, p)
+            look = 1.0 if m[k] == 1 else 1 - (sum(c * np.log(c) for c in styles[k].values()) / m[k] / np.log(m[k]) if k in styles else 1)
+            w = site_tree.DECAY ** len(kids.get(k, ()))
+            out[host, node_id(p)] = (m[k], content.get(k, look), (1 - w) * look + w * sum(below) / len(below), max(below))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_importance_against_plain_python(spark, seed):
+    rnd = random.Random(seed)
+
+    def branch(depth):
+        tag = rnd.choice(["div", "section", "div class=a", "div id=b", "article", "x-y"])
+        inner = "".join(branch(depth - 1) for _ in range(rnd.randrange(3))) if depth else ""
+        return f"<{tag}>{rnd.choice(['', 'one', 'two', f'word {rnd.randrange(9)}'])}{inner}</{tag.split()[0]}>"
+
+    pages = [(rnd.choice(["a.example", "b.example"]), "".join(branch(rnd.choice([1, 4, 9])) for _ in range(rnd.randrange(4)))) for _ in range(80)]
+    pages += [("deep.example", "<div>" * n + f"end {n}") for n in (1, 2, 30, 33, 64, 200)] + pages[:5]
+    df = spark.createDataFrame([(i, f"https://{h}/{i}", html) for i, (h, html) in enumerate(pages)], "page_id long, url string, html string")
+    got = {(r.host, r.node): r for r in site_tree.importance(site_tree.tree_facts(site_tree.distinct_pages(df))).collect()}
+    want = plain_tree(pages)
+    assert got.keys() == want.keys() and len(want) > 200
+    for k, w in want.items():
+        assert (got[k].m, got[k].own, got[k].composite, got[k].best) == pytest.approx(w, abs=1e-9), k
+
+
+def test_deep_and_long_pages(spark):
+    """100,000 elements in one another, in linear time and memory; a text of a million characters."""
+    deep = "".join(f"<div class=ad{i % 3}>" if i % 2 else "<div>" for i in range(100_000)) + "core"
+    long = "<p>" + "many words " * 100_000 + "</p>"
+    rows = [(i, f"http://deep.example/{i}", html) for i, html in enumerate([deep, "<div>" * 20_000 + "a" + "</div>" * 20_000 + "b", long, "<x>" * 20_000 + "y" + "</z>" * 20_000])]
+    blocks, nodes = site_tree.parse(deep)
+    assert len(nodes) == 100_001 and blocks[0][0].depth == 100_000
+    got = {r.page_id: r.text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {0: "core", 1: "a b", 2: ("many words " * 100_000).strip(), 3: "y"}
+
+
 def test_importance(spark):
     pages = [(i, f"http://Site.example/p{i}", f"<body><div class=top>Welcome to the site</div><div class=body><p>Story {i} is unlike any other {i * 7}</p></div>"
               f"<div class=low>Box {i % 2}</div></body>") for i in range(40)]
     pages += [(100, None, None), (101, "not a url", "<p>alone</p>"), (102, "http://other.example/", "<div class=top>Welcome to the site</div>"), (0, pages[0][1], pages[0][2])]
     df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, host string")
-    tree = {(r.host, r.path): r for r in site_tree.importance(site_tree.tree_facts(df)).collect()}
-    assert tree["site.example", ">body>div.top"].own == pytest.approx(0.0)
-    assert tree["site.example", ">body>div.body>p"].own > 0.95
+    tree = {(r.host, r.node): r for r in site_tree.importance(site_tree.tree_facts(df)).collect()}
+    assert tree["site.example", node_id(">body>div.top")].own == pytest.approx(0.0)
+    assert tree["site.example", node_id(">body>div.body>p")].own > 0.95
     m, box = 41, [21, 20]
-    assert tree["site.example", ">body>div.low"].own == pytest.approx(1 - sum(np.log(b) / np.log(m) for b in box) / 2)
+    assert tree["site.example", node_id(">body>div.low")].own == pytest.approx(1 - sum(np.log(b) / np.log(m) for b in box) / 2)
     got = Counter((r.page_id, r.text, r.n_chars) for r in site_tree.extract(df).collect())
     want = Counter((i, t, len(t)) for i, t in [
         *[(i, f"Story {i} is unlike any other {i * 7}") for i in range(40)], (100, ""), (101, "alone"), (102, "Welcome to the site"), (0, "Story 0 is unlike any other 0")])
