@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from consigna.functions.text import text_or_empty, trim
-from consigna.operators.validate import error_list, validate_records
+from consigna.operators.validate import validate_records
 from consigna.session import shared_folder
 from consigna.sources.store import QUANTITY, append, new_attempt, write_orders
 
@@ -87,15 +87,15 @@ def import_job(
     `faults` are errors found before, as (batch, position, message); a batch that has one is refused
     too, also when it has no records. Orders and items of accepted records, rejected records, the errors
     of refused batches and the summary are written to the store; the summary last, which publishes them.
-    The records are checked and written once; all tables are made from that copy.
+    The records are checked once and written with what was found; all tables are made from that copy.
     """
     spark = records.sparkSession
     staged, attempt = shared_folder(spark, "checked-records"), new_attempt()
     validated = validate_records(records)
-    accept_reject(validated.withColumn("errors", F.size("errors"))).write.parquet(staged)
+    accept_reject(validated.withColumns({"_messages": F.when(F.size("errors") > 0, F.col("errors")), "errors": F.size("errors")})).write.parquet(staged)
     checked = spark.read.parquet(staged)
     place = F.concat_ws("/", *[text_or_empty(F.col(k).cast("string")) for k in keys])
-    found = error_list(checked.drop("errors", "rejected").withColumn("position", place), [batch, "position"])
+    found = checked.filter(F.col("errors") > 0).select(batch, place.alias("position"), F.explode("_messages").alias("field", "message"))
     summary = batch_summary(checked, batch)
     if faults is not None:
         before = faults.select(F.col(batch), F.col("position").cast("string").alias("position"), F.lit(None).cast("string").alias("field"), "message")
@@ -112,7 +112,7 @@ def import_job(
     summary.write.parquet(folder)
     summary = spark.read.schema(summary.schema).parquet(folder)
     clean = summary.filter("status <> 'refused'").select(batch)
-    ready = checked.join(clean, batch, "left_semi").drop("errors")
+    ready = checked.join(clean, batch, "left_semi").drop("errors", "_messages")
     fields = F.to_json(F.struct(*[F.col(c) for c in records.columns]))
     rejects = ready.filter(F.col("rejected").isNotNull()).select(F.col(batch).alias("batch_id"), place.alias("position"), F.col("rejected").alias("reason"), fields.alias("record"))
     append(rejects, path, "rejected_records", attempt)
