@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from consigna.catalog.registry import ITEMS, ORDERS, Tables, order_code, query, sql_code, with_
 from consigna.catalog.store import ISO, ITEM_LIST, ITEM_SQL, ORDER_SQL, PAIRS, SHIFT, _item_text, _monthly, _pairs, _plain_items
 from consigna.session import shared_folder
-from consigna.sources import index, store
+from consigna.sources import index, store, totals
 from consigna.streaming.repeats import repeated_orders, watch_repeats
 
 MONTHLY = ORDERS.replace("o_orderdate AS created_at", "date_trunc('month', o_orderdate) AS created_at")
@@ -74,6 +74,31 @@ def stored_page(t: Tables) -> DataFrame:
     return _plain_items(index.stored_search(t.spark, path, page=100, page_size=50))
 
 
+RANGES = {"all": (None, None), "since": ("1995-06-01", None), "until": (None, "1996-06-01 00:00:01"), "both": ("1995-05-31 23:30:00", "1997-01-01 00:30:00"), "none": ("1997-01-01", "1996-01-01")}
+
+
+def _range_sql(name: str, since: str | None, until: str | None) -> str:
+    conds = [f"created_at >= TIMESTAMP '{since}'" if since else "", f"created_at < TIMESTAMP '{until}'" if until else ""]
+    return f"SELECT '{name}' AS asked, count(*) AS total FROM store_orders WHERE " + (" AND ".join(c for c in conds if c) or "true")
+
+
+@query("stored_orders_count", with_(MONTHLY) + "\nUNION ALL ".join(_range_sql(n, *r) for n, r in RANGES.items()))
+def stored_orders_count(t: Tables) -> DataFrame:
+    """Orders of time ranges, from the counts that loads keep; the last load is counted by a scan."""
+    path, out = _indexed(t), None
+    for name, (since, until) in RANGES.items():
+        one = totals.stored_orders_count(t.spark, path, since, until).select(F.lit(name).alias("asked"), "total")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("stored_field_coverage", with_(MONTHLY, ITEMS) + "\nUNION ALL ".join(
+    f"SELECT '{f}' AS field, count(*) FILTER (coalesce(CAST({f} AS VARCHAR), '') <> '') AS filled, count(*) AS total FROM {name}"
+    for name, fields in (("store_orders", index.ORDER_FIELDS), ("store_items", index.ITEM_FIELDS)) for f in fields))
+def stored_field_coverage(t: Tables) -> DataFrame:
+    return totals.stored_field_coverage(t.spark, _indexed(t)).select("field", "filled", "total")
+
+
 @query("import_stream_repeats", """WITH texts AS (SELECT doc_id, doc_id % 3 AS epoch, concat('c', CAST(length(text) % 1000 AS VARCHAR)) AS code FROM documents),
 ranked AS (SELECT doc_id, code, row_number() OVER (PARTITION BY code ORDER BY epoch, sha256(concat('E', CAST(epoch AS VARCHAR), '/', CAST(doc_id AS VARCHAR)))) AS p FROM texts)
 SELECT code, count(*) AS orders, CAST(count(*) FILTER (p > 1) AS BIGINT) AS repeats FROM ranked GROUP BY code""")

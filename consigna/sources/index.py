@@ -2,7 +2,8 @@
 
 order_codes names the order and the day of each code; order_grams the orders that have three characters in
 a row in a searched field; order_hours how many orders and joined rows each hour has. All three let a
-question about few orders read few days of the large tables.
+question about few orders read few days of the large tables. order_hours and order_fields (filled values of
+each field) are partial counts of a load; questions about all orders add them up, see sources/totals.py.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from consigna.functions.text import text_or_empty, trim
+from consigna.functions.text import is_empty, text_or_empty, trim
 from consigna.operators import query
 from consigna.operators.duplicates import dup_vs_store
 from consigna.session import staged
@@ -70,6 +71,23 @@ def hour_rows(orders: DataFrame, items: DataFrame) -> DataFrame:
     return both.select("batch_id", "hour", "orders", (F.col("orders") - F.col("with_items") + F.col("items")).alias("rows"))
 
 
+#: Fields of the two tables whose filled values are counted, the quantity by its text where there is one.
+ORDER_FIELDS = ["external_code", "store_name", "receiver_name", "receiver_phone", "receiver_address", "remark"]
+ITEM_FIELDS = ["sku_code", "sku_name", "sku_quantity", "sku_spec"]
+
+
+def field_rows(orders: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of order_fields: of each batch and field, how many rows there are and how many have a value."""
+    def counted(df: DataFrame, fields: list[str]) -> DataFrame:
+        value = {f: F.col(f).cast("string") for f in fields}
+        if "sku_quantity" in value:
+            value["sku_quantity"] = F.coalesce("sku_quantity_text", value["sku_quantity"])
+        counts = df.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total"), *[F.count_if(~is_empty(v)).alias(f) for f, v in value.items()])
+        return counts.unpivot(["batch_id", "total"], fields, "field", "filled").select("batch_id", "field", "filled", "total")
+
+    return counted(orders, ORDER_FIELDS).unionByName(counted(items, ITEM_FIELDS))
+
+
 def only_days(table: DataFrame, days: list) -> DataFrame:
     """The rows of some days; other partitions are not read."""
     return table if len(days) > MAX_DAYS else table.where(F.col("created_day").isin(days))
@@ -165,7 +183,8 @@ def index_store(spark: SparkSession, path: str) -> int:
     run = new_attempt()
     orders = read_table(spark, path, "orders").join(new, ["batch_id", "attempt"], "left_semi")
     items = read_table(spark, path, "order_items").join(new, ["batch_id", "attempt"], "left_semi")
-    tables = {"order_codes": code_rows(orders), "order_grams": gram_rows(orders), "order_hours": hour_rows(orders, items), "index_runs": new}
+    tables = {"order_codes": code_rows(orders), "order_grams": gram_rows(orders), "order_hours": hour_rows(orders, items),
+              "order_fields": field_rows(orders, items), "index_runs": new}
     for name, rows in tables.items():
         rows = rows.join(new, "batch_id") if "attempt" not in rows.columns else rows
         rows = rows.withColumn("run", F.lit(run)).select(*[f.split()[0] for f in SCHEMAS[name].split(", ")])

@@ -36,6 +36,7 @@ SCHEMAS = {
     "order_codes": "code STRING, order_id STRING, batch_id STRING, created_at TIMESTAMP, attempt STRING, run STRING, bucket INT",
     "order_grams": "order_id STRING, batch_id STRING, day DATE, field STRING, gram STRING, attempt STRING, run STRING, bucket INT",
     "order_hours": "batch_id STRING, hour TIMESTAMP, orders BIGINT, rows BIGINT, attempt STRING, run STRING",
+    "order_fields": "batch_id STRING, field STRING, filled BIGINT, total BIGINT, attempt STRING, run STRING",
     "index_runs": "batch_id STRING, attempt STRING, run STRING",
     "order_repeats": "code STRING, id STRING, seen_at TIMESTAMP, attempt STRING, repeated BOOLEAN, epoch INT",
 }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from consigna.operators import load, query
 from consigna.session import shared_folder
-from consigna.sources import index, store
+from consigna.sources import index, store, totals
 from consigna.streaming.repeats import repeated_orders, watch_repeats
 
 T0 = datetime.datetime(2024, 3, 1)
@@ -126,6 +126,54 @@ def test_broken_index_run_is_not_read(spark, rows, monkeypatch):
     assert index._indexed(spark, path, "order_codes").count() == 50
 
 
+# Totals that loads keep
+
+def coverage(df):
+    return {(r.field, r.filled, r.total) for r in df.collect()}
+
+
+def test_totals_equal_full_counts(spark, rows):
+    """After each load, a rerun with other rows, a refusal and a load without an index, over random ranges."""
+    path, rnd = shared_folder(spark, "total-store"), random.Random(9)
+    assert totals.stored_orders_count(spark, path).collect()[0].total == 0 and totals.stored_field_coverage(spark, path).count() == 0
+    untimed = [("null", "N", None, None)]
+
+    def refuse():
+        orders, items = tables(spark, [], "b1")
+        summary = spark.createDataFrame([("b1", 3, 0, 3, 1, "refused", T0)], "batch_id string, total_count long, success_count long, fail_count long, error_count long, status string, created_at timestamp")
+        store.write_orders(orders, items, path, summary)
+
+    steps = [
+        lambda: store.write_orders(*tables(spark, rows[:200] + untimed, "b0"), path), lambda: index.index_store(spark, path),
+        lambda: store.write_orders(*tables(spark, rows[200:400], "b1"), path), lambda: index.index_store(spark, path),
+        lambda: store.write_orders(*tables(spark, rows[50:90], "b0"), path), refuse, lambda: index.index_store(spark, path)]
+    for step in steps:
+        step()
+        orders, items = store.orders_scan(spark, path), store.items_scan(spark, path)
+        assert coverage(totals.stored_field_coverage(spark, path)) == coverage(index.field_rows(orders, items).groupBy("field").agg(F.sum("filled").alias("filled"), F.sum("total").alias("total")))
+        times = [r.created_at for r in orders.select("created_at").collect()]
+        assert totals.stored_orders_count(spark, path).collect()[0].total == len(times)
+        for _ in range(2):
+            a, b = (T0 + datetime.timedelta(minutes=rnd.choice([30, 60]) * rnd.randrange(600)) for _ in range(2))
+            for since, until in ((a, b), (a, None), (None, b), (a, a + datetime.timedelta(minutes=10))):
+                got = totals.stored_orders_count(spark, path, since and str(since), until and str(until)).collect()[0].total
+                assert got == sum(t is not None and (since is None or t >= since) and (until is None or t < until) for t in times), (since, until)
+    assert len(times) == 240
+
+
+def test_totals_read_few_days(spark, path):
+    plan = totals.stored_orders_count(spark, path, "2024-03-02 10:30:00", "2024-03-09 11:15:00")._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*created_day#[0-9]+ IN \(", plan)
+
+
+def test_loads_without_kept_fields_are_scanned(spark, rows):
+    path = shared_folder(spark, "old-store")
+    store.write_orders(*tables(spark, rows[:60]), path)
+    runs = spark.createDataFrame([("b", r.attempt, "old") for r in store.published(spark, path).collect()], store.SCHEMAS["index_runs"])
+    runs.write.parquet(f"{path}/index_runs")
+    assert ("external_code", 60, 60) in coverage(totals.stored_field_coverage(spark, path))
+
+
 # Refused loads
 
 def test_refused_rerun_hides_nothing(spark):
