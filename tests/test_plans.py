@@ -38,6 +38,21 @@ def test_pruning(spark):
     assert "html" not in plan.split("ReadSchema")[-1]
 
 
+def test_merging_scans_no_values(spark):
+    """Windows of merge_groups hold states; what values become leaves a block after them only."""
+    node = entry.queries()["merge_groups"](spark, FOLDER)._jdf.queryExecution().optimizedPlan()
+    windows, todo = [], [node]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Window":
+            windows.append(node)
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert windows
+    for w in windows:
+        names = {w.output().apply(i).name() for i in range(w.output().size())}
+        assert not names & {"_x", "_rows", "_two", "_first", "_blocks"}, names
+
+
 @pytest.mark.parametrize("name, most", [("parse_table", 4), ("parse_multi_sheet", 2), ("parse_matrix", 2), ("parse_summary", 6)])
 def test_rows_are_read_few_times(spark, name, most):
     """A sheet is read for its profile and for its rows; choosing the sheet and its errors read it again."""

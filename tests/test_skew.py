@@ -76,6 +76,20 @@ def test_merge_too_long(spark):
     assert [(r.a, r.too_long) for r in got if r.k == "k"] == [(None, True)]
 
 
+def test_merge_long_values_and_null_scope(spark):
+    """Values that differ behind the characters of their name, echoes of long texts, and groups of no file."""
+    long = "v" * 100
+    values = [long, long, long + "x", f"{long},{long}x", long, "", f"{long},{long}x,{long}"]
+    rows = [(f, i, "k", v) for f in (None, "f") for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "f string, pos int, k string, a string")
+    for block in (1, 3, 10):
+        got = merge_groups(df, "k", [], ["k", "a"], ["pos"], [F.floor(F.col("pos") / block)], ["f"]).collect()
+        assert sorted((r.f or "", r.a) for r in got) == [("", fold(values)), ("f", fold(values))]
+    assert merge_groups(df.limit(0), "k", [], ["k", "a"], ["pos"], [F.col("pos")]).collect() == []
+    only = merge_groups(df, "k", ["a"], ["k", "a"], ["pos"], [F.floor(F.col("pos") / 3)], ["f"]).collect()  # nothing to fold
+    assert sorted((r.f or "", r.a) for r in only) == [("", long), ("f", long)]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["", "h", "g"]), st.sampled_from(["", "x", "y"]), st.sampled_from(["", "q", "q,x"])), min_size=1, max_size=20))
 def test_merge_property(spark, data):
