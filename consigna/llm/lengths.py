@@ -64,6 +64,10 @@ def token_lengths(docs: DataFrame, by: list[str], ranks: bytes) -> DataFrame:
     return out.select(*[F.col(o).alias(b) for b, o in zip(by, own, strict=True)], "length")
 
 
+#: Different limits that answer_limits takes.
+LIMITS = 10_000
+
+
 def length_histogram(lengths: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row for each length that occurs, within each group of by.
 
@@ -98,20 +102,37 @@ def length_histogram(lengths: DataFrame, by: list[str] | None = None) -> DataFra
 
 
 def answer_limits(histogram: DataFrame, limits: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rows of limits (column limit, at most a few thousand) with the answers for each group.
+    """Rows of limits (column limit) with the answers for each group, from the suffix sums of length_histogram.
 
-    docs_longer, tokens_longer (documents longer than the limit) and truncated_total. A limit that no
-    document has is answered from the lengths around it; a null or negative one counts as 0. Limits
-    are a stated query set: each histogram row adds to the answer of every limit.
+    docs_longer, tokens_longer (documents longer than the limit) and truncated_total: the sums at the next
+    length that occurs. A null or negative limit counts as 0, equal limits as one; an empty histogram
+    has no answer. More than LIMITS different limits are refused, as they go to each group as a list.
+    Lengths and limits are ordered inside blocks of lengths, and a row per block names the next one's first.
     """
     by = by or []
     limit = F.greatest(F.coalesce(F.col("limit"), F.lit(0)), F.lit(0)).cast("long")
-    asked = F.broadcast(limits.select(limit.alias("limit")).distinct())
-    over = F.col("length") > F.col("limit")
-    return histogram.select(*by, "length", "n_docs").join(asked, F.lit(True)).groupBy(*by, "limit").agg(
-        F.sum(F.when(over, F.col("n_docs")).otherwise(0)).alias("docs_longer"),
-        F.sum(F.when(over, F.col("n_docs") * F.col("length")).otherwise(0)).alias("tokens_longer"),
-        F.sum(F.col("n_docs") * F.least("length", "limit")).alias("truncated_total"))
+    asked = sorted(r["limit"] for r in limits.select(limit.alias("limit")).distinct().limit(LIMITS + 1).collect())
+    if len(asked) > LIMITS:
+        raise ValueError(f"more than {LIMITS} limits")
+    sums = F.struct("length", "docs_at_least", "tokens_at_least")
+    known = histogram.select(*by, F.col("length").alias("at"), sums.alias("x"))
+    groups = histogram.groupBy(*by).agg(F.max("tokens_at_least").alias("all_tokens")).where(F.col("all_tokens").isNotNull())
+    each = F.explode(F.lit(asked).cast("array<bigint>") if asked else F.array().cast("array<bigint>"))
+    rows = known.withColumn("all_tokens", F.lit(None).cast("long")).unionByName(groups.select(*by, each.alias("at"), "all_tokens"), allowMissingColumns=True)
+    rows = rows.withColumn("block", F.floor(F.col("at") / BLOCK))
+    after = Window.partitionBy(*by).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    heads = rows.groupBy(*by, "block").agg(F.min("x").alias("x")).select(
+        *[F.col(b).alias(f"b_{i}") for i, b in enumerate(by)], F.col("block").alias("b_block"), F.last("x", ignorenulls=True).over(after).alias("later"))
+    # Downwards; at one length the limits come first, so what is before a limit is longer.
+    longer = Window.partitionBy(*by, "block").orderBy(F.desc("at"), F.col("x").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    same: Column = F.col("block") == F.col("b_block")
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"b_{i}"))
+    found = rows.withColumn("next", F.last("x", ignorenulls=True).over(longer)).where("x IS NULL").join(heads, same)
+    found = found.withColumn("next", F.coalesce("next", "later"))
+    docs, tokens = (F.coalesce(F.col(f"next.{c}_at_least"), F.lit(0)).cast("long") for c in ("docs", "tokens"))
+    return found.select(
+        *by, F.col("at").alias("limit"), docs.alias("docs_longer"), tokens.alias("tokens_longer"), (F.col("all_tokens") - tokens + F.col("at") * docs).alias("truncated_total"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float], by: list[str] | None = None) -> DataFrame:

@@ -208,6 +208,23 @@ def test_blocks_of_lengths(spark):
     assert {r.length: (r.docs_at_least, r.truncated_total) for r in got} == {k: (sum(x >= k for x in n), sum(min(x, k) for x in n)) for k in n}
 
 
+def test_limits_between_blocks(spark):
+    """Limits in every place around the lengths, in groups and without, against plain sums."""
+    n = [("a", k) for k in (0, 1, 5, 5, 8191, 8192, 8193, 40_000, 40_000)] + [(None, k) for k in (3, 90_000)]
+    asked = [0, 1, 4, 5, 6, 8190, 8191, 8192, 8193, 8194, 30_000, 40_000, 40_001, 89_999, 90_000, 10**9]
+    limits = spark.createDataFrame([(k,) for k in asked], "limit long")
+    lengths_ = spark.createDataFrame(n, "source string, length long")
+    for by in ([], ["source"]):
+        got = lengths.answer_limits(lengths.length_histogram(lengths_, by), limits, by).collect()
+        assert len(got) == len(asked) * (2 if by else 1)
+        for r in got:
+            own = [k for s, k in n if not by or s == r.source]
+            assert (r.docs_longer, r.tokens_longer, r.truncated_total) == (
+                sum(k > r.limit for k in own), sum(k for k in own if k > r.limit), sum(min(k, r.limit) for k in own))
+        assert lengths.answer_limits(lengths.length_histogram(lengths_.limit(0), by), limits, by).collect() == []
+        assert lengths.answer_limits(lengths.length_histogram(lengths_, by), limits.limit(0), by).collect() == []
+
+
 # --- mixing --------------------------------------------------------------------------------------
 
 def plain_targets(sizes, cap=3):
