@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from consigna.catalog.registry import ITEMS, ORDERS, Tables, order_code, query, sku_code, sql_code, sql_sku, with_
+from consigna.catalog.registry import ITEMS, LINE, ORDERS, Tables, order_code, query, sku_code, sql_code, sql_sku, with_
 from consigna.operators import query as Q
 from consigna.operators import rules_table
 from consigna.session import shared_folder
@@ -136,8 +136,10 @@ def _monthly(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Store tables whose batches are months."""
     month = F.trunc(F.col("created_at"), "month")
     orders = t.orders().withColumn("batch_id", F.date_format(month, "yyyy-MM")).withColumn("created_at", month.cast("timestamp"))
-    batches = orders.select(F.col("id").alias("order_id"), "batch_id", "created_at")
-    return orders, t.items().join(batches, "order_id")
+    # Lines meet their months and are laid by day as numbers; the texts of an item are made behind that.
+    months = t.read("orders").select("o_orderkey", F.trunc("o_orderdate", "month").cast("timestamp").alias("created_at"))
+    lines = S.by_day(t.spread(t.lines()).select(*LINE, "l_quantity", "l_returnflag").join(months, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
+    return orders, t.items(lines, F.date_format("created_at", "yyyy-MM").alias("batch_id"), F.col("created_at"), F.col("created_day"))
 
 
 MONTH = "strftime(o_orderdate, '%Y-%m')"
