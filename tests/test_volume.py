@@ -32,6 +32,6 @@ def moved(spark):
     return of
 
 
-@pytest.mark.parametrize("name, most", [("write_orders", 235)])
+@pytest.mark.parametrize("name, most", [("write_orders", 235), ("import_job", 90)])
 def test_moved_for_each_line(moved, name, most):
     assert moved(name) < most
