@@ -41,7 +41,7 @@ def stored_order_detail(t: Tables) -> DataFrame:
 FROM pairs LEFT JOIN (SELECT DISTINCT external_code, sku_code, true AS hit FROM store_orders o JOIN store_items i ON o.id = i.order_id)
   ON code = external_code AND sku = sku_code""")
 def stored_sku_in_order(t: Tables) -> DataFrame:
-    return index.stored_sku_in_order(t.spark, _indexed(t), _pairs(t)).select("code", "sku", "status")
+    return index.stored_sku_in_order(t.spark, _indexed(t), _pairs(t), details=False)
 
 
 @query("stored_marker_existence", f"""SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'invalid_external_code'

@@ -224,21 +224,23 @@ def order_detail(codes: DataFrame, orders: DataFrame, items: DataFrame, code: st
     return asked.join(details, asked["code"] == details["externalCode"], "left").withColumn("status", status)
 
 
-def sku_in_order(pairs: DataFrame, orders: DataFrame, items: DataFrame, code: str = "externalCode", sku: str = "skuCode") -> DataFrame:
-    """Whether each (code, sku) pair is in the store, with the first order and item that has it."""
+def sku_in_order(
+    pairs: DataFrame, orders: DataFrame, items: DataFrame, code: str = "externalCode", sku: str = "skuCode", details: bool = True,
+) -> DataFrame:
+    """Whether each (code, sku) pair is in the store, with the first order and item that has it.
+
+    Without details only the status is told: of orders and items no more than their keys is moved.
+    """
     asked = pairs.select(
         trim(text_or_empty(F.col(code))).alias("code"), trim(text_or_empty(F.col(sku))).alias("sku")
     ).distinct()
     codes = asked.select(F.col("code").alias("external_code")).distinct()
     known = orders.join(codes, "external_code", "left_semi")
     wanted = items.select(F.col("id").alias("item_id"), "order_id", *ITEM_COLUMNS.values())
-    wanted = wanted.join(asked.select(F.col("sku").alias("sku_code")).distinct(), "sku_code", "left_semi")  # other items answer nothing
     rows = known.join(wanted, known["id"] == F.col("order_id"))
-    info = ["id", "store_name", "receiver_name", "sku_name", "sku_quantity", "sku_spec"]
-    first = (
-        rows.groupBy(F.col("external_code").alias("code"), F.col("sku_code").alias("sku"))
-        .agg(F.min_by(F.struct(*info), F.struct("created_at", "id", "item_id")).alias("_hit"))
-    )
+    info = ["store_name", "receiver_name", "sku_name", "sku_quantity", "sku_spec"]
+    hits = rows.groupBy(F.col("external_code").alias("code"), F.col("sku_code").alias("sku"))
+    first = hits.agg((F.min(F.struct("created_at", "id", "item_id", *info)) if details else F.lit(True)).alias("_hit"))
     have = known.groupBy(F.col("external_code").alias("code")).agg(F.lit(True).alias("_known"))
     status = (
         F.when((F.col("code") == "") | (F.col("sku") == ""), "invalid_payload")
@@ -250,10 +252,10 @@ def sku_in_order(pairs: DataFrame, orders: DataFrame, items: DataFrame, code: st
         "skuName": "sku_name", "skuQuantity": "sku_quantity", "skuSpec": "sku_spec",
     }
     return (
-        asked.join(first, ["code", "sku"], "left").join(have, "code", "left")
+        asked.join(have, "code", "left").join(first, ["code", "sku"], "left")
         .withColumn("status", status)
         .select("code", "sku", "status", *[
-            F.when(F.col("status") == "valid", F.col("_hit")[c]).alias(n) for n, c in hit.items()
+            F.when(F.col("status") == "valid", F.col("_hit")[c]).alias(n) for n, c in hit.items() if details
         ])
     )
 

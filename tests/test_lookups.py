@@ -231,3 +231,11 @@ def test_forgotten_after_the_retention(spark):
         load_codes(spark, path, f"r{n}", codes, day)
         watch_repeats(spark, path, state, retention_days=5, late="1 hour", once=True).awaitTermination()
     assert {r.id for r in repeated_orders(spark, path).collect()} == {"r1-0", "r3-0", "r4-2"}
+
+
+def test_status_without_details(spark, rows):
+    orders, items = tables(spark, rows[:9])
+    pairs = spark.createDataFrame([(rows[i][1], s) for i in (1, 3, 4) for s in ("sku1", "none", "")], "externalCode string, skuCode string")
+    short = query.sku_in_order(pairs, orders, items, details=False)
+    assert short.columns == ["code", "sku", "status"]
+    assert plain(short) == plain(query.sku_in_order(pairs, orders, items).select("code", "sku", "status"))
