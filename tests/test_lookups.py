@@ -235,6 +235,7 @@ def test_forgotten_after_the_retention(spark):
 
 def test_status_without_details(spark, rows):
     orders, items = tables(spark, rows[:9])
+    items = items.withColumn("sku_quantity", F.lit(1))
     pairs = spark.createDataFrame([(rows[i][1], s) for i in (1, 3, 4) for s in ("sku1", "none", "")], "externalCode string, skuCode string")
     short = query.sku_in_order(pairs, orders, items, details=False)
     assert short.columns == ["code", "sku", "status"]
