@@ -15,13 +15,13 @@ MONTHLY = ORDERS.replace("o_orderdate AS created_at", "date_trunc('month', o_ord
 
 
 def _indexed(t: Tables) -> str:
-    """A store of monthly batches; all but the last load are indexed when it is asked."""
-    path = shared_folder(t.spark, "store")
+    """A store of monthly batches; all but the last, which are published last, are indexed when it is asked."""
+    path, attempt = shared_folder(t.spark, "store"), store.new_attempt()
     orders, items = _monthly(t)
     late = F.col("batch_id") >= "1998-01"
-    store.write_orders(orders.where(~late), items.where(~late), path)
+    store.write_orders(orders, items, path, store.counted(orders.where(~late)), attempt)
     index.index_store(t.spark, path)
-    store.write_orders(orders.where(late), items.where(late), path)
+    store.publish(store.counted(orders.where(late)), path, attempt)
     return path
 
 

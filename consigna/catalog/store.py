@@ -133,12 +133,16 @@ def marker_existence(t: Tables) -> DataFrame:
 
 
 def _monthly(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Store tables whose batches are months."""
-    month = F.trunc(F.col("created_at"), "month")
-    orders = t.orders().withColumn("batch_id", F.date_format(month, "yyyy-MM")).withColumn("created_at", month.cast("timestamp"))
-    # Lines meet their months and are laid by day as numbers; the texts of an item are made behind that.
-    months = t.read("orders").select("o_orderkey", F.trunc("o_orderdate", "month").cast("timestamp").alias("created_at"))
-    lines = S.by_day(t.spread(t.lines()).select(*LINE, "l_quantity", "l_returnflag").join(months, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
+    """Store tables whose batches are months.
+
+    Orders are laid by day as numbers; their texts are made behind that. Lines are moved once, to meet their months, and
+    written by the tasks that joined them: a month has a file of each, and months are few.
+    """
+    month = F.trunc("o_orderdate", "month").cast("timestamp")
+    heads = S.by_day(t.read("orders").select("o_orderkey", "o_custkey", "o_orderpriority", month.alias("o_orderdate")), "o_orderdate")
+    orders = t.orders(heads, F.col("created_day")).withColumn("batch_id", F.date_format("created_at", "yyyy-MM"))
+    months = t.read("orders").select("o_orderkey", month.alias("created_at"))
+    lines = S.with_day(t.spread(t.lines()).select(*LINE, "l_quantity", "l_returnflag").join(months, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
     return orders, t.items(lines, F.date_format("created_at", "yyyy-MM").alias("batch_id"), F.col("created_at"), F.col("created_day"))
 
 

@@ -240,3 +240,23 @@ def test_status_without_details(spark, rows):
     short = query.sku_in_order(pairs, orders, items, details=False)
     assert short.columns == ["code", "sku", "status"]
     assert plain(short) == plain(query.sku_in_order(pairs, orders, items).select("code", "sku", "status"))
+
+
+# What moves
+
+def test_batches_are_seen_once_published(spark, rows):
+    path, attempt = shared_folder(spark, "two-steps"), store.new_attempt()
+    (o1, i1), (o2, i2) = tables(spark, rows[:20], "b1"), tables(spark, rows[20:30], "b2")
+    store.write_orders(o1.unionByName(o2), i1.unionByName(i2), path, store.counted(o1), attempt)
+    assert index.index_store(spark, path) == 1 and index._indexed(spark, path, "order_codes").count() == 20
+    assert store.orders_scan(spark, path).count() == 20
+    store.publish(store.counted(o2), path, attempt)
+    assert store.orders_scan(spark, path).count() == 30 and index._unindexed(spark, path).count() == 1
+
+
+def test_monthly_items_are_not_laid_by_day(spark):
+    from consigna.catalog.registry import Tables
+    from consigna.catalog.store import _monthly
+    orders, items = (x._jdf.queryExecution().optimizedPlan().toString() for x in _monthly(Tables(spark, "/root/testdata/sf0.001")))
+    assert "RebalancePartitions" not in items and "RebalancePartitions" in orders
+    assert "concat" not in orders.split("RebalancePartitions")[1]  # texts are made behind the shuffle
