@@ -214,14 +214,18 @@ def order_detail(codes: DataFrame, orders: DataFrame, items: DataFrame, code: st
     asked = codes.select(trim(F.col(code)).alias("code")).distinct()
     wanted = orders.join(asked.select(F.col("code").alias("external_code")), "external_code", "left_semi")
     chosen = first_order_of_code(wanted)
-    day = _day_key(chosen, items)
-    own = items.join(chosen.select(F.col("id").alias("order_id"), *day), ["order_id", *day], "left_semi")
-    details = _with_items(chosen, own)
+    # Items are joined by order alone, so that the joins and the lists read one exchange of them.
+    own = items.join(chosen.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    found = _with_items(chosen, own)
+    found = found.select(F.col("externalCode").alias("code"), *found.columns)
+    # Codes without an order are told before items come in, so that found orders are not moved back to their codes.
+    without = asked.join(wanted.select(F.col("external_code").alias("code")), "code", "left_anti")
+    without = without.select("code", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields[1:]])
     status = (
         F.when(text_or_empty(F.col("code")) == "", "invalid_external_code")
         .when(F.col("orderId").isNull(), "order_not_found").otherwise("found")
     )
-    return asked.join(details, asked["code"] == details["externalCode"], "left").withColumn("status", status)
+    return found.unionByName(without).withColumn("status", status)
 
 
 def sku_in_order(

@@ -254,6 +254,15 @@ def test_batches_are_seen_once_published(spark, rows):
     assert store.orders_scan(spark, path).count() == 30 and index._unindexed(spark, path).count() == 1
 
 
+def test_items_of_order_detail_move_once(spark, rows):
+    orders, items = (store.with_day(x) for x in tables(spark, rows[:9]))
+    items = items.withColumn("sku_quantity", F.lit(1))
+    codes = spark.createDataFrame([(rows[1][1],)], "code string")
+    found = query.order_detail(codes, orders.hint("merge"), items.hint("merge"))
+    moved = re.findall(r"Exchange hashpartitioning\(order_id[^)]*\)", found._jdf.queryExecution().executedPlan().toString())
+    assert len(moved) == 2 and not any("created_day" in m for m in moved), moved  # the items, and the ids of the orders
+
+
 def test_monthly_items_are_not_laid_by_day(spark):
     from consigna.catalog.registry import Tables
     from consigna.catalog.store import _monthly
