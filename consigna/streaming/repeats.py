@@ -14,6 +14,8 @@ from consigna.functions.text import text_or_empty, trim
 from consigna.session import ship
 from consigna.sources.store import SCHEMAS, orders_scan, read_table
 
+#: Groups that all rows which have their answer are dealt to; they only pass through, batch by batch.
+SPOTS = 64
 FLAGGED = "code STRING, id STRING, seen_at TIMESTAMP, attempt STRING, repeated BOOLEAN"
 
 
@@ -27,8 +29,11 @@ def _thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = rows.sort_values(["seen_at", "id"], kind="stable")
         first = rows.groupby("code", sort=False)["id"].transform("first")
         rows["sure"] = (rows["id"] != first) & (rows["code"] != "")
-        # A spot of its own for each row that has its answer; one for each code that has to ask.
-        rows["spot"] = rows["id"].where(rows["sure"] | (rows["code"] == ""), "")
+        # One of a few spots for rows that have their answer, by their id, whatever their code; one group for each code that has to ask.
+        known = rows["sure"] | (rows["code"] == "")
+        spots = (pd.util.hash_array(rows["id"].to_numpy(dtype=object)) % SPOTS).astype(str)
+        rows["spot"] = pd.Series(spots, index=rows.index).where(known, "")
+        rows["asks"] = rows["code"].mask(known, "")
         yield rows
 
 
@@ -38,10 +43,11 @@ def _ask(retention_ms: int):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["seen_at", "id"], kind="stable")
         if spot:
-            yield pd.DataFrame({"code": code, "id": rows["id"], "seen_at": rows["seen_at"], "attempt": rows["attempt"], "repeated": rows["sure"]})
+            for rows in batches:
+                yield rows[["code", "id", "seen_at", "attempt"]].assign(repeated=rows["sure"])
             return
+        rows = pd.concat(list(batches)).sort_values(["seen_at", "id"], kind="stable")
         first, last = state.get if state.exists else (rows["id"].iloc[0], 0)
         last = max(last, int(rows["seen_at"].max().timestamp() * 1000))
         state.update((first, last))
@@ -63,8 +69,8 @@ def flag_repeats(records: DataFrame, retention_days: float = 30, late: str = "1
     rows = records.select(
         trim(text_or_empty(F.col("code"))).alias("code"), F.col("id").cast("string").alias("id"), F.col("seen_at").cast("timestamp").alias("seen_at"),
         F.col("attempt").cast("string").alias("attempt")).where("seen_at IS NOT NULL AND id IS NOT NULL")
-    rows = rows.mapInPandas(_thin, "code STRING, id STRING, seen_at TIMESTAMP, attempt STRING, sure BOOLEAN, spot STRING")
-    return rows.withWatermark("seen_at", late).groupBy("code", "spot").applyInPandasWithState(
+    rows = rows.mapInPandas(_thin, "code STRING, id STRING, seen_at TIMESTAMP, attempt STRING, sure BOOLEAN, spot STRING, asks STRING")
+    return rows.withWatermark("seen_at", late).groupBy("asks", "spot").applyInPandasWithState(
         _ask(int(retention_days * 86_400_000)), FLAGGED, "first STRING, last LONG", "append", GroupStateTimeout.EventTimeTimeout)
 
 

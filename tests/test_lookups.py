@@ -269,3 +269,14 @@ def test_monthly_items_are_not_laid_by_day(spark):
     orders, items = (x._jdf.queryExecution().optimizedPlan().toString() for x in _monthly(Tables(spark, "/root/testdata/sf0.001")))
     assert "RebalancePartitions" not in items and "RebalancePartitions" in orders
     assert "concat" not in orders.split("RebalancePartitions")[1]  # texts are made behind the shuffle
+
+
+def test_rows_with_their_answer_share_few_groups():
+    import pandas as pd
+    from consigna.streaming import repeats
+    n = 4000
+    rows = pd.DataFrame({"code": [f"c{i % 500}" if i % 9 else "" for i in range(n)], "id": [f"i{i}" for i in range(n)], "seen_at": T0, "attempt": "a"})
+    out = pd.concat(repeats._thin(iter([rows])))
+    asking = out[out["spot"] == ""]
+    assert sorted(asking["asks"]) == sorted(set(rows["code"]) - {""})
+    assert len(out[out["spot"] != ""].groupby(["asks", "spot"])) <= repeats.SPOTS and len(out) == n
