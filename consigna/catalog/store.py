@@ -136,14 +136,15 @@ def _monthly(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Store tables whose batches are months.
 
     Orders are laid by day as numbers; their texts are made behind that. Lines are moved once, to meet their months, and
-    written by the tasks that joined them: a month has a file of each, and months are few.
+    written by the tasks that joined them: a month has a file of each, and months are few. Both are sorted by day, as
+    a task writes one file after the other, while they are numbers: the sort has less than half the bytes it has of texts.
     """
     month = F.trunc("o_orderdate", "month").cast("timestamp")
     heads = S.by_day(t.read("orders").select("o_orderkey", "o_custkey", "o_orderpriority", month.alias("o_orderdate")), "o_orderdate")
-    orders = t.orders(heads, F.col("created_day")).withColumn("batch_id", F.date_format("created_at", "yyyy-MM"))
+    orders = t.orders(heads.sortWithinPartitions("created_day"), F.col("created_day")).withColumn("batch_id", F.date_format("created_at", "yyyy-MM"))
     months = t.read("orders").select("o_orderkey", month.alias("created_at"))
     lines = S.with_day(t.spread(t.lines()).select(*LINE, "l_quantity", "l_returnflag").join(months, F.col("l_orderkey") == F.col("o_orderkey")).drop("o_orderkey"))
-    return orders, t.items(lines, F.date_format("created_at", "yyyy-MM").alias("batch_id"), F.col("created_at"), F.col("created_day"))
+    return orders, t.items(lines.sortWithinPartitions("created_day"), F.date_format("created_at", "yyyy-MM").alias("batch_id"), F.col("created_at"), F.col("created_day"))
 
 
 MONTH = "strftime(o_orderdate, '%Y-%m')"

@@ -280,3 +280,31 @@ def test_rows_with_their_answer_share_few_groups():
     asking = out[out["spot"] == ""]
     assert sorted(asking["asks"]) == sorted(set(rows["code"]) - {""})
     assert len(out[out["spot"] != ""].groupby(["asks", "spot"])) <= repeats.SPOTS and len(out) == n
+
+
+def test_items_are_sorted_while_they_are_numbers(spark):
+    from consigna.catalog.registry import Tables
+    from consigna.catalog.store import _monthly
+    for rows in _monthly(Tables(spark, "/root/testdata/sf0.001")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Sort [created_day" in plan and "concat" not in plan.split("Sort [created_day")[1]  # texts are made behind the sort
+
+
+def test_large_buckets_are_cut(spark, rows, monkeypatch):
+    """Each part of a bucket has a task, and look-ups read them all."""
+    orders = tables(spark, rows)[0]
+    grams = index.gram_rows(orders)
+    n = index._gram_count(orders)
+    assert grams.count() <= n
+    monkeypatch.setattr(index, "PART_ROWS", -(-n // (index.BUCKETS * 3)))
+    cut = index.by_bucket(grams, n).select("*", F.spark_partition_id().alias("task"))
+    assert {r.c for r in cut.groupBy("task").agg(F.countDistinct("bucket").alias("c")).collect()} == {1}
+    assert cut.groupBy("bucket").agg(F.countDistinct("task").alias("c")).agg(F.max("c")).first()[0] == 3
+    assert plain(cut.drop("task")) == plain(grams)
+    path = shared_folder(spark, "cut-store")
+    store.write_orders(*tables(spark, rows), path)
+    assert index.index_store(spark, path) == 1
+    for part in ("ORD_0", "12", "%", "_99"):
+        got, want = (f(page_size=50, external_code=part) for f in (
+            lambda **k: index.stored_search(spark, path, **k), lambda **k: query.orders_search(store.orders_scan(spark, path), store.items_scan(spark, path), **k)))
+        assert plain(got) == plain(want)
