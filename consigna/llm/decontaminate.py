@@ -105,6 +105,13 @@ class Patterns:
     repeats: np.ndarray
     starts: np.ndarray
     pair_bits: np.ndarray | None = None  # made where it is used
+    first_bits: np.ndarray | None = None  # made where it is used
+
+    def has_first(self, first: np.ndarray) -> np.ndarray:
+        """Whether a hash has these first bits; one small table tells it for most grams."""
+        if self.first_bits is None:
+            self.first_bits = self.starts[:-1] < self.starts[1:]
+        return self.first_bits[first]
 
     def has_pair(self, pair: np.ndarray) -> np.ndarray:
         """Whether each pair may be in pairs; a wrong yes is rare."""
@@ -238,13 +245,15 @@ def _dense(p: Patterns, gram: np.ndarray, pattern: np.ndarray, low: np.ndarray,
     edge = int(p.sizes.max()) + width + reach
     padded = np.full(len(gram) + 2 * edge, -1, np.int32)
     padded[edge:edge + len(gram)] = gram
-    first = low + edge
+    first, stretches = low + edge, np.lib.stride_tricks.sliding_window_view(padded, reach)
     for part in np.array_split(np.arange(len(pattern)), max(1, -(-len(pattern) * reach // ROWS))):
         if not len(part):
             continue
-        g = padded[first[part][:, None] + np.arange(reach)]
-        row, col = np.divmod(np.flatnonzero(g >= 0), reach)
-        want = pattern[part][row] * len(p.hashes) + g.reshape(-1)[row * reach + col]
+        g = stretches[first[part]]
+        cell = np.flatnonzero(g >= 0)
+        row = cell // reach
+        col = cell - row * reach
+        want = pattern[part][row] * len(p.hashes) + g.reshape(-1)[cell]
         maybe = p.has_pair(want)
         row, col, want = row[maybe], col[maybe], want[maybe]
         k = np.searchsorted(p.pairs, want)
@@ -253,10 +262,11 @@ def _dense(p: Patterns, gram: np.ndarray, pattern: np.ndarray, low: np.ndarray,
         off = col - place
         ok = (p.pairs[k] == want) & ((place < 0) | ((off >= 0) & (off < width)))
         row, k = row[ok], k[ok]
-        places = np.bincount(row, minlength=len(part))
+        # Few bands have the places, and only theirs are told apart by their grams.
+        enough = np.bincount(row, minlength=len(part)) >= p.bounds[pattern[part]]
+        row, k = row[enough[row]], k[enough[row]]
         alike = np.bincount(np.unique(row * len(p.pairs) + k) // len(p.pairs), minlength=len(part))
-        repeats = p.repeats[pattern[part]]
-        out[part] = (places >= p.bounds[pattern[part]]) & (alike + repeats >= p.bounds[pattern[part]])
+        out[part] = enough & (alike + p.repeats[pattern[part]] >= p.bounds[pattern[part]])
     return out
 
 
@@ -267,7 +277,7 @@ def regions(p: Patterns, codes: np.ndarray) -> list[tuple[int, int, int]]:
     h = grams(codes, p.q)
     # Hashes with the same first bits stand together; a gram looks at those with its own.
     first = (h >> np.uint64(64 - BITS)).astype(np.int32)
-    left = np.flatnonzero(p.starts[first] < p.starts[first + 1])
+    left = np.flatnonzero(p.has_first(first))
     at, end, mine = p.starts[first[left]], p.starts[first[left] + 1], h[left]
     gram = np.full(len(h), -1, np.int32)
     while len(left):

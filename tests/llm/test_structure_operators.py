@@ -458,3 +458,20 @@ def test_large_list_of_revisits_is_joined(spark, monkeypatch):
     df = spark.createDataFrame([(i, "u", str(i % 3) * 2000) for i in range(30)], "page_id long, url string, html string")
     got = {r.page_id: (r.record_type, r.refers_to) for r in arc.archive_round_trip(df).collect()}
     assert got == {i: ("response", None) if i >= 27 else ("revisit", 27 + i % 3) for i in range(30)}
+
+
+def test_only_bands_with_enough_places_are_told_apart(monkeypatch):
+    """Bands that lack the places are out before their grams are sorted."""
+    rnd = np.random.default_rng(8)
+    item = "".join(rnd.choice(list("abcdefgh "), 400))
+    p = decontaminate.patterns([(1, item)], 6, 50, 1 / 8)
+    noise = ["".join(rnd.choice(list("abcdefgh "), 5000)) + item[a:a + 9] for a in range(0, 380, 7)]
+    codes = decontaminate.normal("\0".join([*noise, item, item[:60] * 3]))[0]
+    gram = np.array([np.searchsorted(p.hashes, h) if h in set(p.hashes.tolist()) else -1 for h in decontaminate.grams(codes, p.q)], np.int32)
+    pattern = np.repeat(np.arange(len(p.codes)), len(codes) // 16)
+    low = np.tile(np.arange(len(codes) // 16) * 16, len(p.codes))
+    sizes, unique = [], np.unique
+    monkeypatch.setattr(decontaminate.np, "unique", lambda x, *a, **k: (sizes.append(len(x)), unique(x, *a, **k))[1])
+    good = decontaminate._dense(p, gram, pattern, low, 32)
+    monkeypatch.undo()
+    assert good.any() and sum(sizes) <= p.sizes.max() * good.sum()
