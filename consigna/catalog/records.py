@@ -164,7 +164,7 @@ _FOLDED = [f for f in FIELDS if f not in _SHARED and f != "externalCode"]
       WHEN acc = '' THEN x ELSE concat(acc, ',', x) END, '') AS {f}""" for f in _FOLDED]) + " FROM rec GROUP BY externalCode")
 def merge_groups(t: Tables) -> DataFrame:
     block = [F.floor(F.col("l_linenumber") / 4096)]
-    return merge.merge_groups(t.records(), "externalCode", _SHARED, FIELDS, LINE[1:], block).drop("too_long")
+    return merge.merge_groups(t.records(together=True), "externalCode", _SHARED, FIELDS, LINE[1:], block).drop("too_long")
 
 
 def _corrections(t: Tables) -> DataFrame:

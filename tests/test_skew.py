@@ -90,6 +90,15 @@ def test_merge_long_values_and_null_scope(spark):
     assert sorted((r.f or "", r.a) for r in only) == [("", long), ("f", long)]
 
 
+def test_merge_of_one_block_moves_once(spark):
+    """Without a group of several blocks no pieces of texts are shuffled, only rows and the keys of blocks."""
+    rows = [(i, f"k{i % 5}", f"a{i}", "b", "s") for i in range(20)]
+    df = spark.createDataFrame(rows, "pos int, k string, a string, b string, shared string")
+    got = merge_groups(df, "k", ["shared"], ["k", "a", "b", "shared"], ["pos"], [F.floor(F.col("pos") / 1000)])
+    assert {r.k: (r.a, r.b, r.shared, r.pos) for r in got.collect()} == expected(rows)
+    assert "pieces" not in got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["", "h", "g"]), st.sampled_from(["", "x", "y"]), st.sampled_from(["", "q", "q,x"])), min_size=1, max_size=20))
 def test_merge_property(spark, data):
