@@ -53,6 +53,17 @@ def test_merging_scans_no_values(spark):
         assert not names & {"_x", "_rows", "_two", "_first", "_blocks"}, names
 
 
+def test_cards_without_inner_table_are_shuffled_without_cells(spark):
+    windows, todo = 0, [entry.queries()["parse_card"](spark, FOLDER)._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Window":
+            windows += 1
+            assert "cells" not in {node.output().apply(i).name() for i in range(node.output().size())}
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert windows
+
+
 @pytest.mark.parametrize("name, most", [("parse_table", 4), ("parse_multi_sheet", 2), ("parse_matrix", 2), ("parse_summary", 6)])
 def test_rows_are_read_few_times(spark, name, most):
     """A sheet is read for its profile and for its rows; choosing the sheet and its errors read it again."""
