@@ -206,3 +206,11 @@ def test_files_without_anything_to_read(spark, grid, pages):
     assert [e[0] for e in errors_of(got)] == ["a", "d", "e"]
     done = {r.file_id: (r.success, r.total_rows) for r in summary.parse_summary(files, got.records, got.errors).collect()}
     assert done == {"a": (False, 0), "b": (True, 1), "c": (True, 1), "d": (False, 0), "e": (False, 0)}
+
+
+def test_errors_of_texts_gather_no_text(spark, pages):
+    rule = {"source": {"type": "text"}, "textParsing": {"recordSeparator": "\\n", "fieldPatterns": {"remark": "(.+)"}}}
+    got = parse(spark.createDataFrame([], "file_id string, sheet_idx int"), pages({"a": ["x", "y"], "b": [" ", None]}), rule)
+    assert "collect_list" not in got.errors._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.file_id for r in got.errors.collect()] == ["b"]
+    assert sorted((r.file_id, r.remark) for r in got.records.collect()) == [("a", "x"), ("a", "y")]
