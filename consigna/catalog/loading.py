@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from consigna.catalog.records import KEYS
 from consigna.catalog.registry import LINE, RECORDS, Tables, query, with_
 from consigna.operators import load
-from consigna.session import shared_folder
+from consigna.session import shared_folder, shuffles_released, staged
 from consigna.sources import store
 
 IMPORTED = "2024-01-01 00:00:00"
@@ -69,11 +69,15 @@ IMPORTED_SQL = """done AS (SELECT *, l_orderkey // 1000 % 5 = 1 AND (skuQuantity
 batches AS (SELECT batch_id, count(*) AS total_count, CAST(count(*) FILTER (bad) AS BIGINT) AS error_count, count(rejected) AS rejects FROM done GROUP BY 1)"""
 
 
-def _import(t: Tables) -> tuple[DataFrame, str]:
+def _records(t: Tables) -> DataFrame:
     """Every fifth batch has bad quantities; fifth lines have too long a specification."""
     long = F.when(F.col("l_linenumber") == 5, F.repeat(F.lit("x"), F.lit(300))).otherwise(F.col("skuSpec"))
+    return _corrected(t).withColumn("skuSpec", long)
+
+
+def _import(t: Tables) -> tuple[DataFrame, str]:
     path = shared_folder(t.spark, "store")
-    return load.import_job(_corrected(t).withColumn("skuSpec", long), LINE, path), path
+    return load.import_job(_records(t), LINE, path), path
 
 
 @query("import_job", with_(RECORDS, IMPORTED_SQL) + """SELECT batch_id, total_count, CASE WHEN error_count > 0 THEN 0 ELSE total_count - rejects END AS success_count,
@@ -86,9 +90,12 @@ def import_job(t: Tables) -> DataFrame:
 @query("import_batches", with_(RECORDS, IMPORTED_SQL) + """SELECT batch_id, total_count, error_count,
   CASE WHEN error_count > 0 THEN 'refused' WHEN rejects > 0 THEN 'partial' ELSE 'completed' END AS status FROM batches""")
 def import_batches(t: Tables) -> DataFrame:
-    """Loaded twice: each batch is there once."""
-    path = _import(t)[1]
-    load.import_job(_corrected(t).withColumn("skuSpec", F.when(F.col("l_linenumber") == 5, F.repeat(F.lit("x"), F.lit(300))).otherwise(F.col("skuSpec"))), LINE, path)
+    """Loaded twice, joined once: each batch is there once."""
+    path = shared_folder(t.spark, "store")
+    with shuffles_released(t.spark):
+        records = staged(_records(t), "records", compression=store.CODEC)
+    for _ in range(2):
+        load.import_job(records, LINE, path)
     return store.import_batches(t.spark, path).select("batch_id", "total_count", "error_count", "status")
 
 

@@ -1,8 +1,11 @@
 """Loads of so many batches that their names do not fit the driver."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from consigna.operators import load
 from consigna.sources import store
 
@@ -51,3 +54,22 @@ def test_many_batches_are_read_as_few(spark, tmp_path, monkeypatch, few):
     assert [len(x) for x in want[2:4]] == [4, 4] and "'e'" in str(want[0])
     monkeypatch.setattr(store, "FEW_BATCHES", few)
     assert loaded(str(tmp_path / "many")) == want
+
+
+def test_load_gives_its_disk_back(spark, tmp_path):
+    """The copy of the records that a load makes for itself is empty in the end; its summary can still be read."""
+    kept = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(kept.glob("checked-records-*"))
+    got = load.import_job(records(spark, [("a", i, "1", f"s{i}") for i in range(5000)]), ["k"], str(tmp_path))
+    own, = set(kept.glob("checked-records-*")) - before
+    assert sum(f.stat().st_size for f in own.glob("*.parquet")) < 2000
+    assert [r.status for r in got.collect()] == ["completed"] and store.orders_scan(spark, str(tmp_path)).count() == 5000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_second_load_does_not_join_again(spark, monkeypatch):
+    """import_batches loads one copy of its records twice."""
+    loaded, job = [], load.import_job
+    monkeypatch.setattr(load, "import_job", lambda df, *a, **k: (loaded.append(plan(df)), job(df, *a, **k))[1])
+    assert entry.queries()["import_batches"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(loaded) == 2 and not any("Join" in p for p in loaded)
